@@ -32,7 +32,8 @@ def _bag(names: list[str], rows) -> Counter:
 
 
 def differences(frame, db, sql: str) -> list[str]:
-    """What differs; empty if both answers are the same bag of rows."""
+    """What differs; empty if both answers are the same bag of rows. An answer
+    without rows would prove nothing and counts as a difference."""
     answer = db.execute(sql)
     names = [d[0] for d in answer.description]
     expected = _bag(names, answer.fetchall())
@@ -41,6 +42,8 @@ def differences(frame, db, sql: str) -> list[str]:
         return [f"columns {sorted(frame.columns)} instead of {sorted(names)}"]
     types = {type(v).__name__ for r in [*found, *expected] for v in r}
     notes = [f"decimals left in {types}"] if "tuple" in types else []
+    if not expected:
+        notes.append("no rows")
     missing, extra = expected - found, found - expected
     if missing or extra:
         notes.append(f"{sum(missing.values())} rows missing, {sum(extra.values())} extra of "
