@@ -73,7 +73,7 @@ def closing_by_month(rows: DataFrame, openings: DataFrame, trailing: int | None
     sums = rows.groupBy("account_id", month_of(F.col("date")).alias("month")).agg(F.sum("amount").alias("net"))
     closed = _with_opening(sums, openings, "month").select("account_id", "month", "closing_balance")
     if trailing:
-        closed = trailing_cells(closed, trailing, ["month"])
+        closed = trailing_cells(closed, trailing)
     return closed.select("account_id", month_label(F.col("month")).alias("yearmonth"), "closing_balance")
 
 
@@ -84,5 +84,5 @@ def closing_by_month_outgo(rows: DataFrame, openings: DataFrame, trailing: int |
     closed = running.groupBy("account_id", month_of(F.col("date")).alias("month")).agg(
         F.max_by("closing_balance", F.struct("date", "tid")).alias("closing_balance"))
     if trailing:
-        closed = trailing_cells(closed, trailing, ["month"])
+        closed = trailing_cells(closed, trailing)
     return closed.select("account_id", month_label(F.col("month")).alias("yearmonth"), "closing_balance")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_label, month_of, months_back
 from ledgerloom.operators.filters import trailing_cells
-from ledgerloom.plans.skew import lookup_join
 from ledgerloom.schema import MONEY, SUBJECTS
 
 # The tag left out of incomes, and the gauge's scale.
@@ -33,27 +32,25 @@ def _mean(total: Column, n: Column) -> Column:
     return total.cast("double") / n.cast("double")
 
 
-def _recent_income(months: DataFrame) -> DataFrame:
-    """Mean over the months with income among the last 24 of each account. The
-    window groups one row per calendar month of an account."""
-    last = F.max("month").over(Window.partitionBy("account_id"))
+def _mean_income() -> Column:
+    """Mean over the months with income among the 24 up to `last_month`."""
     recent = F.when(F.col("month") >= months_back(F.col("last_month"), INCOME_MONTHS), F.col("income"))
-    return (months.withColumn("last_month", last).groupBy("account_id")
-            .agg(F.sum(recent).alias("total"), F.count(recent).alias("n"))
-            .select("account_id",
-                    F.when(F.col("n") > 0, _mean(F.col("total"), F.col("n"))).alias("average_income")))
+    return F.when(F.count(recent) > 0, _mean(F.sum(recent), F.count(recent)))
 
 
 def average_monthly_income(rows: DataFrame) -> DataFrame:
-    """Per account; null without income. Give it the completed rows."""
-    return _recent_income(_months_with_income(rows))
+    """Per account; null without income. Give it the completed rows. The window
+    groups one row per calendar month of an account."""
+    last = F.max("month").over(Window.partitionBy("account_id"))
+    return (_months_with_income(rows).withColumn("last_month", last)
+            .groupBy("account_id").agg(_mean_income().alias("average_income")))
 
 
 def _subject_months(rows: DataFrame, subject: str, months: int) -> DataFrame:
     cells = rows.groupBy(
         "account_id", month_of(F.col("date")).alias("month"), F.col(subject).alias("subject"),
     ).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("net"))
-    return trailing_cells(cells, months, ["month", "subject"]).where(F.col("subject").isNotNull())
+    return trailing_cells(cells, months).where(F.col("subject").isNotNull())
 
 
 def last_month(rows: DataFrame, subject: str) -> DataFrame:
@@ -142,36 +139,41 @@ def budget_gauge(
     of the month's most recent row. One pass over the rows makes sums by account,
     month and subjects; everything else works on those.
     """
-    base = rows.groupBy("account_id", month_of(F.col("date")).alias("month"), *SUBJECTS).agg(
-        F.sum("amount").alias("net"),
+    base = rows.dropna(subset=["account_id", "date"]).groupBy(
+        "account_id", month_of(F.col("date")).alias("month"), *SUBJECTS,
+    ).agg(
         F.sum(F.when(F.col("amount") < 0, F.col("amount"))).alias("outgo"),
-        F.sum(F.when(_is_income(), F.col("amount"))).alias("income"),
+        F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("gain"),
         F.max(F.struct("date", (-F.col("tid")).alias("order"))).alias("newest"),
     )
+    counted = F.when(~F.col("tag").eqNullSafe(NO_INCOME_TAG), F.col("gain"))
     months = base.groupBy("account_id", "month").agg(
-        F.sum("income").alias("income"),
+        F.sum(counted).alias("income"),
         F.sum("outgo").alias("outgo"),
         F.max_by(F.struct(*SUBJECTS), "newest").alias("shown"),
     )
-    this_month = F.lit(as_of.replace(day=1))
+    # Windows over one row per calendar month of an account.
     per_account = Window.partitionBy("account_id")
-    wanted = F.coalesce(
-        F.max(F.when(F.col("month") == this_month, F.col("month"))).over(per_account),
-        F.max("month").over(per_account))
+    this_month = F.when(F.col("month") == F.lit(as_of.replace(day=1)), F.col("month"))
+    wanted = F.coalesce(F.max(this_month).over(per_account), F.max("month").over(per_account))
     gauge = (
-        months.withColumn("wanted", wanted)
-        .where(F.col("month") == F.col("wanted"))
-        .select("account_id", "month", "outgo", *[F.col(f"shown.{s}").alias(f"this_{s}") for s in SUBJECTS])
-        .join(_recent_income(months.select("account_id", "month", "income")), "account_id")
+        months.withColumns({"wanted": wanted, "last_month": F.max("month").over(per_account)})
+        .groupBy("account_id", F.col("wanted").alias("month"))
+        .agg(_mean_income().alias("average_income"),
+             F.max(F.when(F.col("month") == F.col("wanted"), F.col("outgo"))).alias("spent"),
+             F.max(F.when(F.col("month") == F.col("wanted"), F.col("shown"))).alias("shown"))
+        .select("account_id", "month", "average_income", F.coalesce("spent", F.lit(0)).alias("spent"),
+                *[F.col(f"shown.{s}").alias(f"this_{s}") for s in SUBJECTS])
+    )
+    # Joined by account and month, so that a large account is spread by month.
+    # With the same filters and columns (`newest` too) both uses share one shuffle.
+    net = F.coalesce("outgo", F.lit(0)) + F.coalesce("gain", F.lit(0))
+    joined = (
+        base.where(F.col("newest").isNotNull()).join(gauge, ["account_id", "month"])
+        .groupBy(*gauge.columns)
+        .agg(*[F.abs(F.coalesce(F.sum(F.when(F.col(s) == F.col(f"this_{s}"), net)), F.lit(0)))
+               .alias(f"{s}_spend") for s in SUBJECTS])
     )
-    in_month = lookup_join(
-        base.select("account_id", "month", *SUBJECTS, "net"),
-        gauge.select("account_id", "month", *[f"this_{s}" for s in SUBJECTS]).withColumnRenamed("month", "wanted"),
-        ["account_id"], ["month", *SUBJECTS], "inner",
-    ).where(F.col("month") == F.col("wanted"))
-    spends = in_month.groupBy("account_id").agg(*[
-        F.abs(F.coalesce(F.sum(F.when(F.col(s) == F.col(f"this_{s}"), F.col("net"))), F.lit(0)))
-        .alias(f"{s}_spend") for s in SUBJECTS])
 
     def limits(budgets: DataFrame, subject: str) -> DataFrame:
         return budgets.select(
@@ -179,7 +181,7 @@ def budget_gauge(
             F.col("limit_amount").alias(f"{subject}_limit"), F.col("apply").alias(f"{subject}_apply"))
 
     joined = (
-        gauge.join(spends, "account_id")
+        joined
         .join(limits(category_budgets, "category"), ["account_id", "this_category"], "left")
         .join(limits(subcategory_budgets, "subcategory"), ["account_id", "this_subcategory"], "left")
     )
@@ -192,7 +194,7 @@ def budget_gauge(
     measured = joined.select(
         "account_id",
         month_label(F.col("month")).alias("period"),
-        _ratio(F.abs(F.coalesce("outgo", F.lit(0))), F.col("average_income")).alias("expense_spent_pct"),
+        _ratio(F.abs("spent"), F.col("average_income")).alias("expense_spent_pct"),
         F.col("this_tag").alias("tag"),
         _ratio(F.col("tag_spend"), F.col("average_income")).alias("tag_pct"),
         F.col("this_category").alias("category"),

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import FIRST_DATE, LAST_DATE, month_of, months_back
+from ledgerloom.functions.dates import FIRST_DATE, LAST_DATE, months_back
 from ledgerloom.plans.skew import lookup_join
 
 
@@ -177,13 +177,12 @@ def latest_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
     return kept.where(F.col("date") > since).select(*rows.columns)
 
 
-def trailing_cells(cells: DataFrame, months: int, spread: Sequence[str]) -> DataFrame:
-    """`trailing_months` for sums already keyed by account and `month`."""
-    last = cells.groupBy("account_id").agg(
-        F.max("month").alias("last_month"), F.count(F.lit(1)).alias("n_rows"))
-    kept = lookup_join(cells, last.drop("n_rows"), ["account_id"], spread, "inner", counts=last)
-    return kept.where(F.col("month") >= months_back(F.col("last_month"), months))
+def trailing_cells(cells: DataFrame, months: int) -> DataFrame:
+    """`trailing_months` for sums already keyed by account and `month`.
 
-
-def with_month(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("month", month_of(F.col("date")))
+    A window group is an account's sums, not its rows: at most its subjects times
+    the calendar months. It needs no second look at the rows.
+    """
+    last = F.max("month").over(Window.partitionBy("account_id"))
+    return cells.withColumn("last_month", last).where(
+        F.col("month") >= months_back(F.col("last_month"), months))

@@ -28,7 +28,7 @@ def spend_by_period(
         "account_id", by.alias(period), subject_column(subject).alias("subject"),
     ).agg(F.sum("amount").cast("decimal(28,2)").alias("net"))
     if trailing:
-        cells = trailing_cells(cells, trailing, ["month", "subject"])
+        cells = trailing_cells(cells, trailing)
     label = month_label(F.col("month")) if period == "month" else F.col("year")
     return cells.where(F.col("subject").isNotNull()).select(
         "account_id", label.alias("period"), "subject", "net")
