@@ -17,8 +17,9 @@ from ledgerloom.operators import (
     schedules, shares, taxonomy, validation,
 )
 from ledgerloom.operators.table_query import TableColumn, TableQuery, TableRequest
+from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
-from ledgerloom.schema import NATURAL_KEY, SUBJECTS
+from ledgerloom.schema import SUBJECTS
 from ledgerloom.sources import star, stores, uploads
 from ledgerloom.sources.dimensions import CATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
@@ -424,7 +425,8 @@ def held_accounts(spark, folder):
 @query("holder_transactions")
 def holder_transactions(spark, folder):
     return lookups.holder_transactions(
-        star.users(spark, folder), star.accounts(spark, folder), star.ledger(spark, folder))
+        star.users(spark, folder), star.accounts(spark, folder), star.ledger(spark, folder),
+        key_counts(star.ledger(spark, folder, "account_id"), ["account_id"]))
 
 
 @query("resolve_dimension_ids")
@@ -474,7 +476,8 @@ def running_balance(spark, folder):
 
 @query("ledger_log")
 def ledger_log(spark, folder):
-    return balances.ledger_log(star.ledger(spark, folder), star.openings(spark, folder))
+    return balances.ledger_log(
+        star.ledger(spark, folder), star.openings(spark, folder), star.ledger(spark, folder, *MOVES))
 
 
 @query("closing_balance_year")
@@ -499,7 +502,8 @@ query("trailing_months_24")(
 
 @query("latest_transactions")
 def latest_transactions(spark, folder):
-    return filters.latest_rows(star.ledger(spark, folder), AS_OF)
+    return filters.latest_rows(
+        star.ledger(spark, folder), AS_OF, star.ledger(spark, folder, "account_id", "date"))
 
 
 # Sums by period ------------------------------------------------------------

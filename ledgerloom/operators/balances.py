@@ -44,9 +44,10 @@ def running_balance(rows: DataFrame, openings: DataFrame) -> DataFrame:
     return running_total(rows, openings)
 
 
-def ledger_log(rows: DataFrame, openings: DataFrame) -> DataFrame:
+def ledger_log(rows: DataFrame, openings: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """The listing: all rows, tags trimmed, balance added up from the newest row."""
-    return running_total(rows.withColumn("tag", F.trim("tag")), openings, newest_first=True)
+    listed = rows.withColumn("tag", F.trim("tag"))
+    return running_total(listed, openings, newest_first=True, moves=moves)
 
 
 def _with_opening(sums: DataFrame, openings: DataFrame, period: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_label, month_of, months_back
+from ledgerloom.operators.edits import latest_edit
 from ledgerloom.operators.filters import trailing_cells
 from ledgerloom.schema import MONEY, SUBJECTS
 
@@ -106,7 +107,7 @@ def budget_listing(category_budgets: DataFrame, subcategory_budgets: DataFrame)
 
 def upsert_budgets(budgets: DataFrame, edits: DataFrame) -> DataFrame:
     """Edited limits and flags; an edit of an unknown subject adds a budget."""
-    base, new = budgets.alias("b"), edits.alias("e")
+    base, new = budgets.alias("b"), latest_edit(edits, ["account_id", "subject"]).alias("e")
     key = (F.col("b.account_id") == F.col("e.account_id")) & (F.col("b.subject") == F.col("e.subject"))
     old, is_edit = F.col("b.account_id").isNotNull(), F.col("e.account_id").isNotNull()
     return base.join(new, key, "full").select(

@@ -29,7 +29,8 @@ def first_of_each(
 def new_rows(
     upload: DataFrame, ledger: DataFrame, keys: Sequence[str] = tuple(NATURAL_KEY),
 ) -> DataFrame:
-    """Rows of the upload whose key is not in the ledger, nulls being equal."""
+    """Rows of the upload whose key is not in the ledger, nulls being equal. Take
+    copies out of the upload first (`first_of_each`): then no key is hot."""
     known = ledger.select(*[F.col(k).alias(f"known_{k}") for k in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys])
     return upload.join(known, same, "left_anti")

@@ -166,10 +166,11 @@ def trailing_months(rows: DataFrame, months: int) -> DataFrame:
     return kept.where(F.col("date") >= months_back(F.col("last_date"), months)).select(*rows.columns)
 
 
-def latest_rows(rows: DataFrame, as_of: dt.date) -> DataFrame:
+def latest_rows(rows: DataFrame, as_of: dt.date, moves: DataFrame | None = None) -> DataFrame:
     """Rows of the last 30 days; for an account without any, those of the 7 days
-    before its last row. Future rows belong to the first kind."""
-    last = rows.groupBy("account_id").agg(
+    before its last row. Future rows belong to the first kind. `moves` may give the
+    rows' account_id and date alone."""
+    last = (rows if moves is None else moves).groupBy("account_id").agg(
         F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_rows"))
     near = F.date_sub(F.lit(as_of), 30)
     since = F.when(F.col("last_date") > near, near).otherwise(F.date_sub("last_date", 7))

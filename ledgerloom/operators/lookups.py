@@ -27,10 +27,13 @@ def held_accounts(users: DataFrame, accounts: DataFrame) -> DataFrame:
         "holder", "account_id", "name", "number", "currency", "balance")
 
 
-def holder_transactions(users: DataFrame, accounts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Ledger rows with the user who holds their account."""
+def holder_transactions(
+    users: DataFrame, accounts: DataFrame, rows: DataFrame, counts: DataFrame | None = None,
+) -> DataFrame:
+    """Ledger rows with the user who holds their account. `counts` may give the
+    rows per account."""
     holders = held_accounts(users, accounts).select("account_id", F.col("holder").alias("username"))
-    return lookup_join(rows, holders, ["account_id"], ["tid"], "inner")
+    return lookup_join(rows, holders, ["account_id"], ["tid"], "inner", counts=counts)
 
 
 def dimension_lists(spark: SparkSession) -> DataFrame:

@@ -35,13 +35,18 @@ def spend_by_period(
 
 
 def pivot(cells: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
-    """One column per subject, 0 where there is nothing. Name the values to save
-    the job that looks for them, and to fix the columns."""
-    wide = cells.groupBy("account_id", "period").pivot("subject", list(values) if values else None)
-    wide = wide.agg(F.first("net"))
-    subjects = [c for c in wide.columns if c not in ("account_id", "period")]
-    return wide.select("account_id", "period", *[
-        F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("decimal(28,2)").alias(c) for c in subjects])
+    """One column per subject, 0 where there is nothing. Name the values to fix the
+    columns, and to save the job that looks for them and a shuffle: then a period
+    is one aggregate with a sum per value."""
+    by_period = cells.groupBy("account_id", "period")
+    if values is None:
+        wide = by_period.pivot("subject").agg(F.first("net"))
+        subjects = [c for c in wide.columns if c not in ("account_id", "period")]
+        return wide.select("account_id", "period", *[
+            F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("decimal(28,2)").alias(c) for c in subjects])
+    return by_period.agg(*[
+        F.sum(F.when(F.col("subject") == v, F.col("net")).otherwise(F.lit(0))).cast("decimal(28,2)").alias(v)
+        for v in values])
 
 
 def percent_of_income(cells: DataFrame) -> DataFrame:

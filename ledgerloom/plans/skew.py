@@ -51,7 +51,7 @@ def lookup_join(
 
     Rows of a hot key are dealt to pieces by a hash of `spread`; only the lookup
     rows of hot keys are repeated, once per piece. `counts` may pass in the rows
-    per key when the caller has them.
+    per key (`n_rows`) when the caller has them or can get them for less.
     """
     keys = list(keys)
     counts = key_counts(rows, keys) if counts is None else counts.select(*keys, "n_rows")
@@ -71,8 +71,11 @@ def running_total(
     openings: DataFrame,
     out: str = "closing_balance",
     newest_first: bool = False,
+    moves: DataFrame | None = None,
 ) -> DataFrame:
     """Opening balance plus the amounts up to each row, by account, date and tid.
+    `moves` may give the rows' tid, account_id, date and amount alone, where those
+    are cheaper to read than the rows.
 
     An ordinary account is one window group. A hot account is cut into cells of
     one date and one slice of tids; tids are unique, so a cell holds at most as
@@ -80,14 +83,19 @@ def running_total(
     per-slice sums, which are aggregated on the map side. Rows shuffle once.
     """
     width = hot_floor(rows.sparkSession)
-    hot = F.broadcast(hot_keys(key_counts(rows, ["account_id"]), ["account_id"]).select("account_id", "pieces"))
+    moves = rows if moves is None else moves
+    hot = F.broadcast(hot_keys(key_counts(moves, ["account_id"]), ["account_id"]))
     no_date = F.to_date(F.lit("0001-01-01"))
     is_hot = F.col("pieces").isNotNull()
     cell = ["account_id", "cell_date", "cell_slice"]
 
+    hot_cell = {
+        "cell_date": F.coalesce(F.col("date"), no_date),
+        "cell_slice": F.floor(F.col("tid") / width).cast("long"),
+    }
     tagged = rows.join(hot, "account_id", "left").withColumns({
-        "cell_date": F.when(is_hot, F.coalesce(F.col("date"), no_date)).otherwise(no_date),
-        "cell_slice": F.when(is_hot, F.floor(F.col("tid") / width)).otherwise(F.lit(0)).cast("long"),
+        "cell_date": F.when(is_hot, hot_cell["cell_date"]).otherwise(no_date),
+        "cell_slice": F.when(is_hot, hot_cell["cell_slice"]).otherwise(F.lit(0).cast("long")),
     })
 
     def way(name: str) -> Column:
@@ -97,7 +105,7 @@ def running_total(
         frame = Window.partitionBy(*by).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(name).over(frame), F.lit(0).cast("decimal(28,2)"))
 
-    cells = (tagged.where(is_hot).groupBy(*cell)
+    cells = (moves.join(hot, "account_id").withColumns(hot_cell).groupBy(*cell)
              .agg(F.sum("amount").cast("decimal(28,2)").alias("cell_sum")))
     # At most one row per calendar day and account, then one per slice and day.
     days = (cells.groupBy("account_id", "cell_date")

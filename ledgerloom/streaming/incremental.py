@@ -25,10 +25,14 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def _store(path: str) -> Callable[[DataFrame, int], None]:
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = stored_rows(spark, path).where(F.col("batch") < batch_id)
-        raw = batch.withColumn("pos", F.monotonically_increasing_id())
-        fresh = new_rows(homebank_rows(raw), earlier).select(*_FIELDS)
+        rows = homebank_rows(batch.withColumn("pos", F.monotonically_increasing_id()))
+        # Only the batch's own span of dates can hold its rows, so the scan of what
+        # is stored stops at that span; dates that could not be read are kept.
+        day = F.to_date("date", "dd/MM/yyyy")
+        first, last = (batch.agg(f(day)).scalar() for f in (F.min, F.max))
+        earlier = stored_rows(batch.sparkSession, path).where(
+            (F.col("batch") < batch_id) & (F.col("date").between(first, last) | F.col("date").isNull()))
+        fresh = new_rows(rows, earlier).select(*_FIELDS)
         # A batch that runs again after a failure replaces its own folder.
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
