@@ -284,6 +284,9 @@ oracle("held_accounts", """
 oracle("holder_transactions", """
     SELECT l.* REPLACE (CAST(amount AS DOUBLE) AS amount), username
     FROM ledger l JOIN accounts a ON a.account_id = l.account_id JOIN users ON holder = username""")
+oracle("dimension_lists", " UNION ALL ".join(
+    f"SELECT DISTINCT '{k}' AS kind, {k} AS name FROM ledger WHERE {k} IS NOT NULL"
+    for k in ("type", "category", "subcategory")))
 oracle("resolve_dimension_ids", f"""
     SELECT account_id, tid, date, CAST(amount AS DOUBLE) AS amount, description,
         {_case('tid % 11', TYPES)} AS type, {_case('1 + tid % 22', CATEGORIES)} AS category,
@@ -293,11 +296,13 @@ oracle("effective_categories", f"""
     SELECT account_id, subject FROM budgets
     UNION ALL SELECT account_id, n FROM accounts, {_names(CATEGORIES)} d(i, n)
     WHERE account_id NOT IN (SELECT account_id FROM budgets)""")
-oracle("seed_budgets", f"""
-    SELECT account_id, n AS subject, 100.0::DOUBLE AS limit_amount, 0.0::DOUBLE AS last_month,
-           0.0::DOUBLE AS avg_month, currency AS unit, FALSE AS apply
-    FROM accounts, {_names(CATEGORIES)} d(i, n)
-    WHERE account_id NOT IN (SELECT account_id FROM budgets)""")
+for _name, _entries, _view in (("seed_budgets", CATEGORIES, "budgets"),
+                               ("seed_budgets_subcategory", SUBCATEGORIES, "subbudgets")):
+    oracle(_name, f"""
+        SELECT account_id, n AS subject, 100.0::DOUBLE AS limit_amount, 0.0::DOUBLE AS last_month,
+               0.0::DOUBLE AS avg_month, currency AS unit, FALSE AS apply
+        FROM accounts, {_names(_entries)} d(i, n)
+        WHERE account_id NOT IN (SELECT account_id FROM {_view})""")
 _BUDGET = ("account_id, subject, CAST(limit_amount AS DOUBLE) AS limit_amount, "
            "CAST(last_month AS DOUBLE) AS last_month, CAST(avg_month AS DOUBLE) AS avg_month, unit, apply")
 oracle("budget_listing", f"""
@@ -410,7 +415,7 @@ for _subject, _values in _PIVOT_VALUES.items():
     oracle(f"pivot_{_subject}_outgo", _pivot(_subject, _values, True))
     oracle(f"percent_of_income_{_subject}", _percent(_subject, "year"))
     oracle(f"percent_of_income_{_subject}_l12m", _percent(_subject, "l12m"))
-    oracle(f"spend_share_{_subject}", f"""
+    oracle("spend_share" if _subject == "category" else f"spend_share_{_subject}", f"""
         SELECT account_id, subject, CAST(SUM(CASE WHEN net < 0 THEN -net ELSE 0 END) AS DOUBLE) AS spent
         FROM ({_cells(_subject, 'month')}) GROUP BY account_id, subject""")
 
@@ -441,14 +446,16 @@ for _subject in ("category", "subcategory"):
     oracle(f"avg_month_{_subject}", f"""
         SELECT account_id, subject, CAST(SUM(net) AS DOUBLE) / COUNT(*) AS avg_month
         FROM ({_subject_months(_subject, 12)}) GROUP BY account_id, subject""")
-oracle("refresh_budgets", f"""
+for _name, _subject, _view in (("refresh_budgets", "category", "budgets"),
+                               ("refresh_budgets_subcategory", "subcategory", "subbudgets")):
+    oracle(_name, f"""
     SELECT b.account_id, b.subject, CAST(b.limit_amount AS DOUBLE) AS limit_amount,
         CAST(COALESCE(n.last_month, b.last_month) AS DOUBLE) AS last_month,
         COALESCE(n.avg_month, CAST(b.avg_month AS DOUBLE)) AS avg_month, b.unit, b.apply
-    FROM budgets b LEFT JOIN (
+    FROM {_view} b LEFT JOIN (
         SELECT account_id, subject, SUM(net) FILTER (WHERE ym = date_trunc('month', last_date)) AS last_month,
                CAST(SUM(net) AS DOUBLE) / COUNT(*) AS avg_month
-        FROM ({_subject_months('category', 12)}) GROUP BY account_id, subject) n
+        FROM ({_subject_months(_subject, 12)}) GROUP BY account_id, subject) n
     ON n.account_id = b.account_id AND n.subject = b.subject""")
 
 

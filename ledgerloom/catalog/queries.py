@@ -21,7 +21,7 @@ from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
 from ledgerloom.schema import SUBJECTS
 from ledgerloom.sources import star, stores, uploads
-from ledgerloom.sources.dimensions import CATEGORIES
+from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,6 +429,13 @@ def holder_transactions(spark, folder):
         key_counts(star.ledger(spark, folder, "account_id"), ["account_id"]))
 
 
+@query("dimension_lists")
+def dimension_lists(spark, folder):
+    return lookups.dimension_lists({
+        kind: star.ledger(spark, folder, kind).select(F.col(kind).alias("name")).dropna().distinct()
+        for kind in ("type", "category", "subcategory")})
+
+
 @query("resolve_dimension_ids")
 def resolve_dimension_ids(spark, folder):
     return lookups.resolve_ids(inputs.entries(spark, folder))
@@ -440,6 +447,12 @@ def effective_categories(spark, folder):
         star.accounts(spark, folder), star.budgets(spark, folder), CATEGORIES.values())
 
 
+@query("seed_budgets_subcategory")
+def seed_budgets_subcategory(spark, folder):
+    return budgets.seed_budgets(
+        star.accounts(spark, folder), star.budgets(spark, folder, "subcategory"), SUBCATEGORIES.values())
+
+
 @query("seed_budgets")
 def seed_budgets(spark, folder):
     return budgets.seed_budgets(
@@ -528,7 +541,7 @@ for _subject in SUBJECTS:
         _cells(spark, folder, s, "year")))
     query(f"percent_of_income_{_subject}_l12m")(lambda spark, folder, s=_subject: shares.percent_of_income(
         _cells(spark, folder, s, "month", 12)))
-    query(f"spend_share_{_subject}")(lambda spark, folder, s=_subject: shares.spend_share(
+    query("spend_share" if _subject == "category" else f"spend_share_{_subject}")(lambda spark, folder, s=_subject: shares.spend_share(
         _cells(spark, folder, s, "month")))
 
 
@@ -546,11 +559,14 @@ for _subject in ("category", "subcategory"):
         _done(spark, folder, "account_id", "date", "amount", s), s))
 
 
-@query("refresh_budgets")
-def refresh_budgets(spark, folder):
+def _refresh(spark, folder, subject):
     return budgets.refresh_budgets(
-        star.budgets(spark, folder),
-        _done(spark, folder, "account_id", "date", "amount", "category"), "category")
+        star.budgets(spark, folder, subject),
+        _done(spark, folder, "account_id", "date", "amount", subject), subject)
+
+
+query("refresh_budgets")(partial(_refresh, subject="category"))
+query("refresh_budgets_subcategory")(partial(_refresh, subject="subcategory"))
 
 
 @query("budget_gauge")

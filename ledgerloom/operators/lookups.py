@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.skew import lookup_join
-from ledgerloom.sources.dimensions import (
-    CATEGORIES, FREQUENCIES, SUBCATEGORIES, TYPES, dimension, name_of,
-)
+from ledgerloom.sources.dimensions import CATEGORIES, FREQUENCIES, SUBCATEGORIES, TYPES, name_of
 
 
 def user_accounts(users: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -36,12 +37,10 @@ def holder_transactions(
     return lookup_join(rows, holders, ["account_id"], ["tid"], "inner", counts=counts)
 
 
-def dimension_lists(spark: SparkSession) -> DataFrame:
-    """The fixed choices, by kind and name."""
-    kinds = {"type": TYPES, "category": CATEGORIES, "subcategory": SUBCATEGORIES}
-    lists = [dimension(spark, d).withColumn("kind", F.lit(k)) for k, d in kinds.items()]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2]).select(
-        "kind", "id", "name").orderBy("kind", "name")
+def dimension_lists(dimensions: Mapping[str, DataFrame]) -> DataFrame:
+    """The names of each dimension, by kind and name."""
+    lists = [d.select(F.lit(kind).alias("kind"), "name") for kind, d in dimensions.items()]
+    return reduce(DataFrame.unionByName, lists).orderBy("kind", "name")
 
 
 def resolve_ids(entries: DataFrame) -> DataFrame:

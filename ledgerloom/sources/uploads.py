@@ -41,14 +41,14 @@ def accepted_file(file_name: Column) -> Column:
     return extension(file_name).isin(EXTENSIONS)
 
 
-def _glob(ext: str) -> str:
+def extension_glob(ext: str) -> str:
     """Matches the extension in any case."""
     return "*." + "".join(f"[{c}{c.upper()}]" for c in ext)
 
 
-def account_in_path() -> Column:
+def account_in_path(file: str = "_metadata.file_path") -> Column:
     """The account of a file that lies below a folder `account_id=...`."""
-    return F.regexp_extract("_metadata.file_path", r"/account_id=(\d+)/", 1).try_cast("long")
+    return F.regexp_extract(file, r"/account_id=(\d+)/", 1).try_cast("long")
 
 
 def _positioned(df: DataFrame) -> DataFrame:
@@ -62,33 +62,32 @@ def read_json_records(
 ) -> DataFrame:
     """JSON records. An array in one file is parsed by one task, because the
     format cannot be split; `lines=True` reads one record per line, in parallel."""
-    reader = spark.read.schema(schema).option("pathGlobFilter", pattern or _glob("json"))
+    reader = spark.read.schema(schema).option("pathGlobFilter", pattern or extension_glob("json"))
     return _positioned(reader.option("recursiveFileLookup", "true").json(path, multiLine=not lines))
 
 
 def read_homebank(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     reader = (spark.read.schema(HOMEBANK_SCHEMA).option("sep", ";").option("header", "true")
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern or _glob("csv")))
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern or extension_glob("csv")))
     return _positioned(reader.csv(path))
 
 
-def read_statement(
-    spark: SparkSession, path: str, pattern: str | None = None, others: Mapping[str, str] | None = None,
-) -> DataFrame:
-    """Bank statements: four lines of preamble, a header, then `;`-separated lines.
-
-    Files are read line by line, so a large one is split over tasks. Columns are
-    taken by header name, `others` adding to the usual ones; a column or field
-    that is absent is null.
-    """
-    text = (spark.read.option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", pattern or _glob("dbcsv")).text(path))
-    lines = text.select(
+def statement_text(scan: DataFrame) -> DataFrame:
+    """Lines of text files with their file and the start of their block."""
+    return scan.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
         F.decode(F.col("value").cast("binary"), STATEMENT_CHARSET).alias("line"),
     )
+
+
+def parse_statement(text: DataFrame, others: Mapping[str, str] | None = None) -> DataFrame:
+    """Statement lines as rows: four lines of preamble, a header, then fields.
+
+    Columns are taken by header name, `others` adding to the usual ones; a column
+    or field that is absent is null.
+    """
+    lines = text.withColumn("pos", F.monotonically_increasing_id())
     # Positions run on without gaps inside a block, so the header is the line at
     # the first position of the first block plus the preamble.
     files = lines.groupBy("file").agg(
@@ -112,3 +111,12 @@ def read_statement(
 
     return body.where(F.length(F.trim("line")) > 0).select(
         "file", "pos", *[named(name).alias(alias) for name, alias in columns.items()])
+
+
+def read_statement(
+    spark: SparkSession, path: str, pattern: str | None = None, others: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Bank statements, read line by line, so a large one is split over tasks."""
+    scan = (spark.read.option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", pattern or extension_glob("dbcsv")).text(path))
+    return parse_statement(statement_text(scan), others)

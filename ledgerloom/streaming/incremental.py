@@ -1,4 +1,8 @@
-"""Incremental ingest: new upload files become new ledger rows, each once."""
+"""Incremental ingest: upload files that arrive one by one become rows, each once.
+
+Home-banking exports and JSON records go to the ledger, bank statements to the
+staging rows that wait for review.
+"""
 
 from __future__ import annotations
 
@@ -7,53 +11,85 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.cleaning import homebank_rows
-from ledgerloom.operators.dedup import new_rows
-from ledgerloom.sources.uploads import HOMEBANK_SCHEMA, account_in_path
+from ledgerloom.operators.cleaning import homebank_rows, json_rows, statement_rows
+from ledgerloom.operators.dedup import first_of_each, new_rows
+from ledgerloom.sources.uploads import (
+    HOMEBANK_SCHEMA, JSON_SCHEMA, account_in_path, extension_glob, parse_statement, statement_text,
+)
 
 LEDGER_ROW = (
     "account_id long, date date, amount decimal(18,2), type string, description string, "
     "category string, subcategory string, tag string, status boolean, payee string"
 )
-_FIELDS = [c.split(" ")[0] for c in LEDGER_ROW.split(", ")]
+STAGING_ROW = (
+    "account_id long, date date, amount decimal(18,2), description string, beneficiary string, type string"
+)
+ROWS = {"csv": LEDGER_ROW, "json": LEDGER_ROW, "dbcsv": STAGING_ROW}
 
+Clean = Callable[[DataFrame], DataFrame]
 
-def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+
+def stored_rows(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """What has been ingested so far, with the batch each row came in."""
-    return spark.read.schema(f"{LEDGER_ROW}, batch long").parquet(path)
+    return spark.read.schema(f"{ROWS[kind]}, batch long").parquet(path)
+
+
+def _stream(spark: SparkSession, kind: str, uploads: str, files_per_batch: int, pattern: str) -> DataFrame:
+    reader = (spark.readStream.option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern))
+    if kind == "csv":
+        return reader.schema(HOMEBANK_SCHEMA).option("sep", ";").option("header", "true").csv(uploads)
+    if kind == "json":
+        return reader.schema(JSON_SCHEMA).option("multiLine", "true").json(uploads)
+    return reader.text(uploads)
+
+
+def _cleaner(kind: str, account: Column) -> Clean:
+    """From the rows of one batch to rows as they are stored."""
+    def placed(raw: DataFrame) -> DataFrame:
+        return raw.withColumns({"account_id": account, "pos": F.monotonically_increasing_id()})
+
+    if kind == "csv":
+        return lambda batch: homebank_rows(placed(batch))
+    if kind == "json":
+        return lambda batch: first_of_each(json_rows(placed(batch)))
+    return lambda batch: statement_rows(parse_statement(batch).withColumn("account_id", account))
 
 
-def _store(path: str) -> Callable[[DataFrame, int], None]:
+def _store(path: str, kind: str, clean: Clean) -> Callable[[DataFrame, int], None]:
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = homebank_rows(batch.withColumn("pos", F.monotonically_increasing_id()))
-        # Only the batch's own span of dates can hold its rows, so the scan of what
-        # is stored stops at that span; dates that could not be read are kept.
-        day = F.to_date("date", "dd/MM/yyyy")
-        first, last = (batch.agg(f(day)).scalar() for f in (F.min, F.max))
-        earlier = stored_rows(batch.sparkSession, path).where(
-            (F.col("batch") < batch_id) & (F.col("date").between(first, last) | F.col("date").isNull()))
-        fresh = new_rows(rows, earlier).select(*_FIELDS)
+        rows = clean(batch)
+        if kind != "dbcsv":
+            # Only the batch's own span of dates can hold its rows, so the scan of
+            # what is stored stops at that span; dates that are missing are kept.
+            first, last = (rows.agg(f("date")).scalar() for f in (F.min, F.max))
+            earlier = stored_rows(batch.sparkSession, path, kind).where(
+                (F.col("batch") < batch_id) & (F.col("date").between(first, last) | F.col("date").isNull()))
+            rows = new_rows(rows, earlier)
+        names = [c.split(" ")[0] for c in ROWS[kind].split(", ")]
         # A batch that runs again after a failure replaces its own folder.
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.select(*names).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return store
 
 
 def ingest_new_files(
-    spark: SparkSession, uploads: str, ledger: str, checkpoint: str, files_per_batch: int = 1000,
-    account: Column | None = None,
+    spark: SparkSession, uploads: str, store: str, checkpoint: str, kind: str = "csv",
+    files_per_batch: int = 1000, account: Column | None = None, pattern: str | None = None,
 ) -> None:
-    """Ingest the home-banking exports that have arrived since the last call.
+    """Ingest the files of one kind that have arrived since the last call.
 
-    `account` tells a row's account; by default it is in the file's path. Every
-    batch is cleaned like any upload and checked against the rows of the batches
-    before it, so a file given twice adds nothing.
+    `kind` is an accepted extension and picks the parser. `account` tells a row's
+    account; by default it is in the path of the file (`account_id=...`). Each
+    batch is cleaned like any upload and, for the ledger, checked against the rows
+    of the batches before it, so a file given twice adds nothing.
     """
-    spark.createDataFrame([], LEDGER_ROW).write.mode("ignore").parquet(f"{ledger}/batch=-1")
-    stream = (spark.readStream.schema(HOMEBANK_SCHEMA).option("sep", ";").option("header", "true")
-              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
-              .csv(uploads)
-              .withColumn("account_id", account_in_path() if account is None else account))
-    query = (stream.writeStream.foreachBatch(_store(ledger))
+    if kind not in ROWS:
+        raise ValueError(f"files are one of {', '.join(ROWS)}")
+    spark.createDataFrame([], ROWS[kind]).write.mode("ignore").parquet(f"{store}/batch=-1")
+    scan = _stream(spark, kind, uploads, files_per_batch, pattern or extension_glob(kind))
+    files = statement_text(scan) if kind == "dbcsv" else scan.withColumn("file", F.col("_metadata.file_path"))
+    clean = _cleaner(kind, account_in_path("file") if account is None else account)
+    query = (files.writeStream.foreachBatch(_store(store, kind, clean))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()

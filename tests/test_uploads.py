@@ -120,6 +120,32 @@ def test_ingest_adds_each_purchase_once(spark, tmp_path, arriving):
     assert {r.category for r in rows} == {"Leisure"}
 
 
+def test_ingest_of_json_and_statements(spark, tmp_path):
+    folder = tmp_path / "in" / "account_id=4"
+    folder.mkdir(parents=True)
+    ledger, staging = str(tmp_path / "ledger"), str(tmp_path / "staging")
+
+    def ingest():
+        for kind, store in (("json", ledger), ("dbcsv", staging)):
+            ingest_new_files(spark, str(tmp_path / "in"), store, f"{store}-progress", kind=kind)
+        return (sorted((r.account_id, r.amount) for r in stored_rows(spark, ledger, "json").collect()),
+                sorted((r.account_id, r.amount, r.description) for r in stored_rows(spark, staging, "dbcsv").collect()))
+
+    record = {"date": "2001-02-03T00:00:00.000Z", "amount": 1.5, "type": "Cash"}
+    (folder / "a.json").write_text(json.dumps([record, record, {**record, "amount": 2}]))
+    (folder / "a.dbcsv").write_text(statement(["x;02/03/2001;Cash;me;a;;-1;;EUR", "x;02/03/2001;Cash;me;b;;-2;;EUR"]))
+    assert ingest() == ([(4, Decimal("1.50")), (4, 2)], [(4, -2, "b"), (4, -1, "a")])
+    (folder / "b.json").write_text(json.dumps([record, {**record, "amount": 3}, {**record, "date": None}]))
+    (folder / "b.dbcsv").write_text(statement(["x;02/03/2001;Cash;me;a;;-1;;EUR"]))
+    rows, staged = ingest()
+    assert rows == [(4, Decimal("1.50")), (4, Decimal("1.50")), (4, 2), (4, 3)]
+    assert staged == [(4, -2, "b"), (4, -1, "a"), (4, -1, "a")]
+    (folder / "c.json").write_text(json.dumps([{**record, "date": None}]))
+    assert ingest()[0] == rows
+    with pytest.raises(ValueError):
+        ingest_new_files(spark, str(folder), ledger, ledger, kind="txt")
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path, arriving):
     from ledgerloom.streaming import incremental
 
@@ -127,7 +153,7 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path, arriving):
     spark.createDataFrame([], incremental.LEDGER_ROW).write.parquet(f"{path}/batch=-1")
     arriving("one.csv", "01/01/2001;8;;p;w;-1;Food;t")
     raw = uploads.read_homebank(spark, str(tmp_path / "in")).withColumn("account_id", F.lit(1).cast("long"))
-    store = incremental._store(path)
+    store = incremental._store(path, "csv", incremental._cleaner("csv", F.lit(1).cast("long")))
     for _ in range(2):
-        store(raw.drop("file", "pos"), 0)
+        store(raw.drop("pos"), 0)
     assert stored_rows(spark, path).count() == 1
