@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,6 @@ def or_missing(col: Column) -> Column:
 
 def clean_search_pattern(text: str) -> str:
     """A user's search text as a regex in which only `|` keeps its meaning."""
-    import re
-
     # The characters that lose their special meaning.
     escaped = "[^$.?*+(){}"
     text = text.replace("\\", "")

@@ -30,7 +30,7 @@ def clean_homebank(raw: DataFrame) -> DataFrame:
     keep = [c for c in ("file", "pos", "account_id") if c in raw.columns]
     return raw.select(
         *keep,
-        F.to_date("date", "dd/MM/yyyy").alias("date"),
+        F.try_to_date("date", "dd/MM/yyyy").alias("date"),
         parse_money(F.col("amount")).alias("amount"),
         F.col("paymode").alias("type"),
         or_missing(F.col("wording")).alias("description"),
@@ -98,7 +98,7 @@ def statement_rows(raw: DataFrame) -> DataFrame:
     return statement_amount(raw).select(
         *keep,
         "account_id",
-        F.to_date("value_date", "MM/dd/yyyy").alias("date"),
+        F.try_to_date("value_date", "MM/dd/yyyy").alias("date"),
         "amount",
         F.col("payment_details").alias("description"),
         "beneficiary",

@@ -52,13 +52,12 @@ def new_rows_columnwise(
     ledger does not have. A row is left out when each of its values occurs
     somewhere in its column, even if no single ledger row has them all.
 
-    The values of an upload are looked up once each; what is new among them picks
-    the rows. All columns share one shuffle instead of a join per column.
+    All columns share one join instead of one each, on the account, the column's
+    name and the value. Few values, such as a status, can hold most rows: those of
+    a hot value are dealt to pieces.
     """
     cell = ["account_id", "field", "text"]
     values = _values(upload, columns, "account_id", row_id)
     seen = _values(ledger, columns, "account_id").distinct()
-    counts = values.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_rows"))
-    unseen = counts.join(seen, cell, "left_anti")
-    picked = lookup_join(values, unseen.select(*cell), cell, [row_id], "inner", counts=counts)
+    picked = lookup_join(values, seen, cell, [row_id], "left_anti")
     return upload.join(picked.select(row_id).distinct(), row_id, "left_semi")

@@ -61,8 +61,9 @@ def read_json_records(
     schema: str = JSON_SCHEMA,
 ) -> DataFrame:
     """JSON records. An array in one file is parsed by one task, because the
-    format cannot be split; `lines=True` reads one record per line, in parallel."""
-    reader = spark.read.schema(schema).option("pathGlobFilter", pattern or extension_glob("json"))
+    format cannot be split; `lines=True` reads one record per line, in parallel.
+    A file that is not JSON stops the read: nothing of it would be a ledger row."""
+    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", pattern or extension_glob("json"))
     return _positioned(reader.option("recursiveFileLookup", "true").json(path, multiLine=not lines))
 
 

@@ -40,7 +40,7 @@ def _stream(spark: SparkSession, kind: str, uploads: str, files_per_batch: int,
     if kind == "csv":
         return reader.schema(HOMEBANK_SCHEMA).option("sep", ";").option("header", "true").csv(uploads)
     if kind == "json":
-        return reader.schema(JSON_SCHEMA).option("multiLine", "true").json(uploads)
+        return reader.schema(JSON_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(uploads)
     return reader.text(uploads)
 
 

@@ -46,6 +46,21 @@ def test_each_reader_takes_its_own_files(spark, tmp_path):
         dt.date(2001, 2, 3), "Cash", "me", "why", -1000)
 
 
+def test_unreadable_values_do_not_stop_an_upload(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"date": "soon", "amount": 1}]))
+    (tmp_path / "b.csv").write_text("date;paymode;info;payee;wording;amount;category;tags\n31/02/2001;x;;;w;much;;\n")
+    row = cleaning.json_rows(uploads.read_json_records(spark, str(tmp_path))).first()
+    assert (row.date, row.amount) == (None, 1)
+    row = cleaning.homebank_rows(uploads.read_homebank(spark, str(tmp_path)).withColumn("account_id", F.lit(1))).first()
+    assert (row.date, row.amount, row.type, row.category) == (None, None, None, "not provided")
+
+
+def test_a_file_that_is_not_json_stops_the_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text("not json")
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        uploads.read_json_records(spark, str(tmp_path)).collect()
+
+
 def test_statement_charset_columns_and_short_lines(spark, tmp_path):
     text = statement(["x;02/03/2001;Cash;Jürgen;\"a;why", "", "only;02/04/2001"])
     (tmp_path / "a.dbcsv").write_bytes(text.encode("latin-1"))
