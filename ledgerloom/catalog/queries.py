@@ -55,6 +55,9 @@ def _done(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return filters.completed(star.ledger(spark, folder, *{*columns, "status"})).select(*columns)
 
 
+# What balances need of a row.
+MOVES = ("tid", "account_id", "date", "amount")
+
 # Sources and sinks ---------------------------------------------------------
 
 @query("ledger_scan")
@@ -286,14 +289,14 @@ def ledger_filter(spark, folder):
 def clamped_filter(spark, folder):
     return filters.clamped_filter(
         star.ledger(spark, folder), AS_OF, date_from=dt.date(2000, 1, 1),
-        amount_ge=Decimal(500), amount_le=Decimal(100))
+        amount_ge=Decimal(500), amount_le=Decimal(100), moves=star.ledger(spark, folder, *MOVES))
 
 
 @query("clamped_filter_both_ends")
 def clamped_filter_both_ends(spark, folder):
     return filters.clamped_filter(
         star.ledger(spark, folder), AS_OF, date_from=dt.date(1998, 1, 1), date_to=dt.date(1999, 12, 31),
-        amount_le=Decimal("-300000"))
+        amount_le=Decimal("-300000"), moves=star.ledger(spark, folder, *MOVES))
 
 
 TABLE_FILTER = filters.TableFilter(
@@ -479,9 +482,6 @@ def portfolio_total(spark, folder):
         star.accounts(spark, folder), star.ledger(spark, folder, "account_id", "amount", "status"))
 
 
-MOVES = ("tid", "account_id", "date", "amount")
-
-
 @query("running_balance")
 def running_balance(spark, folder):
     return balances.running_balance(_done(spark, folder, *MOVES), star.openings(spark, folder))

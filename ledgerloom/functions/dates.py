@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ def months_back(last: Column, months: int) -> Column:
     return F.add_months(F.trunc(last, "MM"), 1 - months)
 
 
+def row_order(date: Column, tid: Column, lowest_id_last: bool = False) -> Column:
+    """Date and id as one number that grows with the date and, on one date, with
+    the id (or against it). Unlike a struct it can be aggregated by hash."""
+    day = F.datediff(date, F.lit(dt.date(1970, 1, 1))).cast("decimal(10,0)")
+    place = tid.cast("decimal(19,0)")
+    days = day * F.lit(Decimal(10) ** 19).cast("decimal(20,0)")
+    return days - place if lowest_id_last else days + place
+
+
 def accepted_date(date: Column, as_of: dt.date) -> Column:
     """The date if it lies in the accepted span, else the load date."""
     date = date.try_cast("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import month_label, month_of
+from ledgerloom.functions.dates import month_label, month_of, row_order
 from ledgerloom.operators.filters import outgo, trailing_cells
 from ledgerloom.plans.skew import running_total
 
@@ -83,7 +83,7 @@ def closing_by_month_outgo(rows: DataFrame, openings: DataFrame, trailing: int |
     missing and income after the last outgo is not in the month's balance."""
     running = outgo(running_total(rows, openings))
     closed = running.groupBy("account_id", month_of(F.col("date")).alias("month")).agg(
-        F.max_by("closing_balance", F.struct("date", "tid")).alias("closing_balance"))
+        F.max_by("closing_balance", row_order(F.col("date"), F.col("tid"))).alias("closing_balance"))
     if trailing:
         closed = trailing_cells(closed, trailing)
     return closed.select("account_id", month_label(F.col("month")).alias("yearmonth"), "closing_balance")

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import month_label, month_of, months_back
+from ledgerloom.functions.dates import month_label, month_of, months_back, row_order
 from ledgerloom.operators.edits import latest_edit
 from ledgerloom.operators.filters import trailing_cells
 from ledgerloom.schema import MONEY, SUBJECTS
@@ -145,7 +145,7 @@ def budget_gauge(
     ).agg(
         F.sum(F.when(F.col("amount") < 0, F.col("amount"))).alias("outgo"),
         F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("gain"),
-        F.max(F.struct("date", (-F.col("tid")).alias("order"))).alias("newest"),
+        F.max(row_order(F.col("date"), F.col("tid"), lowest_id_last=True)).alias("newest"),
     )
     counted = F.when(~F.col("tag").eqNullSafe(NO_INCOME_TAG), F.col("gain"))
     months = base.groupBy("account_id", "month").agg(

@@ -79,12 +79,14 @@ def clamped_filter(
     date_to: dt.date | None = None,
     amount_ge: Decimal | None = None,
     amount_le: Decimal | None = None,
+    moves: DataFrame | None = None,
 ) -> DataFrame:
     """Ranges whose missing ends are the account's own least and greatest values,
     and which widen to those when the ends are not in order.
 
     A range with no end, or with its ends in the wrong order, keeps every row that
-    has a value. Only a range with one end needs the account's extremes.
+    has a value. Only a range with one end needs the account's extremes; `moves` may
+    give the rows' account_id, date and amount alone.
     """
 
     def accepted(d: dt.date | None) -> dt.date | None:
@@ -95,7 +97,7 @@ def clamped_filter(
     one_sided = [n for n, (low, high) in ranges.items() if (low is None) != (high is None)]
     if one_sided:
         extremes = [f(n).alias(f"{f.__name__}_{n}") for n in one_sided for f in (F.min, F.max)]
-        bounds = rows.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_rows"), *extremes)
+        bounds = (rows if moves is None else moves).groupBy("account_id").agg(F.count(F.lit(1)).alias("n_rows"), *extremes)
         rows = lookup_join(rows, bounds.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=bounds)
     conditions = []
     for name, (low, high) in ranges.items():

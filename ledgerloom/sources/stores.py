@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.schema import LEDGER
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(path)
+def read_ledger(
+    spark: SparkSession, path: str, first: dt.date | None = None, last: dt.date | None = None,
+) -> DataFrame:
+    """A stored ledger. Bounds on the date also bound the year, so that only the
+    folders of those years are read."""
+    rows = spark.read.schema(T.StructType([*LEDGER.fields, T.StructField("year", T.IntegerType())])).parquet(path)
+    if first is not None:
+        rows = rows.where((F.col("year") >= first.year) & (F.col("date") >= F.lit(first)))
+    if last is not None:
+        rows = rows.where((F.col("year") <= last.year) & (F.col("date") <= F.lit(last)))
+    return ledger_rows(rows)
 
 
 def ledger_rows(stored: DataFrame) -> DataFrame:

@@ -133,3 +133,17 @@ def test_latest_rows(ledger):
         {"account_id": 2, "date": day(2001, 6, 8)})
     kept = filters.latest_rows(rows, day(2001, 7, 15))
     assert sorted(r.tid for r in kept.collect()) == [1, 2, 3, 4]
+
+
+def test_row_order(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.dates import row_order
+
+    pairs = [(dt.date(1899, 12, 31), 2**63 - 1), (dt.date(1900, 1, 1), 0), (dt.date(1970, 1, 1), 5),
+             (dt.date(1970, 1, 1), 2**63 - 1), (dt.date(2100, 12, 31), 0)]
+    rows = spark.createDataFrame(pairs[::-1], "date date, tid long")
+    up = rows.orderBy(row_order(F.col("date"), F.col("tid"))).collect()
+    assert [tuple(r) for r in up] == pairs
+    down = rows.orderBy(row_order(F.col("date"), F.col("tid"), lowest_id_last=True)).collect()
+    assert [tuple(r) for r in down] == [pairs[i] for i in (0, 1, 3, 2, 4)]

@@ -105,6 +105,10 @@ def test_append(spark, tmp_path, ledger):
     stores.append_rows(ledger({"date": dt.date(2000, 1, 1)}), path)
     stores.append_rows(ledger({"tid": 7}), path)
     assert sorted(r.tid for r in stores.read_ledger(spark, path).collect()) == [0, 7]
+    late = stores.read_ledger(spark, path, dt.date(2001, 1, 1), dt.date(2001, 12, 31))
+    assert [r.tid for r in late.collect()] == [7]
+    assert len(late.inputFiles()) == 2
+    assert "PartitionFilters: [isnotnull(year" in late._jdf.queryExecution().executedPlan().toString()
     assert stores.ledger_rows(spark.read.parquet(path)).columns == stores.LEDGER.fieldNames()
 
 
