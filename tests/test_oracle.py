@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from comparison import connect, differences
-from conftest import FOLDER
 
+# Large enough for every query to have rows.
+FOLDER = "/root/testdata/sf0.01"
 QUERIES, ORACLE = queries(), oracle_sql()
 
 
