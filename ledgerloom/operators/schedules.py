@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.recurrence import next_due
@@ -14,16 +14,25 @@ from ledgerloom.operators.normalise import normalise_transactions
 UPCOMING_TYPE = "electronic"
 
 
+def _due() -> Column:
+    return next_due(F.col("frequency"), F.col("interval_n"), F.col("day"),
+                    F.col("start_date"), F.col("end_date"))
+
+
 def with_due(schedules: DataFrame) -> DataFrame:
     """`due`: the next date of each schedule, null if there is none."""
-    return schedules.withColumn("due", next_due(
-        F.col("frequency"), F.col("interval_n"), F.col("day"), F.col("start_date"), F.col("end_date")))
+    return schedules.withColumn("due", _due())
 
 
 def upcoming(schedules: DataFrame) -> DataFrame:
-    """Active schedules with a next date, as rows that are still open."""
-    return with_due(schedules).where(F.col("active") & F.col("due").isNotNull()).select(
-        F.col("id").alias("stid"), "account_id", F.col("due").alias("date"), "amount",
+    """Active schedules with a next date, as rows that are still open.
+
+    The date is exploded from a list of one or none, so that the rule is worked out
+    once; a filter on it would have it worked out again.
+    """
+    return schedules.where("active").select(
+        F.col("id").alias("stid"), "account_id",
+        F.explode(F.array_compact(F.array(_due()))).alias("date"), "amount",
         F.lit(UPCOMING_TYPE).alias("type"), "description", "category", "subcategory", "tag",
         F.lit(False).alias("status"), "payee")
 
