@@ -352,7 +352,7 @@ def _closing(period: str, name: str, months: int | None = None, outgo: bool = Fa
               FROM (SELECT *, {span} AS inside FROM {kept}) WHERE inside) WHERE n = 1"""
 
 
-oracle("closing_balance_year", _closing("year(date)", "year"))
+oracle("closing_balance_year", _closing("CAST(year(date) AS INTEGER)", "year"))
 for _span, _months in (("month", None), ("l12m", 12), ("l3m", 3)):
     oracle(f"closing_balance_{_span}", _closing("strftime(date, '%Y-%m')", "yearmonth", _months))
     oracle(f"closing_balance_{_span}_outgo", _closing("strftime(date, '%Y-%m')", "yearmonth", _months, True))
@@ -367,7 +367,7 @@ oracle("latest_transactions", f"""
 
 # Sums by period ------------------------------------------------------------
 
-SPANS = {"year": ("year(date)", None), "month": ("strftime(date, '%Y-%m')", None),
+SPANS = {"year": ("CAST(year(date) AS INTEGER)", None), "month": ("strftime(date, '%Y-%m')", None),
          "l12m": ("strftime(date, '%Y-%m')", 12), "l3m": ("strftime(date, '%Y-%m')", 3)}
 
 
