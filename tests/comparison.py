@@ -8,7 +8,8 @@ from collections import Counter
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = ("region nation customer supplier part orders lineitem events documents pages benchmark labels "
+          "conversations").split()
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:

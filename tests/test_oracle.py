@@ -1,14 +1,16 @@
-"""Every registered query against its SQL twin."""
+"""Every ledger query against its SQL twin."""
 
 from __future__ import annotations
 
 import pytest
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from comparison import connect, differences
 
+from ledgerloom.catalog.oracle import ORACLE
+from ledgerloom.catalog.queries import QUERIES
+
 # Large enough for every query to have rows.
 FOLDER = "/root/testdata/sf0.01"
-QUERIES, ORACLE = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
