@@ -169,7 +169,8 @@ def _turned(value: np.ndarray, offset: int) -> np.ndarray:
 
 
 def near_links(prints: DataFrame, fingerprint: str = "fingerprint", budget: int = BITS, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """Links a, b of distinct fingerprints that connect all that differ in at most `budget` bits."""
+    """Pairs a, b of distinct fingerprints whose components are those of all pairs within `budget` bits. A pair may
+    join two that are connected through others."""
     blocks = _blocks(budget)
     value = F.col("value")
     units = prints.select(F.col(fingerprint).alias("value")).select("value", F.explode(F.array(*[
@@ -235,29 +236,33 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", budget: int
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BITS,
+def _rooted(
+    docs: DataFrame, doc_id: str, text: str, width: int, budget: int,
 ) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long), component_id."""
+    """doc_id, fingerprint, root (the smallest fingerprint of the class), component_id."""
     prints = checkpointed(fingerprints(docs, doc_id, text, width))
     nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
     roots = components(near_links(nodes, "fingerprint", budget), "a", "b")
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fingerprint"))
     leaders = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(leaders, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = rooted.join(leaders, "root").select("fingerprint", "root", "component_id")
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+
+
+def classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BITS,
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (long), component_id."""
+    return _rooted(docs, doc_id, text, width, budget).drop("root")
 
 
 def deduplicate(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BITS,
 ) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all its columns."""
-    found = checkpointed(classes(docs, doc_id, text, width, budget))
-    # Rows of one id may have several texts, and a class without ids has none to choose by.
-    first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component_id", "doc_id").agg(F.min("fingerprint").alias("fingerprint")))
-    unnamed = found.where("doc_id is null and component_id is null").select("doc_id", "fingerprint").distinct()
-    stay = first.select("doc_id", "fingerprint").unionByName(unnamed)
+    """One document of each class, with all its columns: the one with the smallest id, of several
+    texts with that id the one with the smallest fingerprint."""
+    stay = (_rooted(docs, doc_id, text, width, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint")))
     stay = stay.select(_key("doc_id", "fingerprint").alias("__key"))
     at = docs.columns.index(text)
 
