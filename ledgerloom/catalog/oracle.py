@@ -103,6 +103,8 @@ oracle("statement_type", """
         WHEN contains(transaction_type, 'Standing Order') OR contains(transaction_type, 'Direct Debit')
         THEN 'Electronic payment' ELSE transaction_type END AS type
     FROM statement_raw""")
+oracle("unreadable_dates", "SELECT pos, value_date FROM statement_raw WHERE value_date LIKE '%.%'")
+oracle("staging_left", f"SELECT {MONEY_ROW} FROM staging WHERE account_id % 2 <> 0")
 oracle("statement_project", f"SELECT {MONEY_ROW} FROM statement_rows")
 oracle("ingest_bank_statement", f"SELECT * EXCLUDE (pos) REPLACE (CAST(amount AS DOUBLE) AS amount) FROM statement_rows")
 
@@ -122,7 +124,7 @@ oracle("normalise_transactions", f"""
         type <> '1-URGENT' AND status AS status, {_fit('payee')}
     FROM ledger""")
 oracle("normalise_staging", f"""
-    SELECT pos AS tid, account_id, date, COALESCE(CAST(amount AS DOUBLE), 0.0) AS amount, {_fit('type')},
+    SELECT pos AS tid, account_id, COALESCE(date, {AS_OF}) AS date, COALESCE(CAST(amount AS DOUBLE), 0.0) AS amount, {_fit('type')},
         {_fit('description', "CASE WHEN type = 'Cash' THEN repeat(description, 20) ELSE description END", default='')},
         CASE WHEN type = 'Cash' THEN '' ELSE COALESCE(beneficiary, '') END AS beneficiary
     FROM statement_rows""")
@@ -262,6 +264,7 @@ _PAGE = "tid, date, CAST(amount AS DOUBLE) AS amount, type, category, descriptio
 _ORDER = "ORDER BY ledger.category DESC NULLS LAST, ledger.date ASC NULLS FIRST, ledger.tid"
 oracle("tq_sort", f"SELECT {MONEY_ROW} FROM ledger WHERE {_FACET}")
 oracle("tq_page", f"SELECT {_PAGE} FROM ledger WHERE {_FACET} {_ORDER} LIMIT 10 OFFSET 20")
+oracle("tq_page_deep", f"SELECT {_PAGE} FROM ledger ORDER BY amount DESC, tid LIMIT 200 OFFSET 14000")
 oracle("tq_page_rest", f"SELECT {_PAGE} FROM ledger WHERE {_FACET} {_ORDER} OFFSET 20")
 oracle("tq_counts", f"""
     SELECT COUNT(*) AS records_total, COUNT(*) FILTER (WHERE {_FACET}) AS records_filtered,
@@ -337,6 +340,12 @@ oracle("ledger_log", f"""
     SELECT * EXCLUDE (closing) REPLACE (CAST(amount AS DOUBLE) AS amount, trim(tag) AS tag),
            CAST(closing AS DOUBLE) AS closing_balance FROM ({_running('ledger', 'DESC')})""")
 
+# A row alone on its date has its place whatever its id.
+oracle("running_balance_unnumbered", f"""
+    SELECT CASE WHEN COUNT(*) OVER (PARTITION BY account_id, date) > 1 THEN tid END AS tid, account_id, date,
+           CAST(amount AS DOUBLE) AS amount, CAST(closing AS DOUBLE) AS closing_balance
+    FROM ({_running('done')})""")
+
 _LAST = "(SELECT MAX(date) FROM {source} m WHERE m.account_id = {row}.account_id)"
 
 
@@ -382,10 +391,10 @@ def _cells(subject: str, span: str, outgo: bool = False) -> str:
         GROUP BY 1, 2, 3"""
 
 
-def _pivot(subject: str, values: list[str], outgo: bool) -> str:
+def _pivot(subject: str, values: list[str], span: str, outgo: bool) -> str:
     cols = ", ".join(
         f"CAST(COALESCE(SUM(net) FILTER (WHERE subject = '{v}'), 0) AS DOUBLE) AS \"{v}\"" for v in values)
-    return f"SELECT account_id, period, {cols} FROM ({_cells(subject, 'year', outgo)}) GROUP BY account_id, period"
+    return f"SELECT account_id, period, {cols} FROM ({_cells(subject, span, outgo)}) GROUP BY account_id, period"
 
 
 def _percent(subject: str, span: str) -> str:
@@ -411,10 +420,11 @@ for _subject, _values in _PIVOT_VALUES.items():
         for _suffix, _outgo in (("", False), ("_outgo", True)):
             oracle(f"spend_by_period_{_subject}_{_span}{_suffix}",
                    f"SELECT * REPLACE (CAST(net AS DOUBLE) AS net) FROM ({_cells(_subject, _span, _outgo)})")
-    oracle(f"pivot_{_subject}", _pivot(_subject, _values, False))
-    oracle(f"pivot_{_subject}_outgo", _pivot(_subject, _values, True))
-    oracle(f"percent_of_income_{_subject}", _percent(_subject, "year"))
-    oracle(f"percent_of_income_{_subject}_l12m", _percent(_subject, "l12m"))
+    for _span in SPANS:
+        _end = "" if _span == "year" else f"_{_span}"
+        oracle(f"pivot_{_subject}{_end}", _pivot(_subject, _values, _span, False))
+        oracle(f"pivot_{_subject}{_end}_outgo", _pivot(_subject, _values, _span, True))
+        oracle(f"percent_of_income_{_subject}{_end}", _percent(_subject, _span))
     oracle("spend_share" if _subject == "category" else f"spend_share_{_subject}", f"""
         SELECT account_id, subject, CAST(SUM(CASE WHEN net < 0 THEN -net ELSE 0 END) AS DOUBLE) AS spent
         FROM ({_cells(_subject, 'month')}) GROUP BY account_id, subject""")
@@ -507,6 +517,28 @@ for _frequency in ("Monthly", "Weekly", "Yearly"):
     oracle(f"next_due_{_frequency.lower()}", f"""
         SELECT id, interval_n, day, start_date, end_date, due
         FROM schedules LEFT JOIN due USING (id) WHERE frequency = '{_frequency}'""")
+
+
+def _due(frequency: str, interval: str, day: str, start: str, end: str, fits: str) -> str:
+    """Every day of every rule is tried."""
+    return f"""
+        WITH rules AS (SELECT id, '{frequency}' AS frequency, CAST({interval} AS INTEGER) AS interval_n, CAST({day} AS INTEGER) AS day,
+                              CAST({start} AS DATE) AS start_date, CAST({end} AS DATE) AS end_date FROM schedules),
+        days AS (SELECT *, CAST(UNNEST(generate_series(start_date, COALESCE(end_date, start_date + INTERVAL 500 YEAR), INTERVAL 1 {"MONTH" if frequency == "Yearly" else "DAY"})) AS DATE) AS c FROM rules),
+        found AS (SELECT id, MIN({"date_trunc('month', c) + (day - 1) * INTERVAL 1 DAY" if frequency == "Yearly" else "c"}) AS due FROM days WHERE {fits} GROUP BY id)
+        SELECT id, frequency, interval_n, day, start_date, end_date, CAST(due AS DATE) AS due FROM rules LEFT JOIN found USING (id)"""
+
+
+_MONTHS = "((year(c) - year(start_date)) * 12 + month(c) - month(start_date))"
+oracle("next_due_quarterly", _due("Quarterly", "interval_n", "day", "start_date", "start_date + INTERVAL 60 MONTH",
+                                  f"{_MONTHS} % (3 * interval_n) = 0 AND day(c) = day"))
+oracle("next_due_from_month_end", _due("Monthly", "interval_n", "-(day % 5)", "start_date", "NULL", f"""
+    c < start_date + INTERVAL 8 MONTH AND ((day = 0 AND c = start_date)
+    OR ({_MONTHS} % interval_n = 0 AND day(c) = day(last_day(c)) + 1 + day AND day < 0))""").replace("INTERVAL 500 YEAR", "INTERVAL 8 MONTH"))
+# Months that begin after the 15th of the first month; all days of those of the first year, else of January.
+oracle("next_due_long_interval", _due("Yearly", "240", "day", "DATE '1850-12-15' - CAST(id % 12 AS INTEGER) * INTERVAL 1 MONTH", "NULL", """
+    (year(c) - year(start_date)) % 240 = 0 AND day <= day(last_day(c)) AND date_trunc('month', c) + (day - 1) * INTERVAL 1 DAY >= start_date
+    AND c < DATE '2101-01-01'"""))
 oracle("upcoming_transactions", f"SELECT {MONEY_ROW} FROM upcoming")
 oracle("post_due", """
     SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount, TRUE AS status)

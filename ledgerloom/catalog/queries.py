@@ -7,7 +7,7 @@ from collections.abc import Callable
 from decimal import Decimal
 from functools import partial, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import inputs
@@ -29,13 +29,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = dt.date(2001, 7, 15)
 QUERIES: dict[str, Query] = {}
 
-# The values of the pivoted columns in the given tables.
-PIVOT_VALUES = {
-    "tag": ["A", "N", "R"],
-    "category": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
-    "subcategory": [f"Brand#{i}" for i in range(1, 26)],
-}
-
 
 def query(name: str) -> Callable[[Query], Query]:
     """Registers a query; its decimals leave as doubles."""
@@ -161,6 +154,11 @@ def statement_project(spark, folder):
     return cleaning.statement_rows(star.statement_raw(spark, folder))
 
 
+@query("unreadable_dates")
+def unreadable_dates(spark, folder):
+    return cleaning.unreadable_dates(star.statement_raw(spark, folder), "value_date", cleaning.statement_date).select("pos", "value_date")
+
+
 @query("normalise_transactions")
 def normalise_transactions(spark, folder):
     return normalise.normalise_transactions(inputs.dirty_ledger(spark, folder), AS_OF)
@@ -227,6 +225,13 @@ def delete_rows(spark, folder):
     return edits.delete_rows(star.ledger(spark, folder), gone)
 
 
+@query("staging_left")
+def staging_left(spark, folder):
+    """The accounts with an even id are promoted."""
+    return promote.staging_left(
+        inputs.staging(spark, folder, AS_OF), star.accounts(spark, folder).where(F.col("account_id") % 2 == 0))
+
+
 @query("staging_listing")
 def staging_listing(spark, folder):
     return promote.staging_listing(inputs.staging(spark, folder, AS_OF))
@@ -393,6 +398,11 @@ def tq_page(spark, folder):
     return _table(spark, folder, **FACET_REQUEST, start=20, length=10).page()
 
 
+@query("tq_page_deep")
+def tq_page_deep(spark, folder):
+    return _table(spark, folder, order=[(2, "desc")], start=14_000, length=200).page()
+
+
 @query("tq_page_rest")
 def tq_page_rest(spark, folder):
     return _table(spark, folder, **FACET_REQUEST, start=20).page()
@@ -490,7 +500,15 @@ def running_balance(spark, folder):
 @query("ledger_log")
 def ledger_log(spark, folder):
     return balances.ledger_log(
-        star.ledger(spark, folder), star.openings(spark, folder), star.ledger(spark, folder, *MOVES))
+        star.ledger(spark, folder), star.openings(spark, folder))
+
+
+@query("running_balance_unnumbered")
+def running_balance_unnumbered(spark, folder):
+    """Rows that are alone on their date have lost their id; they count in their place all the same."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy("account_id", "date")) == 1
+    rows = _done(spark, folder, *MOVES).withColumn("tid", F.when(~alone, F.col("tid")))
+    return balances.running_balance(rows, star.openings(spark, folder))
 
 
 @query("closing_balance_year")
@@ -533,14 +551,14 @@ for _subject in SUBJECTS:
         for _suffix, _only in (("", False), ("_outgo", True)):
             query(f"spend_by_period_{_subject}_{_span}{_suffix}")(partial(
                 _cells, subject=_subject, period=_period, trailing=_months, only_outgo=_only))
-    query(f"pivot_{_subject}")(lambda spark, folder, s=_subject: shares.pivot(
-        _cells(spark, folder, s, "year"), PIVOT_VALUES[s]))
-    query(f"pivot_{_subject}_outgo")(lambda spark, folder, s=_subject: shares.pivot(
-        _cells(spark, folder, s, "year", only_outgo=True), PIVOT_VALUES[s]))
-    query(f"percent_of_income_{_subject}")(lambda spark, folder, s=_subject: shares.percent_of_income(
-        _cells(spark, folder, s, "year")))
-    query(f"percent_of_income_{_subject}_l12m")(lambda spark, folder, s=_subject: shares.percent_of_income(
-        _cells(spark, folder, s, "month", 12)))
+    for _span, (_period, _months) in SPANS.items():
+        # The keys of a year have no span in their names.
+        _end = "" if _span == "year" else f"_{_span}"
+        for _suffix, _only in (("", False), ("_outgo", True)):
+            query(f"pivot_{_subject}{_end}{_suffix}")(
+                lambda spark, folder, s=_subject, p=_period, n=_months, o=_only: shares.pivot(_cells(spark, folder, s, p, n, o)))
+        query(f"percent_of_income_{_subject}{_end}")(
+            lambda spark, folder, s=_subject, p=_period, n=_months: shares.percent_of_income(_cells(spark, folder, s, p, n)))
     query("spend_share" if _subject == "category" else f"spend_share_{_subject}")(lambda spark, folder, s=_subject: shares.spend_share(
         _cells(spark, folder, s, "month")))
 
@@ -588,6 +606,29 @@ for _frequency in ("Monthly", "Weekly", "Yearly"):
     query(f"next_due_{_frequency.lower()}")(_due(_frequency))
 
 
+def _due_of(spark, folder, **changes):
+    rows = star.schedules(spark, folder).withColumns(changes)
+    return schedules.with_due(rows).select("id", "frequency", "interval_n", "day", "start_date", "end_date", "due")
+
+
+@query("next_due_quarterly")
+def next_due_quarterly(spark, folder):
+    return _due_of(spark, folder, frequency=F.lit("Quarterly"), end_date=F.add_months("start_date", 60))
+
+
+@query("next_due_from_month_end")
+def next_due_from_month_end(spark, folder):
+    """Days counted from the end of the month, and day 0; rules without an end."""
+    return _due_of(spark, folder, frequency=F.lit("Monthly"), day=-(F.col("day") % 5), end_date=F.lit(None).cast("date"))
+
+
+@query("next_due_long_interval")
+def next_due_long_interval(spark, folder):
+    """Every 240 years, from 1850 on."""
+    start = F.add_months(F.lit("1850-12-15").cast("date"), -(F.col("id") % 12).cast("int"))
+    return _due_of(spark, folder, frequency=F.lit("Yearly"), interval_n=F.lit(240), start_date=start, end_date=F.lit(None).cast("date"))
+
+
 @query("upcoming_transactions")
 def upcoming_transactions(spark, folder):
     return schedules.listed_upcoming(star.schedules(spark, folder))

@@ -69,7 +69,7 @@ VIEWS = {
         FROM ledger JOIN accounts USING (account_id)
         WHERE subcategory IS NOT NULL AND currency IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')""",
     "homebank_raw": """
-        SELECT tid AS pos, account_id, strftime(date, '%d/%m/%Y') AS date, CAST(tid % 12 AS INTEGER) AS paymode,
+        SELECT tid AS pos, account_id, CASE WHEN tid % 3 = 0 THEN strftime(date, '%-d/%-m/%Y') ELSE strftime(date, '%d/%m/%Y') END AS date, CAST(tid % 12 AS INTEGER) AS paymode,
                CASE WHEN tid % 7 = 0 THEN NULL ELSE payee END AS payee, description AS wording,
                CAST(amount AS VARCHAR) AS amount,
                CASE tid % 6 WHEN 0 THEN 'Automobile:Insurance' WHEN 1 THEN 'Insurance:Automobile'
@@ -88,7 +88,8 @@ VIEWS = {
                COALESCE(NULLIF(string_split(category, ':')[2], ''), 'not provided') AS subcategory
         FROM homebank_clean""",
     "statement_raw": """
-        SELECT tid AS pos, account_id, strftime(date, '%m/%d/%Y') AS value_date,
+        SELECT tid AS pos, account_id, CASE WHEN tid % 89 = 5 THEN strftime(date, '%d.%m.%y') WHEN tid % 4 = 0 THEN strftime(date, '%-m/%-d/%Y')
+                    WHEN tid % 4 = 1 THEN strftime(date, '%Y-%m-%d') ELSE strftime(date, '%m/%d/%Y') END AS value_date,
                CASE tid % 6 WHEN 0 THEN 'Cash withdrawal' WHEN 1 THEN 'Credit Transfer'
                             WHEN 2 THEN 'Debit Card Payment' WHEN 3 THEN 'Standing Order'
                             WHEN 4 THEN 'SEPA Direct Debit' ELSE 'Fee' END AS transaction_type,
@@ -105,7 +106,7 @@ VIEWS = {
             FROM statement_raw)
         WHERE amount IS NULL OR amount <> 0""",
     "statement_rows": """
-        SELECT pos, account_id, CAST(strptime(value_date, '%m/%d/%Y') AS DATE) AS date, amount,
+        SELECT pos, account_id, CAST(COALESCE(try_strptime(value_date, '%m/%d/%Y'), try_strptime(value_date, '%Y-%m-%d')) AS DATE) AS date, amount,
                payment_details AS description, beneficiary,
                CASE WHEN transaction_type LIKE '%Cash%' THEN 'Cash'
                     WHEN transaction_type LIKE '%Credit%' THEN 'Electronic payment'
@@ -115,7 +116,7 @@ VIEWS = {
                     ELSE transaction_type END AS type
         FROM statement_money""",
     "staging": """
-        SELECT pos AS tid, account_id, date, COALESCE(amount, 0) AS amount, type,
+        SELECT pos AS tid, account_id, COALESCE(date, DATE '2001-07-15') AS date, COALESCE(amount, 0) AS amount, type,
                CASE WHEN length(description) BETWEEN 1 AND 128 THEN description ELSE '' END AS description,
                CASE WHEN length(beneficiary) BETWEEN 1 AND 128 THEN beneficiary ELSE '' END AS beneficiary
         FROM statement_rows""",

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import LAST_DATE
 
-# No rule can reach further than the accepted span of dates: 201 years.
-LONGEST_YEARS = 201
 
 
 def _day_in_month(month: Column, day: Column) -> Column:
@@ -48,10 +46,11 @@ def _monthly(step: Column, day: Column, start: Column, end: Column) -> Column:
     13 candidates decide. Otherwise the month of the year never changes and only
     29 February can come late: then the whole span is tried, 202 months at most.
     """
-    first = F.trunc(start, "MM")
-    step = F.least(step, F.lit(12 * LONGEST_YEARS))
-    stop = F.trunc(end, "MM")
-    stop = F.when(step % 12 == 0, stop).otherwise(F.least(stop, F.add_months(first, step * 12)))
+    first, stop = F.trunc(start, "MM"), F.trunc(end, "MM")
+    # A step past the end leaves the first month alone, as any longer one does.
+    span = (F.year(stop) - F.year(first)) * 12 + F.month(stop) - F.month(first)
+    step = F.least(step, span + 1).cast("int")
+    stop = F.when(step % 12 == 0, stop).otherwise(F.least(stop, F.add_months(first, F.least(step, F.lit(4000)) * 12)))
     return _first_fit(_months(first, stop, step), day, start, end)
 
 
@@ -59,12 +58,12 @@ def _yearly(interval: Column, day: Column, start: Column, end: Column) -> Column
     """Any month of every `interval`-th year: the rest of the first year, then
     January of the next eligible one, which has every day."""
     first = F.trunc(start, "MM")
-    step = F.least(interval, F.lit(LONGEST_YEARS))
     rest = F.sequence(
         first, F.make_date(F.year(start), F.lit(12), F.lit(1)),
         F.make_ym_interval(F.lit(0), F.lit(1)),
     )
-    january = F.make_date(F.year(start) + step, F.lit(1), F.lit(1))
+    reached = interval <= F.year(end) - F.year(start)
+    january = F.when(reached, F.make_date(F.year(start) + interval, F.lit(1), F.lit(1)))
     return _first_fit(F.concat(rest, F.array(january)), day, start, end)
 
 
@@ -98,7 +97,7 @@ def next_due(frequency: Column, interval: Column, day: Column, start: Column, en
         .when(day == 0, start)
         .when(F.abs(day) > 31, None)
         .when(kind == "monthly", _monthly(interval, day, start, end))
-        .when(kind == "quarterly", _monthly(F.least(interval, F.lit(12 * LONGEST_YEARS)) * 3, day, start, end))
+        .when(kind == "quarterly", _monthly(interval.cast("long") * 3, day, start, end))
         .when(kind == "yearly", _yearly(interval, day, start, end))
         .when(kind == "weekly", _weekly(interval, day, start, end))
     )

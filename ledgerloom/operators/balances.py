@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_label, month_of, row_order
-from ledgerloom.operators.filters import outgo, trailing_cells
-from ledgerloom.plans.skew import running_total
+from ledgerloom.operators.filters import trailing_cells
+from ledgerloom.plans.skew import lookup_join, running_total
+
+# Stands for the month of rows without a date; before every accepted date.
+NO_MONTH = dt.date(1800, 1, 1)
 
 
 def account_overview(accounts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -44,10 +49,10 @@ def running_balance(rows: DataFrame, openings: DataFrame) -> DataFrame:
     return running_total(rows, openings)
 
 
-def ledger_log(rows: DataFrame, openings: DataFrame, moves: DataFrame | None = None) -> DataFrame:
+def ledger_log(rows: DataFrame, openings: DataFrame) -> DataFrame:
     """The listing: all rows, tags trimmed, balance added up from the newest row."""
     listed = rows.withColumn("tag", F.trim("tag"))
-    return running_total(listed, openings, newest_first=True, moves=moves)
+    return running_total(listed, openings, newest_first=True)
 
 
 def _with_opening(sums: DataFrame, openings: DataFrame, period: str) -> DataFrame:
@@ -81,9 +86,24 @@ def closing_by_month(rows: DataFrame, openings: DataFrame, trailing: int | None
 def closing_by_month_outgo(rows: DataFrame, openings: DataFrame, trailing: int | None = None) -> DataFrame:
     """Balance at the last outgo row of each month: months without outgo are
     missing and income after the last outgo is not in the month's balance."""
-    running = outgo(running_total(rows, openings))
-    closed = running.groupBy("account_id", month_of(F.col("date")).alias("month")).agg(
-        F.max_by("closing_balance", row_order(F.col("date"), F.col("tid"))).alias("closing_balance"))
+    # Rows without a date come first, as a month of their own.
+    dated = rows.withColumns({
+        "__month": F.coalesce(month_of(F.col("date")), F.lit(NO_MONTH)),
+        "__place": row_order(F.coalesce("date", F.lit(NO_MONTH)), F.coalesce("tid", F.lit(-1)))})
+    spent = ~F.coalesce(F.col("amount") > 0, F.lit(False))
+    months = dated.groupBy("account_id", "__month").agg(
+        F.max(F.when(spent, F.col("__place"))).alias("__last"), F.sum("amount").alias("net"), F.count(F.lit(1)).alias("n_rows"))
+    # Of a month's rows only those up to its last outgo count; the months before count in full.
+    lasts = months.where("__last is not null").select("account_id", "__month", "__last")
+    upto = (lookup_join(dated, lasts, ["account_id", "__month"], ["__place"], "inner", counts=months, nulls_match=True)
+            .where(F.col("__place") <= F.col("__last")).groupBy("account_id", "__month").agg(F.sum("amount").alias("upto")))
+    before = F.sum("net").over(Window.partitionBy("account_id").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1))
+    closed = (months.withColumn("before", F.coalesce(before, F.lit(0))).where("__last is not null").alias("m")
+              .join(upto.alias("u"), F.expr("m.account_id <=> u.account_id and m.__month = u.__month"))
+              .select("m.account_id", F.nullif("m.__month", F.lit(NO_MONTH)).alias("month"), "before", "upto")
+              .join(openings, "account_id", "left")
+              .select("account_id", "month", (F.coalesce("opening", F.lit(0)) + F.col("before") + F.coalesce("upto", F.lit(0)))
+                      .cast("decimal(28,2)").alias("closing_balance")))
     if trailing:
         closed = trailing_cells(closed, trailing)
     return closed.select("account_id", month_label(F.col("month")).alias("yearmonth"), "closing_balance")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +24,38 @@ STATEMENT_TYPES = [
 ]
 
 
+def _filled(text: Column) -> Column:
+    """The text without outer blanks; null if that leaves nothing."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def homebank_date(text: Column) -> Column:
+    """Day first, with or without leading zeros."""
+    return F.try_to_date(_filled(text), "d/M/yyyy")
+
+
+def statement_date(text: Column) -> Column:
+    """Month first, with or without leading zeros, or in ISO form."""
+    return F.coalesce(F.try_to_date(_filled(text), "M/d/yyyy"), F.substring(_filled(text), 1, 10).try_cast("date"))
+
+
+def json_date(text: Column) -> Column:
+    """In ISO form, with or without a time, or milliseconds since 1970."""
+    millis = F.when(_filled(text).rlike(r"^-?\d{5,}$"), _filled(text).try_cast("long"))
+    return F.coalesce(F.to_date(F.timestamp_millis(millis)), F.substring(_filled(text), 1, 10).try_cast("date"))
+
+
+def unreadable_dates(raw: DataFrame, name: str, read: Callable[[Column], Column]) -> DataFrame:
+    """The uploaded rows whose date is given but cannot be read. Later steps would give them the load date."""
+    return raw.where(_filled(F.col(name)).isNotNull() & read(F.col(name)).isNull())
+
+
 def clean_homebank(raw: DataFrame) -> DataFrame:
     """Ledger names, completed, and no gaps in the text columns."""
     keep = [c for c in ("file", "pos", "account_id") if c in raw.columns]
     return raw.select(
         *keep,
-        F.try_to_date("date", "dd/MM/yyyy").alias("date"),
+        homebank_date(F.col("date")).alias("date"),
         parse_money(F.col("amount")).alias("amount"),
         F.col("paymode").alias("type"),
         or_missing(F.col("wording")).alias("description"),
@@ -66,7 +91,7 @@ def json_rows(raw: DataFrame) -> DataFrame:
     """A JSON upload as ledger rows: ids and balances of the file are not kept."""
     dropped = [c for c in ("tid", "closing_balance") if c in raw.columns]
     return raw.withColumns({
-        "date": F.substring("date", 1, 10).try_cast("date"),
+        "date": json_date(F.col("date")),
         "amount": F.col("amount").cast(MONEY),
     }).drop(*dropped)
 
@@ -98,7 +123,7 @@ def statement_rows(raw: DataFrame) -> DataFrame:
     return statement_amount(raw).select(
         *keep,
         "account_id",
-        F.try_to_date("value_date", "MM/dd/yyyy").alias("date"),
+        statement_date(F.col("value_date")).alias("date"),
         "amount",
         F.col("payment_details").alias("description"),
         "beneficiary",

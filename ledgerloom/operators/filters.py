@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import FIRST_DATE, LAST_DATE, months_back
@@ -98,7 +98,7 @@ def clamped_filter(
     if one_sided:
         extremes = [f(n).alias(f"{f.__name__}_{n}") for n in one_sided for f in (F.min, F.max)]
         bounds = (rows if moves is None else moves).groupBy("account_id").agg(F.count(F.lit(1)).alias("n_rows"), *extremes)
-        rows = lookup_join(rows, bounds.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=bounds)
+        rows = lookup_join(rows, bounds.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=bounds, nulls_match=True)
     conditions = []
     for name, (low, high) in ranges.items():
         col = F.col(name)
@@ -161,31 +161,36 @@ def filtered_totals(rows: DataFrame, f: TableFilter) -> DataFrame:
 
 
 def trailing_months(rows: DataFrame, months: int) -> DataFrame:
-    """Rows in the month of the account's last row and the `months - 1` before."""
+    """Rows in the month of the account's last row and the `months - 1` before. Rows without
+    an account are a group like any other."""
     last = rows.groupBy("account_id").agg(
         F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_rows"))
-    kept = lookup_join(rows, last.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=last)
+    kept = lookup_join(rows, last.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=last, nulls_match=True)
     return kept.where(F.col("date") >= months_back(F.col("last_date"), months)).select(*rows.columns)
 
 
 def latest_rows(rows: DataFrame, as_of: dt.date, moves: DataFrame | None = None) -> DataFrame:
-    """Rows of the last 30 days; for an account without any, those of the 7 days
+    """Newest first, rows of the last 30 days; for an account without any, those of the 7 days
     before its last row. Future rows belong to the first kind. `moves` may give the
     rows' account_id and date alone."""
     last = (rows if moves is None else moves).groupBy("account_id").agg(
         F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_rows"))
     near = F.date_sub(F.lit(as_of), 30)
     since = F.when(F.col("last_date") > near, near).otherwise(F.date_sub("last_date", 7))
-    kept = lookup_join(rows, last.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=last)
-    return kept.where(F.col("date") > since).select(*rows.columns)
+    kept = lookup_join(rows, last.drop("n_rows"), ["account_id"], ["tid"], "inner", counts=last, nulls_match=True)
+    newest = [F.col("date").desc(), F.col("tid").desc()]
+    return kept.where(F.col("date") > since).select(*rows.columns).orderBy(*newest)
 
 
 def trailing_cells(cells: DataFrame, months: int) -> DataFrame:
     """`trailing_months` for sums already keyed by account and `month`.
 
-    A window group is an account's sums, not its rows: at most its subjects times
-    the calendar months. It needs no second look at the rows.
+    The last month of each account is an aggregate. Its trailing months join the sums by account and month, and a month
+    with very many subjects is dealt to pieces, so no task needs all sums of an account.
     """
-    last = F.max("month").over(Window.partitionBy("account_id"))
-    return cells.withColumn("last_month", last).where(
-        F.col("month") >= months_back(F.col("last_month"), months))
+    last = cells.groupBy("account_id").agg(F.max("month").alias("last_month")).where("last_month is not null")
+    step = F.make_ym_interval(F.lit(0), F.lit(1))
+    kept = last.select("account_id", "last_month", F.explode(F.sequence(
+        months_back(F.col("last_month"), months), F.col("last_month"), step)).alias("month"))
+    spread = [c for c in cells.columns if c not in ("account_id", "month")]
+    return lookup_join(cells, kept, ["account_id", "month"], spread, "inner", nulls_match=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +41,21 @@ def promote_staging(staging: DataFrame, ledger: DataFrame, as_of: dt.date) -> Da
 
 def promote_report(staging: DataFrame, ledger: DataFrame, as_of: dt.date) -> DataFrame:
     """Per account: rows before, staged, added, left out as duplicates, and after."""
-    def count(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("account_id").agg(F.count(F.lit(1)).alias(name))
-
-    added = count(promote_staging(staging, ledger, as_of), "added")
-    counts = (count(ledger.select("account_id"), "transactions_before")
-              .join(count(staging, "to_be_added"), "account_id", "full")
-              .join(added, "account_id", "left").na.fill(0))
+    kinds = {"transactions_before": ledger, "to_be_added": staging, "added": promote_staging(staging, ledger, as_of)}
+    marked = [rows.select("account_id", *[F.lit(int(k == name)).alias(k) for k in kinds]) for name, rows in kinds.items()]
+    # One aggregate of all rows, each counted in one column.
+    counts = reduce(DataFrame.unionByName, marked).groupBy("account_id").agg(*[F.sum(k).alias(k) for k in kinds])
     return counts.select(
         "account_id", "transactions_before", "to_be_added", "added",
         (F.col("to_be_added") - F.col("added")).alias("duplicates"),
         (F.col("transactions_before") + F.col("added")).alias("transactions_after"))
 
 
+def staging_left(staging: DataFrame, promoted: DataFrame) -> DataFrame:
+    """What stays staged once the rows of the accounts in `promoted` have been moved: added or known already, they leave."""
+    return staging.join(promoted.select("account_id").distinct(), "account_id", "left_anti").select(*staging.columns)
+
+
 def staging_listing(staging: DataFrame) -> DataFrame:
     return staging.select(
         "tid", "account_id", F.to_date("date").alias("date"), "amount", "type",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_label, month_of
 from ledgerloom.functions.money import percent_half_up
 from ledgerloom.operators.filters import trailing_cells
+from ledgerloom.plans.skew import lookup_join
 from ledgerloom.schema import MISSING
 
 
@@ -34,34 +35,33 @@ def spend_by_period(
         "account_id", label.alias("period"), "subject", "net")
 
 
-def pivot(cells: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
-    """One column per subject, 0 where there is nothing. Name the values to fix the
-    columns, and to save the job that looks for them and a shuffle: then a period
-    is one aggregate with a sum per value."""
+def pivot(cells: DataFrame, values: Sequence[str] | None = None, other: str = "other") -> DataFrame:
+    """One column per subject, 0 where there is nothing; the columns add up to the period's net. Name values to fix the
+    columns, and to save the job that looks for them: the subjects not named then add up in the column `other`."""
     by_period = cells.groupBy("account_id", "period")
     if values is None:
         wide = by_period.pivot("subject").agg(F.first("net"))
         subjects = [c for c in wide.columns if c not in ("account_id", "period")]
         return wide.select("account_id", "period", *[
             F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("decimal(28,2)").alias(c) for c in subjects])
+    named = {v: F.col("subject") == v for v in values} | {other: ~F.col("subject").isin(*values)}
     return by_period.agg(*[
-        F.sum(F.when(F.col("subject") == v, F.col("net")).otherwise(F.lit(0))).cast("decimal(28,2)").alias(v)
-        for v in values])
+        F.sum(F.when(own, F.col("net")).otherwise(F.lit(0))).cast("decimal(28,2)").alias(name) for name, own in named.items()])
 
 
 def percent_of_income(cells: DataFrame) -> DataFrame:
     """What share of the period's income each subject with a net outgo took.
 
-    Income is the sum of the subjects with a net gain, so the window group is the
-    subjects of one account in one period.
+    Income is the sum of the subjects with a net gain: an aggregate per account and period, joined back to the subjects.
     """
-    income = F.sum(F.greatest(F.col("net"), F.lit(0))).over(Window.partitionBy("account_id", "period"))
+    gain = F.sum(F.greatest(F.col("net"), F.lit(0))).cast("decimal(28,2)")
+    incomes = cells.groupBy("account_id", "period").agg(gain.alias("income"), F.count(F.lit(1)).alias("n_rows"))
+    known = lookup_join(cells, incomes.drop("n_rows"), ["account_id", "period"], ["subject"], "inner", counts=incomes, nulls_match=True)
     share = F.when(
         (F.col("net") < 0) & (F.col("income") > 0),
         percent_half_up(-F.col("net"), F.col("income")),
     ).otherwise(F.lit(0.0))
-    return (cells.withColumn("income", income.cast("decimal(28,2)"))
-            .where(F.col("subject") != MISSING)
+    return (known.where(F.col("subject") != MISSING)
             .select("account_id", "period", "subject", "income", share.alias("percent")))
 
 

@@ -1,26 +1,22 @@
-"""Joins and running totals that survive one key holding a large part of the rows.
-
-A key is hot when it holds more than 1/SHARE of all rows (and more than a floor
-below which no group can hurt a task). There are fewer than SHARE such keys
-whatever the data, so their list is safe to broadcast: that is the only broadcast
-hint used on data-dependent input in this package.
-"""
+"""Joins and running totals that survive one key holding a large part of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SHARE = 10_000
-FLOOR_SETTING = "spark.ledgerloom.hotRows"
-FLOOR = 1_000_000
+from ledgerloom.plans.workspace import checkpointed
+
+# Rows of one key that may meet in one piece of a join. A constant: it does not grow with the data.
+PIECE_SETTING = "spark.ledgerloom.pieceRows"
+PIECE_ROWS = 1_000_000
 
 
-def hot_floor(spark: SparkSession) -> int:
-    """Rows a key may hold before it can count as hot (also the slice width)."""
-    return int(spark.conf.get(FLOOR_SETTING, str(FLOOR)))
+def piece_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(PIECE_SETTING, str(PIECE_ROWS)))
 
 
 def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -28,15 +24,16 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys above the share, with the number of pieces to cut them into.
+    """Keys with more rows than a piece may have, and the number of pieces to cut them into.
 
-    Fewer than SHARE rows, and the pieces add up to less than 2 * SHARE.
+    The list has at most one key per PIECE_ROWS rows: a few ten megabytes for 10^12 rows.
     """
-    floor = hot_floor(counts.sparkSession)
-    total = counts.agg(F.sum("n_rows").alias("total")).scalar()
-    limit = F.greatest(F.lit(floor).cast("double"), total / F.lit(float(SHARE)))
-    return counts.where(F.col("n_rows") > limit).select(
-        *keys, F.ceil(F.col("n_rows") / limit).cast("int").alias("pieces"))
+    limit = piece_rows(counts.sparkSession)
+    return counts.where(F.col("n_rows") > limit).select(*keys, F.ceil(F.col("n_rows") / limit).cast("int").alias("pieces"))
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def lookup_join(
@@ -46,87 +43,65 @@ def lookup_join(
     spread: Sequence[str],
     how: str = "left",
     counts: DataFrame | None = None,
+    nulls_match: bool = False,
 ) -> DataFrame:
     """Join rows to a table with at most one row per key.
 
     Rows of a hot key are dealt to pieces by a hash of `spread`; only the lookup
-    rows of hot keys are repeated, once per piece. `counts` may pass in the rows
+    rows of hot keys are repeated, once per piece. Rows with a null key are a key like any other for this, whether or not
+    they may find a lookup row (`nulls_match`). `counts` may pass in the rows
     per key (`n_rows`) when the caller has them or can get them for less.
     """
     keys = list(keys)
     counts = key_counts(rows, keys) if counts is None else counts.select(*keys, "n_rows")
-    hot = F.broadcast(hot_keys(counts, keys))
-    dealt = rows.join(hot, keys, "left").withColumn(
-        "piece",
-        F.pmod(F.xxhash64(*spread), F.coalesce(F.col("pieces"), F.lit(1))).cast("int"),
-    ).drop("pieces")
-    repeated = lookup.join(hot, keys, "left").withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1)),
-    ).drop("pieces")
-    return dealt.join(repeated, [*keys, "piece"], how).drop("piece")
+    hot = hot_keys(counts, keys).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.col("pieces").alias("__pieces"))
+    pieces = F.coalesce(F.col("__pieces"), F.lit(1))
+
+    def with_pieces(frame: DataFrame) -> DataFrame:
+        same = _all([F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys])
+        return frame.join(F.broadcast(hot), same, "left")
+
+    dealt = with_pieces(rows).select(*rows.columns, F.pmod(F.xxhash64(*spread), pieces).cast("int").alias("__piece"))
+    others = [c for c in lookup.columns if c not in keys]
+    repeated = with_pieces(lookup).select(
+        *[F.col(k).alias(f"__key_{k}") for k in keys], *others,
+        F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__other"))
+
+    def same(k: str) -> Column:
+        return F.col(k).eqNullSafe(F.col(f"__key_{k}")) if nulls_match else F.col(k) == F.col(f"__key_{k}")
+
+    found = dealt.join(repeated, _all([*map(same, keys), F.col("__piece") == F.col("__other")]), how)
+    return found.select(*rows.columns, *([] if how in ("left_anti", "left_semi") else others))
 
 
 def running_total(
-    rows: DataFrame,
-    openings: DataFrame,
-    out: str = "closing_balance",
-    newest_first: bool = False,
-    moves: DataFrame | None = None,
+    rows: DataFrame, openings: DataFrame, out: str = "closing_balance", newest_first: bool = False,
 ) -> DataFrame:
     """Opening balance plus the amounts up to each row, by account, date and tid.
-    `moves` may give the rows' tid, account_id, date and amount alone, where those
-    are cheaper to read than the rows.
 
-    An ordinary account is one window group. A hot account is cut into cells of
-    one date and one slice of tids; tids are unique, so a cell holds at most as
-    many rows as a slice is wide. The total before a cell comes from per-date and
-    per-slice sums, which are aggregated on the map side. Rows shuffle once.
+    One plan for every account. The rows are ranged by account, date and tid over all tasks, so a part holds
+    a run of that order, however few accounts, dates or ids there are, and is as large as any other. The sums of an account's earlier
+    parts give the balance a part begins with; inside a part the rows are added up.
+
+    Rows without an id, or without a date, come before the others (after them when the newest come first);
+    rows that are equal in account, date and id are taken in any one order.
     """
-    width = hot_floor(rows.sparkSession)
-    moves = rows if moves is None else moves
-    hot = F.broadcast(hot_keys(key_counts(moves, ["account_id"]), ["account_id"]))
-    no_date = F.to_date(F.lit("0001-01-01"))
-    is_hot = F.col("pieces").isNotNull()
-    cell = ["account_id", "cell_date", "cell_slice"]
-
-    hot_cell = {
-        "cell_date": F.coalesce(F.col("date"), no_date),
-        "cell_slice": F.floor(F.col("tid") / width).cast("long"),
-    }
-    tagged = rows.join(hot, "account_id", "left").withColumns({
-        "cell_date": F.when(is_hot, hot_cell["cell_date"]).otherwise(no_date),
-        "cell_slice": F.when(is_hot, hot_cell["cell_slice"]).otherwise(F.lit(0).cast("long")),
-    })
-
-    def way(name: str) -> Column:
-        return F.col(name).desc() if newest_first else F.col(name).asc()
-
-    def before(name: str, by: list[str], order: str) -> Column:
-        frame = Window.partitionBy(*by).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(name).over(frame), F.lit(0).cast("decimal(28,2)"))
-
-    cells = (moves.join(hot, "account_id").withColumns(hot_cell).groupBy(*cell)
-             .agg(F.sum("amount").cast("decimal(28,2)").alias("cell_sum")))
-    # At most one row per calendar day and account, then one per slice and day.
-    days = (cells.groupBy("account_id", "cell_date")
-            .agg(F.sum("cell_sum").cast("decimal(28,2)").alias("day_sum"))
-            .withColumn("day_before", before("day_sum", ["account_id"], "cell_date"))
-            .drop("day_sum"))
-    hot_openings = F.broadcast(openings.join(hot, "account_id", "left_semi"))
-    hot_starts = (cells.withColumn("slice_before", before("cell_sum", ["account_id", "cell_date"], "cell_slice"))
-                  .join(days, ["account_id", "cell_date"])
-                  .join(hot_openings, "account_id", "left")
-                  .select(*cell, (F.coalesce(F.col("opening"), F.lit(0)) + F.col("day_before")
-                                  + F.col("slice_before")).cast("decimal(28,2)").alias("cell_start")))
-    cold_starts = (openings.join(hot, "account_id", "left_anti")
-                   .select("account_id", no_date.alias("cell_date"),
-                           F.lit(0).cast("long").alias("cell_slice"),
-                           F.col("opening").cast("decimal(28,2)").alias("cell_start")))
-    starts = cold_starts.unionByName(hot_starts)
-
-    inside = (Window.partitionBy(*cell).orderBy(way("date"), way("tid"))
+    def way(c: str) -> Column:
+        return F.col(c).desc_nulls_last() if newest_first else F.col(c).asc_nulls_first()
+
+    order = [way("date"), way("tid"), F.col("__tie")]
+    tied = rows.withColumn("__tie", F.xxhash64(*rows.columns))
+    # The parts must be the same for their sums and for their rows: they are written once.
+    parts = checkpointed(tied.repartitionByRange(F.col("account_id"), *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy("account_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (parts.groupBy("account_id", "__part").agg(F.sum("amount").alias("__sum"))
+              .withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+              .join(openings, "account_id", "left")
+              .select(F.col("account_id").alias("__account"), F.col("__part").alias("__at"),
+                      (F.coalesce("opening", F.lit(0)) + F.col("__before")).cast("decimal(28,2)").alias("__start")))
+    same = F.col("account_id").eqNullSafe(F.col("__account")) & (F.col("__part") == F.col("__at"))
+    inside = (Window.partitionBy("account_id", "__part").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.coalesce(F.col("cell_start"), F.lit(0)) + F.coalesce(F.sum("amount").over(inside), F.lit(0))
-    return (tagged.join(starts, cell, "left")
-            .withColumn(out, total.cast("decimal(28,2)"))
+    total = F.col("__start") + F.coalesce(F.sum("amount").over(inside), F.lit(0))
+    return (parts.join(starts, same).withColumn(out, total.cast("decimal(28,2)"))
             .select(*rows.columns, out))

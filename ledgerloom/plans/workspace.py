@@ -1,11 +1,11 @@
-"""Shared folder for files a job writes."""
+"""Shared folder for files a job writes, and checkpoints below it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def run_folder(spark: SparkSession, purpose: str) -> str:
@@ -20,3 +20,16 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{shared.rstrip('/')}/ledgerloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame, written once to the folder in spark.checkpoint.dir and read from there.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    spark = frame.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+    return frame.checkpoint()

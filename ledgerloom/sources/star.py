@@ -146,7 +146,7 @@ def homebank_raw(spark: SparkSession, folder: str) -> DataFrame:
     return ledger(spark, folder).select(
         tid.alias("pos"),
         "account_id",
-        F.date_format("date", "dd/MM/yyyy").alias("date"),
+        F.when(tid % 3 == 0, F.date_format("date", "d/M/yyyy")).otherwise(F.date_format("date", "dd/MM/yyyy")).alias("date"),
         (tid % 12).cast("int").alias("paymode"),
         F.when(tid % 7 == 0, None).otherwise(F.col("payee")).alias("payee"),
         F.col("description").alias("wording"),
@@ -164,7 +164,8 @@ def statement_raw(spark: SparkSession, folder: str) -> DataFrame:
     return ledger(spark, folder).select(
         tid.alias("pos"),
         "account_id",
-        F.date_format("date", "MM/dd/yyyy").alias("value_date"),
+        F.when(tid % 89 == 5, F.date_format("date", "dd.MM.yy")).when(tid % 4 == 0, F.date_format("date", "M/d/yyyy"))
+        .when(tid % 4 == 1, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "MM/dd/yyyy")).alias("value_date"),
         F.when(tid % 6 == 0, "Cash withdrawal").when(tid % 6 == 1, "Credit Transfer")
         .when(tid % 6 == 2, "Debit Card Payment").when(tid % 6 == 3, "Standing Order")
         .when(tid % 6 == 4, "SEPA Direct Debit").otherwise("Fee").alias("transaction_type"),

@@ -10,7 +10,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from ledgerloom.plans.skew import FLOOR_SETTING  # noqa: E402
+from ledgerloom.plans.skew import PIECE_SETTING  # noqa: E402
 from ledgerloom.schema import LEDGER  # noqa: E402
 from ledgerloom.session import build_session  # noqa: E402
 
@@ -31,10 +31,10 @@ def spark(tmp_path_factory):
 def hot_rows(spark):
     """Sets the number of rows above which a key is hot, for one test."""
     def use(n: int) -> None:
-        spark.conf.set(FLOOR_SETTING, str(n))
+        spark.conf.set(PIECE_SETTING, str(n))
 
     yield use
-    spark.conf.unset(FLOOR_SETTING)
+    spark.conf.unset(PIECE_SETTING)
 
 
 @pytest.fixture

@@ -28,7 +28,7 @@ def test_same_answer(spark, db, name):
 
 
 @pytest.mark.parametrize("name", [
-    "running_balance", "ledger_log", "closing_balance_l12m_outgo", "trailing_months_12",
+    "closing_balance_l12m_outgo", "trailing_months_12", "percent_of_income_tag", "avg_month_category",
     "latest_transactions", "clamped_filter", "budget_gauge", "new_rows_columnwise",
     "holder_transactions", "held_accounts", "ingest_bank_statement", "spend_by_period_tag_l3m",
 ])

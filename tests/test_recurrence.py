@@ -35,6 +35,11 @@ CASES = [
     ("Monthly", 1, 5, "2018-03-15", None, "2018-04-05"),
     ("Monthly", 2_000_000_000, 5, "2018-03-15", None, None),
     ("Yearly", 2_000_000_000, 5, "2018-03-15", None, "2018-04-05"),
+    ("Yearly", 240, 10, "1850-12-15", None, "2090-01-10"),
+    ("Monthly", 2880, 10, "1850-12-15", None, "2090-12-10"),
+    ("Quarterly", 960, 10, "1850-12-15", None, "2090-12-10"),
+    ("Quarterly", 2_000_000_000, 10, "1850-12-15", None, None),
+    ("Monthly", 2412, 10, "1850-12-15", None, "2051-12-10"),
     ("Weekly", 2_000_000_000, 5, "2018-03-15", None, None),
 ]
 

@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import dedup
+from ledgerloom.operators import dedup, filters, shares
 from ledgerloom.plans import skew
 
 
@@ -33,14 +33,58 @@ def brute_force(rows, opening, newest_first):
 
 
 @pytest.mark.parametrize("newest_first", [False, True])
-@pytest.mark.parametrize("floor", [1, 10, 60, 10**6])
-def test_running_total(spark, hot_rows, lopsided, openings, floor, newest_first):
-    hot_rows(floor)
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_total(spark, monkeypatch, lopsided, openings, parts, newest_first):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     start = {1: Decimal(7), 3: Decimal(-2)}
     rows = skew.running_total(lopsided, openings(a1="7", a3="-2"), newest_first=newest_first)
     assert rows.columns == [*lopsided.columns, "closing_balance"]
     assert {r.tid: r.closing_balance for r in rows.collect()} == brute_force(
         lopsided.collect(), start, newest_first)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_rows_without_ids_keep_their_place_and_start(spark, ledger, openings):
+    rows = ledger(*[{"tid": None, "date": dt.date(2000, 1, d), "amount": 1} for d in range(1, 7)])
+    closing = skew.running_total(rows, openings(a1="100")).orderBy("date").collect()
+    assert [r.closing_balance for r in closing] == [101, 102, 103, 104, 105, 106]
+
+
+def test_no_part_grows_with_one_account_or_one_day(spark, ledger, openings):
+    """All rows in one account on one day, without ids: the parts of the running total stay even."""
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = ledger(*[{"tid": None, "amount": i, "description": f"d{i}"} for i in range(4000)])
+    order = [F.col("account_id"), F.col("date"), F.col("tid"), F.xxhash64(*rows.columns)]
+    sizes = [r["count"] for r in rows.repartitionByRange(*order).groupBy(F.spark_partition_id()).count().collect()]
+    total = skew.running_total(rows, openings(a1="0")).agg(F.max("closing_balance")).first()[0]
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert total == sum(range(4000))
+
+
+def test_rows_without_an_account_are_a_group(ledger):
+    rows = ledger(*[{"account_id": None, "date": dt.date(2001, 7, d)} for d in range(1, 7)])
+    assert filters.trailing_months(rows, 1).count() == 6
+    assert filters.latest_rows(rows, dt.date(2001, 7, 5)).count() == 6
+
+
+def test_the_columns_of_a_pivot_add_up(ledger):
+    rows = ledger(*[{"category": c, "amount": i + 1} for i, c in enumerate(["a", "b", "ZZ", "ZZ"])])
+    cells = shares.spend_by_period(rows, "category", "year")
+    for wide in (shares.pivot(cells), shares.pivot(cells, ["a"])):
+        row = wide.first().asDict()
+        assert sum(v for k, v in row.items() if k not in ("account_id", "period")) == 10
+
+
+def test_a_month_with_very_many_tags(spark, hot_rows, ledger):
+    hot_rows(50)
+    rows = ledger(*[{"tag": f"t{i}", "amount": -1 if i else 500, "date": dt.date(2001, 7 if i % 2 else 5, 1)} for i in range(600)])
+    cells = shares.spend_by_period(rows, "tag", "month", trailing=2)
+    assert cells.count() == 300
+    year = shares.percent_of_income(shares.spend_by_period(rows, "tag", "year"))
+    assert year.count() == 600 and year.agg(F.sum("percent")).first()[0] == pytest.approx(599 * 0.2)
 
 
 def test_hot_keys_are_few_and_cut_small(hot_rows, lopsided):
@@ -74,6 +118,17 @@ def test_pieces_spread_the_hot_key(hot_rows, lopsided):
     assert dealt.agg(F.max("count")).first()[0] < 40
 
 
+def test_rows_with_null_keys_are_spread_too(spark, hot_rows):
+    hot_rows(10)
+    rows = spark.range(400).select("id", F.lit(None).cast("long").alias("k"))
+    lookup = spark.createDataFrame([(1, "one"), (None, "none")], "k long, name string")
+    counts = skew.key_counts(rows, ["k"])
+    assert [(r.k, r.pieces) for r in skew.hot_keys(counts, ["k"]).collect()] == [(None, 40)]
+    assert skew.lookup_join(rows, lookup, ["k"], ["id"]).where("name is null").count() == 400
+    assert skew.lookup_join(rows, lookup, ["k"], ["id"], nulls_match=True).where("name = 'none'").count() == 400
+    assert skew.lookup_join(rows, lookup, ["k"], ["id"], "left_anti").count() == 400
+
+
 def test_many_copies_reduce_before_the_shuffle(spark):
     copies = spark.range(5000).select(
         F.col("id").alias("pos"), F.lit(1).alias("account_id"),
