@@ -37,6 +37,18 @@ KEY = "account_id, date, amount, type, description, category, subcategory"
 
 oracle("ledger_scan", f"SELECT {MONEY_ROW} FROM ledger")
 oracle("ingest_json_records", f"SELECT {MONEY_ROW} FROM (SELECT * EXCLUDE (tid) FROM ledger)")
+oracle("append_ledger", f"""
+    SELECT * EXCLUDE (tid) REPLACE (CAST(amount AS DOUBLE) AS amount), FALSE AS twice, date >= DATE '1998-01-01' AS later
+    FROM ledger WHERE date >= DATE '1997-01-01'""")
+oracle("statement_to_ledger", f"""
+    WITH once AS (
+        SELECT DISTINCT account_id, COALESCE(date, {AS_OF}) AS date, COALESCE(amount, 0) AS amount, type,
+               CASE WHEN length(description || '  ' || COALESCE(beneficiary, '')) <= 128
+                    THEN COALESCE(description, '') || '  ' || COALESCE(beneficiary, '') ELSE '' END AS description
+        FROM statement_rows),
+    days AS (SELECT account_id, date, COUNT(*) AS n_rows, SUM(amount) AS net FROM once GROUP BY account_id, date)
+    SELECT account_id, date, n_rows, CAST(COALESCE(balance, 0) + SUM(net) OVER (PARTITION BY account_id ORDER BY date) AS DOUBLE) AS closing_balance
+    FROM days LEFT JOIN accounts USING (account_id)""")
 oracle("export_json_records", """
     SELECT tid, '{"tid":' || tid || ',"account_id":' || account_id
         || ',"date":"' || CAST(date AS VARCHAR) || 'T00:00:00.000Z"'
@@ -94,7 +106,7 @@ oracle("new_rows_only", """
 oracle("new_rows_columnwise", "SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) RENAME (tid AS pos) FROM ledger u WHERE NOT ("
        + " AND ".join(f"EXISTS (SELECT 1 FROM done l WHERE l.account_id = u.account_id"
                       f" AND l.{c} IS NOT DISTINCT FROM u.{c})"
-                      for c in ("type", "category", "subcategory", "tag")) + ")")
+                      for c in ("date", "amount", "type", "description", "category", "subcategory", "tag", "status", "payee")) + ")")
 oracle("statement_amount", "SELECT pos, CAST(amount AS DOUBLE) AS amount FROM statement_money")
 oracle("statement_type", """
     SELECT pos, CASE WHEN contains(transaction_type, 'Cash') THEN 'Cash'

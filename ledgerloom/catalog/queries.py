@@ -19,7 +19,7 @@ from ledgerloom.operators import (
 from ledgerloom.operators.table_query import TableColumn, TableQuery, TableRequest
 from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
-from ledgerloom.schema import SUBJECTS
+from ledgerloom.schema import MONEY, STAGING, SUBJECTS
 from ledgerloom.sources import star, stores, uploads
 from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
@@ -89,6 +89,31 @@ def export_json_records(spark, folder):
 
 # Cleaning ------------------------------------------------------------------
 
+@query("append_ledger")
+def append_ledger(spark, folder):
+    """The older and the newer half are appended one after the other; ids follow the order of appends."""
+    path, rows = run_folder(spark, "appended"), star.ledger(spark, folder)
+    split = F.lit(dt.date(1998, 1, 1))
+    for half in (rows.where(F.col("date") < split), rows.where(F.col("date") >= split)):
+        stores.append_rows(half, path)
+    late = stores.read_ledger(spark, path, first=dt.date(1997, 1, 1))
+    order = F.count(F.lit(1)).over(Window.partitionBy("tid"))
+    return late.withColumns({"twice": order > 1, "later": F.col("tid") >= rows.where(F.col("date") < split).count()}).drop("tid")
+
+
+@query("statement_to_ledger")
+def statement_to_ledger(spark, folder):
+    """Statements are read, staged, promoted into an empty ledger and listed with their balances."""
+    staged, ledger = run_folder(spark, "staged"), run_folder(spark, "promoted")
+    stores.append_rows(cleaning.statement_rows(star.statement_raw(spark, folder)), staged, schema=STAGING)
+    rows = stores.read_staging(spark, staged).withColumn("amount", F.coalesce("amount", F.lit(0).cast(MONEY)))
+    stores.append_rows(promote.promote_staging(rows, stores.read_ledger(spark, ledger), AS_OF), ledger)
+    listed = balances.running_balance(stores.read_ledger(spark, ledger), star.openings(spark, folder))
+    # The balance at the end of each day does not depend on the ids.
+    return (listed.groupBy("account_id", "date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max_by("closing_balance", "tid").alias("closing_balance")))
+
+
 @query("homebank_clean")
 def homebank_clean(spark, folder):
     return cleaning.clean_homebank(star.homebank_raw(spark, folder))
@@ -135,7 +160,7 @@ def new_rows_columnwise(spark, folder):
     rows = star.ledger(spark, folder)
     return dedup.new_rows_columnwise(
         rows.withColumnRenamed("tid", "pos"), filters.completed(rows),
-        ["type", "category", "subcategory", "tag"])
+        ["date", "amount", "type", "description", "category", "subcategory", "tag", "status", "payee"])
 
 
 @query("statement_amount")
@@ -667,4 +692,4 @@ def incremental_ingest(spark, folder):
     ingest_new_files(spark, arriving, ledger, progress, account=account)
     inputs.homebank_files(spark, folder, arriving)
     ingest_new_files(spark, arriving, ledger, progress, account=account)
-    return stored_rows(spark, ledger).drop("batch")
+    return stored_rows(spark, ledger).drop("tid", "year", "batch")

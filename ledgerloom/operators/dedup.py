@@ -52,12 +52,12 @@ def new_rows_columnwise(
     ledger does not have. A row is left out when each of its values occurs
     somewhere in its column, even if no single ledger row has them all.
 
-    All columns share one join instead of one each, on the account, the column's
-    name and the value. Few values, such as a status, can hold most rows: those of
-    a hot value are dealt to pieces.
+    Both sides first become distinct values by account and column, on the map side, so a value that most rows
+    have is one row. Only the upload's unknown values go back to its rows.
     """
     cell = ["account_id", "field", "text"]
-    values = _values(upload, columns, "account_id", row_id)
-    seen = _values(ledger, columns, "account_id").distinct()
-    picked = lookup_join(values, seen, cell, [row_id], "left_anti")
+    unknown = (_values(upload, columns, "account_id").distinct()
+               .join(_values(ledger, columns, "account_id").distinct(), cell, "left_anti"))
+    counts = _values(upload, columns, "account_id").groupBy(*cell).agg(F.count(F.lit(1)).alias("n_rows"))
+    picked = lookup_join(_values(upload, columns, "account_id", row_id), unknown, cell, [row_id], "left_semi", counts=counts)
     return upload.join(picked.select(row_id).distinct(), row_id, "left_semi")

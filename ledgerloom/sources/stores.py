@@ -1,14 +1,38 @@
-"""Stored ledgers: read, append and export."""
+"""Stored ledgers and staged rows: read, append and export.
+
+There is one layout, for uploads of any kind and for appends: folders by year and, below, by the batch a row came in.
+Every stored row has an id that no other row of the store has.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.schema import LEDGER
+from ledgerloom.plans.workspace import checkpointed
+from ledgerloom.schema import LEDGER, STAGING
+
+FOLDERS = [T.StructField("year", T.IntegerType()), T.StructField("batch", T.StringType())]
+NUMBER_BITS = 33
+
+
+def open_store(spark: SparkSession, path: str, schema: T.StructType = LEDGER) -> DataFrame:
+    """All rows of a store with their year and batch; a new store is empty."""
+    whole = T.StructType([*schema.fields, *FOLDERS])
+    spark.createDataFrame([], whole).write.mode("ignore").partitionBy("year", "batch").parquet(path)
+    return spark.read.schema(whole).parquet(path)
+
+
+def _within(rows: DataFrame, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    if first is not None:
+        rows = rows.where((F.col("year") >= first.year) & (F.col("date") >= F.lit(first)))
+    if last is not None:
+        rows = rows.where((F.col("year") <= last.year) & (F.col("date") <= F.lit(last)))
+    return rows
 
 
 def read_ledger(
@@ -16,12 +40,11 @@ def read_ledger(
 ) -> DataFrame:
     """A stored ledger. Bounds on the date also bound the year, so that only the
     folders of those years are read."""
-    rows = spark.read.schema(T.StructType([*LEDGER.fields, T.StructField("year", T.IntegerType())])).parquet(path)
-    if first is not None:
-        rows = rows.where((F.col("year") >= first.year) & (F.col("date") >= F.lit(first)))
-    if last is not None:
-        rows = rows.where((F.col("year") <= last.year) & (F.col("date") <= F.lit(last)))
-    return ledger_rows(rows)
+    return ledger_rows(_within(open_store(spark, path), first, last))
+
+
+def read_staging(spark: SparkSession, path: str) -> DataFrame:
+    return open_store(spark, path, STAGING).select(*STAGING.fieldNames())
 
 
 def ledger_rows(stored: DataFrame) -> DataFrame:
@@ -29,10 +52,40 @@ def ledger_rows(stored: DataFrame) -> DataFrame:
     return stored.select(*LEDGER.fieldNames())
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Append cleaned rows, by year; large years are split over several files."""
-    by_year = rows.withColumn("year", F.year("date"))
-    by_year.hint("rebalance", F.col("year")).write.mode("append").partitionBy("year").parquet(path)
+def rejected(rows: DataFrame) -> DataFrame:
+    """Rows that a store does not take, with the reason."""
+    return rows.where(F.col("account_id").isNull()).withColumn("reason", F.lit("no account"))
+
+
+def numbered(rows: DataFrame, after: int) -> DataFrame:
+    """The rows with ids `after` + 1, + 2 ... Rows are numbered where they are; only the sizes of the parts meet."""
+    held = checkpointed(rows.withColumn("__n", F.monotonically_increasing_id()))
+    part = F.shiftright("__n", NUMBER_BITS)
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = (held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))  # one row per part
+             .select("__part", F.coalesce(before, F.lit(0)).alias("__before")))
+    own = F.col("__n").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    return (held.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+            .withColumn("tid", F.lit(after) + 1 + F.col("__before") + own).drop("__n", "__part", "__before"))
+
+
+def append_rows(rows: DataFrame, path: str, batch: str | None = None, schema: T.StructType = LEDGER) -> None:
+    """Append cleaned rows that have an account (see `rejected`). They get the ids after the store's greatest. Large years are
+    split over several files. A batch of a name that is stored already is replaced."""
+    spark = rows.sparkSession
+    batch = batch or f"append-{uuid.uuid4().hex}"
+    # The id of a row does not depend on an earlier run of its own batch.
+    greatest = open_store(spark, path, schema).where(F.col("batch") != batch).agg(F.max("tid")).head()[0]
+    fresh = numbered(rows.where(F.col("account_id").isNotNull()), -1 if greatest is None else greatest)
+    placed = fresh.select(*schema.fieldNames(), F.year("date").alias("year"), F.lit(batch).alias("batch"))
+    (placed.hint("rebalance", F.col("year")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year", "batch").parquet(path))
+
+
+def compact(spark: SparkSession, path: str, target: str, schema: T.StructType = LEDGER) -> None:
+    """The store in few large files, in a new folder."""
+    (open_store(spark, path, schema).withColumn("batch", F.lit("compacted")).hint("rebalance", F.col("year"))
+     .write.partitionBy("year", "batch").parquet(target))
 
 
 def json_records(rows: DataFrame) -> DataFrame:

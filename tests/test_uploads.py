@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import cleaning
+from ledgerloom.operators import balances, cleaning
 from ledgerloom.sources import stores, uploads
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
 
@@ -104,9 +104,9 @@ def test_append(spark, tmp_path, ledger):
     path = str(tmp_path / "ledger")
     stores.append_rows(ledger({"date": dt.date(2000, 1, 1)}), path)
     stores.append_rows(ledger({"tid": 7}), path)
-    assert sorted(r.tid for r in stores.read_ledger(spark, path).collect()) == [0, 7]
+    assert sorted(r.tid for r in stores.read_ledger(spark, path).collect()) == [0, 1]
     late = stores.read_ledger(spark, path, dt.date(2001, 1, 1), dt.date(2001, 12, 31))
-    assert [r.tid for r in late.collect()] == [7]
+    assert [r.tid for r in late.collect()] == [1]
     assert len(late.inputFiles()) == 2
     assert "PartitionFilters: [isnotnull(year" in late._jdf.queryExecution().executedPlan().toString()
     assert stores.ledger_rows(spark.read.parquet(path)).columns == stores.LEDGER.fieldNames()
@@ -169,10 +169,64 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path, arriving):
     from ledgerloom.streaming import incremental
 
     path = str(tmp_path / "ledger")
-    spark.createDataFrame([], incremental.LEDGER_ROW).write.parquet(f"{path}/batch=-1")
-    arriving("one.csv", "01/01/2001;8;;p;w;-1;Food;t")
+    arriving("one.csv", "1/1/2001;8;;p;w;-1;Food;t")
     raw = uploads.read_homebank(spark, str(tmp_path / "in")).withColumn("account_id", F.lit(1).cast("long"))
-    store = incremental._store(path, "csv", incremental._cleaner("csv", F.lit(1).cast("long")))
+    store = incremental._store(path, "csv", incremental._cleaner("csv", F.lit(1).cast("long")), "s")
     for _ in range(2):
         store(raw.drop("pos"), 0)
-    assert stored_rows(spark, path).count() == 1
+    assert [(r.tid, r.year, r.batch) for r in stored_rows(spark, path).collect()] == [(0, 2001, "s-0")]
+
+
+def test_streamed_rows_are_a_ledger(spark, tmp_path, arriving):
+    """What is ingested has ids, is found by bounds on its dates, takes appends and gives balances."""
+    paths = [str(tmp_path / p) for p in ("in", "ledger", "progress")]
+    arriving("one.csv", *[f"0{d}/01/200{d};8;;p;w{d};-{d};Food;t" for d in range(1, 6)])
+    ingest_new_files(spark, *paths)
+    stores.append_rows(stores.read_ledger(spark, paths[1]).withColumn("date", F.lit(dt.date(2009, 1, 1))), paths[1])
+    rows = stores.read_ledger(spark, paths[1])
+    assert sorted(r.tid for r in rows.collect()) == list(range(10))
+    assert stores.read_ledger(spark, paths[1], dt.date(2002, 1, 1), dt.date(2004, 1, 31)).count() == 3
+    closing = balances.running_balance(rows, spark.createDataFrame([(1, Decimal(100))], "account_id long, opening decimal(18,2)"))
+    assert closing.agg(F.min("closing_balance")).first()[0] == 70
+    stores.compact(spark, paths[1], str(tmp_path / "compacted"))
+    assert sorted(stores.read_ledger(spark, str(tmp_path / "compacted")).collect()) == sorted(rows.collect())
+
+
+def test_a_batch_reads_the_years_it_touches(spark, tmp_path, ledger):
+    from ledgerloom.streaming import incremental
+
+    path = str(tmp_path / "ledger")
+    for year in (1999, 2000, 2001):
+        stores.append_rows(ledger({"date": dt.date(year, 5, 5)}), path)
+    earlier = incremental.earlier_rows(ledger({"date": dt.date(2000, 5, 5)}), stores.open_store(spark, path))
+    assert [r.year for r in earlier.collect()] == [2000]
+    plan = earlier._jdf.queryExecution().executedPlan().toString()
+    assert "year" in plan[plan.index("PartitionFilters"):].split("]")[0]
+
+
+def test_rows_without_an_account_are_rejected(spark, tmp_path, ledger):
+    rows = ledger({"account_id": None}, {"account_id": 1})
+    path = str(tmp_path / "ledger")
+    stores.append_rows(rows, path)
+    assert [r.account_id for r in stores.read_ledger(spark, path).collect()] == [1]
+    assert [(r.account_id, r.reason) for r in stores.rejected(rows).collect()] == [(None, "no account")]
+
+
+def test_streamed_json_lines_and_written_dates(spark, tmp_path):
+    folder = tmp_path / "in" / "account_id=4"
+    folder.mkdir(parents=True)
+    dates = ["2001-02-03T00:00:00.000Z", "981158400000", "2001-02-03", None, "soon"]
+    (folder / "a.json").write_text("\n".join(json.dumps({"date": d, "amount": i}) for i, d in enumerate(dates)))
+    paths = [str(tmp_path / p) for p in ("in", "ledger", "progress")]
+    ingest_new_files(spark, *paths, kind="json", lines=True)
+    found = {int(r.amount): r.date for r in stored_rows(spark, paths[1], "json").collect()}
+    assert found == {0: dt.date(2001, 2, 3), 1: dt.date(2001, 2, 3), 2: dt.date(2001, 2, 3), 3: None, 4: None}
+    raw = uploads.read_json_records(spark, paths[0], lines=True)
+    assert [r.date for r in cleaning.unreadable_dates(raw, "date", cleaning.json_date).collect()] == ["soon"]
+
+
+def test_dates_as_they_are_written(spark):
+    texts = spark.createDataFrame([(t,) for t in ("5/1/2018", "05/01/2018", "2018-01-05", " ", None, "31/31/2018")], "t string")
+    rows = texts.select(cleaning.homebank_date(F.col("t")).alias("a"), cleaning.statement_date(F.col("t")).alias("b")).collect()
+    day, month = dt.date(2018, 1, 5), dt.date(2018, 5, 1)
+    assert [tuple(r) for r in rows] == [(day, month), (day, month), (None, day), (None, None), (None, None), (None, None)]
