@@ -59,5 +59,5 @@ def new_rows_columnwise(
     unknown = (_values(upload, columns, "account_id").distinct()
                .join(_values(ledger, columns, "account_id").distinct(), cell, "left_anti"))
     counts = _values(upload, columns, "account_id").groupBy(*cell).agg(F.count(F.lit(1)).alias("n_rows"))
-    picked = lookup_join(_values(upload, columns, "account_id", row_id), unknown, cell, [row_id], "left_semi", counts=counts)
+    picked = lookup_join(_values(upload, columns, "account_id", row_id), unknown, cell, [row_id], "left_semi", counts=counts, nulls_match=True)
     return upload.join(picked.select(row_id).distinct(), row_id, "left_semi")
