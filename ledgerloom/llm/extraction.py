@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.dom import Page, parse
 from ledgerloom.llm.shared import share_below
 
-SAMPLE, TREES, DEPTH, RATE, BINS, WORD_BUCKETS = 200, 40, 4, 0.3, 24, 96
+SAMPLE, TREES, DEPTH, RATE, BINS, WORD_BUCKETS = 400, 80, 4, 0.3, 24, 96
 TAGS = ("#text body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd menu table "
         "tr td th form fieldset figure figcaption blockquote pre address details dialog label button").split()
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
