@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import checkpointed
+from ledgerloom.plans.skew import lookup_join
+from ledgerloom.plans.workspace import checkpointed
 
 BITS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -81,7 +82,10 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     alone = marks.where(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = marks.where("suspect")
-    grouped = suspects.join(_winners(suspects), "text_sha256").select(
+    winners = _winners(suspects)
+    # A large group is dealt to pieces; only its one winner is repeated.
+    counts = winners.select("text_sha256", F.col("group_size").alias("n_rows"))
+    grouped = lookup_join(suspects, winners, ["text_sha256"], ["doc_id"], "inner", counts=counts).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"), "text_sha256")
     return alone.unionByName(grouped)

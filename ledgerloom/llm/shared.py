@@ -1,8 +1,7 @@
-"""Small helpers of the operators: Arrow batches, checkpoints, stable samples."""
+"""Small helpers of the operators: Arrow batches, stable samples."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -12,20 +11,6 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame, written once to the folder in spark.checkpoint.dir and read from there.
-
-    The setting belongs to the cluster. Only a local session without it gets a folder
-    of its own.
-    """
-    spark = frame.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return frame.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

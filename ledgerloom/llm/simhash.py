@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import checkpointed, texts_of
+from ledgerloom.llm.shared import texts_of
+from ledgerloom.plans.skew import lookup_join
+from ledgerloom.plans.workspace import checkpointed
 
 WIDTH, BITS, SEED = 3, 2, 42
 NODE_LIMIT = 50_000
@@ -241,12 +243,15 @@ def _rooted(
 ) -> DataFrame:
     """doc_id, fingerprint, root (the smallest fingerprint of the class), component_id."""
     prints = checkpointed(fingerprints(docs, doc_id, text, width))
-    nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
+    nodes = checkpointed(prints.groupBy("fingerprint").agg(
+        F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")))
     roots = components(near_links(nodes, "fingerprint", budget), "a", "b")
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fingerprint"))
     leaders = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(leaders, "root").select("fingerprint", "root", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+    # A fingerprint that very many documents have is dealt to pieces.
+    return lookup_join(prints, named, ["fingerprint"], ["doc_id"], "inner", counts=nodes).select(
+        "doc_id", "fingerprint", "root", "component_id")
 
 
 def classes(

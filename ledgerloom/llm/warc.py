@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.workspace import run_folder
+from ledgerloom.plans.skew import key_counts, lookup_join
+from ledgerloom.plans.workspace import checkpointed, run_folder
 
 SMALLEST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -49,9 +50,12 @@ def resolved(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     headers = records.select("page_id", "digest", "size").where(F.col("size") >= smallest)
     originals = (headers.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
-                 .where("copies > 1").select("digest", "original"))
+                 .where("copies > 1"))
+    counts = originals.select("digest", F.col("copies").alias("n_rows"))
     other = ~F.col("page_id").eqNullSafe(F.col("original")) & F.col("original").isNotNull()
-    return records.join(originals, "digest", "left").withColumn("original", F.when(other, F.col("original")))
+    # A payload that very many pages have is dealt to pieces.
+    found = lookup_join(records, originals.drop("copies"), ["digest"], ["page_id"], counts=counts)
+    return found.withColumn("original", F.when(other, F.col("original")))
 
 
 def as_records(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -147,7 +151,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Each record with size and page of its original: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     originals = (records.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to_id"))
                  .agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("original_bytes")))
-    return records.join(originals, "refers_to_id", "left").select(
+    # Responses pass; only revisits look for an original, and those of one original are dealt to pieces when they are very many.
+    revisits = records.where("type = 'revisit'")
+    found = lookup_join(revisits, originals, ["refers_to_id"], ["record_id"], counts=key_counts(revisits, ["refers_to_id"]))
+    passed = records.where("type <> 'revisit'").withColumns({
+        "refers_to": F.lit(None).cast("string"), "original_bytes": F.lit(None).cast("long")})
+    return passed.unionByName(found).select(
         "page_id", F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "payload_digest",
         F.col("type").alias("record_type"), "refers_to", "url")
 
@@ -157,6 +166,7 @@ def archive_and_read(pages: DataFrame, page_id: str = "page_id", url: str = "url
     spark = pages.sparkSession
     folder = run_folder(spark, "warc")
     write_archives(resolved(pages, page_id, url, html, smallest), folder)
-    found = resolve_revisits(read_archives(spark, folder))
+    # Read and verified once; what is left of a record is its header.
+    found = resolve_revisits(checkpointed(read_archives(spark, folder)))
     kind = dict(pages.dtypes)[page_id]
     return found.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
