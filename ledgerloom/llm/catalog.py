@@ -84,7 +84,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
-        F.length(chat.formatted()).cast("long").alias("formatted_chars"), "valid", "broken_at")
+        F.length(chat.formatted()).cast("long").alias("formatted_chars"), "valid", F.col("broken_at").cast("long").alias("broken_at"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
