@@ -37,7 +37,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
-    return packing.pack(docs, catalog.ranks_path())
+    return packing.pack(docs, catalog.vocabulary_path())
 
 
 STAGES = [

@@ -21,17 +21,17 @@ from ledgerloom.llm import (
 )
 from ledgerloom.llm.shared import checksum_class, table
 
-RANKS = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
 
-def ranks_path() -> str:
-    """Where the vocabulary lies; LEDGERLOOM_RANKS names another place."""
-    if "LEDGERLOOM_RANKS" in os.environ:
-        return os.environ["LEDGERLOOM_RANKS"]
+def vocabulary_path() -> str:
+    """Where the vocabulary lies; LEDGERLOOM_VOCABULARY names another place."""
+    if "LEDGERLOOM_VOCABULARY" in os.environ:
+        return os.environ["LEDGERLOOM_VOCABULARY"]
     import public_tokenizers
 
-    return public_tokenizers.path(RANKS)
+    return public_tokenizers.path(VOCABULARY)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,19 +9,21 @@ for the rest sequences whose sizes are powers of two, which need no padding.
 Every task packs what it reads: nothing is shuffled, and a group's tokens are all that is held in memory.
 Sequence ids hold the task's number in their upper bits.
 
-Token ids are those of byte_bpe_50k.json. They are computed by tiktoken from the same vocabulary's ranks, about four times
-as fast; a test compares both.
+Token ids are those that tokenizers gives with the vocabulary file, without special tokens added. The file's vocabulary is
+encoded by tiktoken, which is several times as fast; texts with a run of blanks that tiktoken's stack can't hold are encoded by
+tokenizers. A test compares both.
 
-Defined results: null text is empty text; an empty text has only the closing id; special tokens' names in
-a text are ordinary text; repeated rows are packed again; a null id stays null.
+Defined results: null text is empty text; an empty text has only the closing id; the name of a special token in
+a text is that token, as tokenizers has it; repeated rows are packed again; a null id stays null.
 """
 
 from __future__ import annotations
 
-import base64
 import heapq
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,16 +35,36 @@ from pyspark.sql import functions as F
 LENGTH, GROUP, END = 1024, 2048, 0
 # Fixed value: how the vocabulary's tokenizer cuts a text before it merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# tiktoken keeps a state for each blank of a run and gives up at a million.
+MOST_BLANKS = 100_000
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable bytes are themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str):
-    """A vocabulary of ranks, loaded once in each Python worker."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids with the vocabulary file, loaded once in each Python worker."""
     import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special, letters = {t["content"]: t["id"] for t in content["added_tokens"]}, byte_letters()
+    ranks = {bytes(letters[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
+    fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    plain, blanks = Tokenizer.from_file(path), re.compile(rf"\s{{{MOST_BLANKS}}}")
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= MOST_BLANKS and blanks.search(text):
+            return plain.encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all")
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return encode
 
 
 def cost(tokens: int, length: int = LENGTH) -> float:
@@ -92,13 +114,13 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 
 
 def pack(
-    docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
     group: int = GROUP, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with
-    `with_ids` also its ids. `ranks` is the path of the vocabulary's ranks on every machine."""
+    `with_ids` also its ids. `vocabulary` is the path of the vocabulary file on every machine."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence = encoder(ranks).encode_ordinary, TaskContext.get().partitionId() << 40
+        encode, sequence = encoder(vocabulary), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         rest: list[tuple] = []
 

@@ -361,20 +361,21 @@ def test_tokenizers_agree():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encode = packing.encoder(catalog.ranks_path()).encode_ordinary
-    texts = ["", " ", "\n\n  x", "<|endoftext|> a", "it's we'll I'D", "äßあ\U0001f600́", "a" * 5000, "12 345,6  7\t8\r\n", "   x", "\u0000\u0001", "x \n y", prose(1, 500)]
+    encode = packing.encoder(catalog.vocabulary_path())
+    texts = ["", " ", "\n\n  x", "<|endoftext|> a", "a <|endoftext|><|endoftext|>  b <|endoftext", "it's we'll I'D", "äßあ\U0001f600́", "a" * 5000, "12 345,6  7\t8\r\n", "   x", "\u0000\u0001", "x \n y", prose(1, 500)]
+    texts += ["".join(chr(c) + " 1"[c % 2] for c in range(at, at + 4096) if not 0xD800 <= c < 0xE000) for at in range(0, 0x20000, 4096)]
+    texts += [" " * 1_500_000, "x" + "\n" * 1_200_000 + "y", "z" * 400_000]
     assert [encode(t) for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_of_odd_rows(odd, docs):
-    rows = packing.pack(odd, catalog.ranks_path(), with_ids=True).collect()
+    rows = packing.pack(odd, catalog.vocabulary_path(), with_ids=True).collect()
     assert [r["length"] for r in rows if r["doc_id"] in (1, 2, 6)] == [1, 1, 1]
     assert sum(r["length"] for r in rows if r["doc_id"] == 5) == 2 * rows_of(rows, 5)
     assert all(len(r["ids"]) == r["length"] for r in rows)
     whole = sum(r["length"] for r in rows if r["doc_id"] == 7)
     assert whole == [r["doc_tokens"] for r in rows if r["doc_id"] == 7][0] > 60_000
-    assert packing.pack(docs(), catalog.ranks_path()).count() == 0
+    assert packing.pack(docs(), catalog.vocabulary_path()).count() == 0
 
 
 def rows_of(rows, doc):

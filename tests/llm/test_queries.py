@@ -117,7 +117,6 @@ def test_packing_gives_every_id_back(spark, db):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = dict(documents(db, "/root/testdata/sf0.001"))
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in catalog.op7_packing(spark, "/root/testdata/sf0.001").collect():
