@@ -41,9 +41,10 @@ class Block:
         self.width, self.threshold = width, threshold
         kept, self.items = [], []
         hashes, owners = shingles(find_words(texts), width) if texts else (np.zeros(0, np.uint64), np.zeros(0, int))
+        bounds = np.searchsorted(owners, np.arange(len(texts) + 1))  # the owners ascend
         sketch, owner = [], []
         for i, text in enumerate(texts):
-            own = np.unique(hashes[owners == i])
+            own = np.unique(hashes[bounds[i]:bounds[i + 1]])
             if not len(own):
                 continue
             upper = 1 << (len(own) - 1).bit_length()
