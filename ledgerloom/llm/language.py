@@ -26,10 +26,14 @@ from ledgerloom.llm.shared import share_below
 
 MOST, HASH_BITS, LANDMARKS, SAMPLE, RIDGE, SHARPNESS = 3, 18, 96, 300, 1e-2, 6.0
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and numbers that are no digits
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 class Grams:
     """Distinct n-grams of a text as buckets, without sorting: of all places with one bucket the last one counts."""
 
@@ -93,7 +97,7 @@ class Classifier:
         return block / np.maximum(self.norms, 1.0)
 
     def predict(self, texts: list[str | None], grams: Grams) -> tuple[list[str], list[float]]:
-        able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        able = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         for begin in range(0, len(able), 512):
             part = able[begin:begin + 512]
@@ -113,7 +117,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", languag
     for row in rows.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per language
         share = F.when(F.col("language") == row["language"], F.lit(min(1.0, sample / row["n"]))).otherwise(share)
     picked = rows.where(share_below("doc_id", share)).orderBy(F.xxhash64("doc_id"), "doc_id", "language", "text").collect()
-    able = [r for r in picked if LETTER.search(r["text"])]
+    able = [r for r in picked if has_letter(r["text"])]
     return Classifier([r["text"] for r in able], [r["language"] for r in able])
 
 
