@@ -21,9 +21,10 @@ HOLDERS = frozenset("ul ol dl table tbody thead tfoot tr td th div section artic
 ENDS_PARAGRAPH = BLOCKS - {"label", "button", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+    r"<!--.*?(?:(?P<end>-->)|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video)\b[^>]*+>.*?"
+    r"(?:(?P<shut></(?P=raw)\s*+>)|\Z)"
+    r"|<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
     r"|<[!?][^>]*+>",
     re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""(?:\b(class|id|role|aria-label|itemprop)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -93,28 +94,32 @@ def parse(source: str) -> Page:
         if anchor:
             linked += len(text)
 
+    # No tag begins after the last ">", so it is not sought there: "<" in a long rest would cost its square.
+    last, cut = source.rfind(">") + 1, False
     at = 0
-    for m in TOKEN.finditer(source):
+    for m in TOKEN.finditer(source, 0, last):
         if m.start() > at:
             put(source[at:m.start()])
         at = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
-            if m[1]:
+            if m["raw"]:
                 pieces.append(" ")
+            # What is never closed goes on to the end of the page.
+            cut = at == last and not (m["end"] or m["shut"]) and (bool(m["raw"]) or m[0].startswith("<!--"))
             continue
         tag = name.lower()
         if tag not in BLOCKS:
             if tag == "br":
                 pieces.append(" ")
             elif tag == "a":
-                anchor = 0 if m[2] else 1
-                links += not m[2]
+                anchor = 0 if m["slash"] else 1
+                links += not m["slash"]
             elif tag in ("input", "img"):
                 pieces.append(" ")
             continue
         flush()
-        if m[2]:
+        if m["slash"]:
             if tag != "html" and open_count.get(tag):
                 # An end tag does not reach out of the list, table or article it stands in.
                 for known, _ in reversed(stack):
@@ -125,7 +130,7 @@ def parse(source: str) -> Page:
                         break
             anchor = 0
             continue
-        words = attribute_words(m[4])
+        words = attribute_words(m["attributes"])
         if tag in ("html", "body"):
             if tag == "html" or open_count.get("body"):
                 page.words[stack[0][1]] |= words if tag == "html" else frozenset()
@@ -145,7 +150,8 @@ def parse(source: str) -> Page:
         stack.append((tag, page.add(tag, stack[-1][1], words)))
         open_count[tag] = open_count.get(tag, 0) + 1
         anchor = 0
-    if at < len(source):
-        put(source[at:])
+    if not cut:
+        put(source[at:last])
+        put(source[last:].partition("<!--")[0])
     flush()
     return page

@@ -36,6 +36,7 @@ TAGS = ("#text body main article section nav aside header footer div p h1 h2 h3
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
 PLAIN = 20
 FEATURES = PLAIN + 2 * len(TAGS) + 2 * WORD_BUCKETS
+ROWS = 1 << 14
 MARKS = str.maketrans({c: "\0" for c in ".,;:!?"})
 
 
@@ -46,8 +47,12 @@ def bucket(word: str) -> int:
 
 def node_features(page: Page) -> np.ndarray:
     """One row per node."""
+    return np.concatenate(list(node_blocks(page)))
+
+
+def node_blocks(page: Page, most: int = ROWS) -> Iterator[np.ndarray]:
+    """One row per node, in blocks of at most `most` rows, so a page of any length takes bounded memory."""
     n = len(page.tags)
-    x = np.zeros((n, FEATURES), dtype=np.float32)
     parents = page.parents
     chars, linked, links, marks, runs = ([0] * n for _ in range(5))
     nodes, kids, place, deep = [1] * n, [0] * n, [0] * n, [0] * n
@@ -76,9 +81,13 @@ def node_features(page: Page) -> np.ndarray:
     total = max(1, chars[0])
     up_tags = np.zeros((n, len(TAGS)), dtype=bool)
     up_words = np.zeros((n, WORD_BUCKETS), dtype=bool)
+    x = np.zeros((min(most, n), FEATURES), dtype=np.float32)
     for v in range(n):
+        if v and v % most == 0:
+            yield _with_ancestors(x, up_tags[v - most:v], up_words[v - most:v])
+            x = np.zeros((min(most, n - v), FEATURES), dtype=np.float32)
         p = parents[v]
-        row = x[v]
+        row = x[v % most]
         c = chars[v]
         pc = chars[p] if p >= 0 else c
         row[:PLAIN] = (
@@ -97,6 +106,10 @@ def node_features(page: Page) -> np.ndarray:
                 up_words[v, bucket(w)] = True
         for w in page.words[v]:
             row[PLAIN + 2 * len(TAGS) + bucket(w)] = 1
+    yield _with_ancestors(x, up_tags[n - len(x):], up_words[n - len(x):])
+
+
+def _with_ancestors(x: np.ndarray, up_tags: np.ndarray, up_words: np.ndarray) -> np.ndarray:
     x[:, PLAIN + len(TAGS):PLAIN + 2 * len(TAGS)] = up_tags
     x[:, PLAIN + 2 * len(TAGS) + WORD_BUCKETS:] = up_words
     return x
@@ -184,6 +197,19 @@ def decode(parents: list[int], odds: list[float]) -> list[bool]:
     return chosen
 
 
+def node_odds(pages: list[Page], trees: Boosted) -> list[float]:
+    """The log odds of all nodes of the pages in order, worked out for about ROWS nodes at a time."""
+    out: list[float] = []
+    held: list[np.ndarray] = []
+    for page in pages:
+        for block in node_blocks(page):
+            held.append(block)
+            if sum(map(len, held)) >= ROWS:
+                out += trees.margins(np.concatenate(held)).tolist()
+                held.clear()
+    return out + (trees.margins(np.concatenate(held)).tolist() if held else [])
+
+
 def main_text(page: Page, odds: list[float]) -> str:
     chosen = decode(page.parents, odds)
     return " ".join(t for t, c in zip(page.texts, chosen, strict=True) if t and c)
@@ -323,10 +349,10 @@ def extract(pages: DataFrame, trees: Boosted, page_id: str = "page_id", url: str
             texts: list[str] = []
             for at in range(0, batch.num_rows, 64):
                 parsed = [parse(h or "") for h in batch.column(2).slice(at, 64).to_pylist()]
-                odds = shared.value.margins(np.concatenate([node_features(p) for p in parsed])).tolist()
+                odds, begin = node_odds(parsed, shared.value), 0
                 for p in parsed:
-                    texts.append(main_text(p, odds[:len(p.tags)]))
-                    del odds[:len(p.tags)]
+                    texts.append(main_text(p, odds[begin:begin + len(p.tags)]))
+                    begin += len(p.tags)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

@@ -219,6 +219,8 @@ def test_language_of_odd_rows(odd, docs, spark):
     assert rows[None]["lang_pred"] in ("en", "de") and rows[5]["lang_pred"] in ("en", "de")
     found = language.identify(docs((1, "der hund")), classifier).collect()
     assert found[0]["lang_pred"] == "de"
+    numbers = docs(*enumerate(["\u00b2", "\u00bd 7_", "\u2460\u2167", "\u0301"]))
+    assert {r["lang_pred"] for r in language.identify(numbers, classifier).collect()} == {"und"}
     none = language.fit(docs().where("lang is not null"))
     assert {r["lang_pred"] for r in language.identify(odd, none).collect()} == {"und"}
     assert language.identify(docs(), classifier).count() == 0
@@ -273,6 +275,24 @@ def test_blocks_and_references():
     assert texts == ["A & B", "one two three", "four five"]
 
 
+@pytest.mark.parametrize("source, texts", [
+    ("<p>a</p><!-- b", ["a"]), ("<p>a</p><!-- <p>b</p> c", ["a"]), ("<p>a<!--b-->c", ["ac"]), ("<p>a</p><script>b</p> c", ["a"]),
+    ("<script>x</script>b <c", ["b <c"]), ("a < b <c", ["a < b <c"]), ("<p>a <b", ["a <b"]), ("a <!-- b <c", ["a"]), ("<!-->a", []),
+    ("<p>x</p>" + "<a " * 400_000, ["x", " ".join(["<a"] * 400_000)])])
+def test_ends_of_pages(source, texts):
+    assert [t for t in dom.parse(source).texts if t] == texts
+
+
+def test_features_in_blocks_are_the_same(monkeypatch):
+    page = dom.parse("<div class='post'><p>one</p><ul><li>two</li></ul></div><footer>three <a>four</a></footer>" * 9)
+    whole = extraction.node_features(page)
+    assert (np.concatenate(list(extraction.node_blocks(page, 7))) == whole).all() and len(whole) == len(page.tags)
+    y = np.array([float(t == "p") for t in page.tags])
+    trees = extraction.boost(whole, y, 3)
+    monkeypatch.setattr(extraction, "ROWS", 10)
+    assert extraction.node_odds([page, page], trees) == [*trees.margins(whole)] * 2
+
+
 def test_main_text_in_many_layouts():
     pool = [prose(i, 30) for i in range(30)]
     trees = extraction.learn([f"<article><p>{prose(i, 40)}</p><p>{prose(100 + i, 90)}</p></article>" for i in range(120)])
