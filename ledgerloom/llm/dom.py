@@ -22,7 +22,9 @@ ENDS_PARAGRAPH = BLOCKS - {"label", "button", "select", "td", "th", "tr", "tbody
 
 TOKEN = re.compile(
     r"<!--.*?(?:(?P<end>-->)|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video)\b[^>]*+>.*?"
+    # An svg or math element may close itself; a "/" that ends an unquoted value does not.
+    r"|<(?P<empty>svg|math)(?=[\s/])(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+[\s/]*/>"
+    r"|<(?P<raw>script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video)(?=[\s/>])[^>]*+>.*?"
     r"(?:(?P<shut></(?P=raw)\s*+>)|\Z)"
     r"|<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
     r"|<[!?][^>]*+>",
@@ -103,7 +105,7 @@ def parse(source: str) -> Page:
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 pieces.append(" ")
             # What is never closed goes on to the end of the page.
             cut = at == last and not (m["end"] or m["shut"]) and (bool(m["raw"]) or m[0].startswith("<!--"))

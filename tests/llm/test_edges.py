@@ -283,6 +283,17 @@ def test_ends_of_pages(source, texts):
     assert [t for t in dom.parse(source).texts if t] == texts
 
 
+@pytest.mark.parametrize("source, texts", [
+    *((f"<body><{name}></{name}><article><p>a</p></article>", ["a"]) for name in (
+        "svg-icon", "video-js", "audio-player", "title-bar", "template-x", "object-view", "math-field")),
+    ("<video-js><p>a</p></video-js>b", ["a", "b"]), ("<svg/><p>a</p>", ["a"]), ("<SVG />a", ["a"]), ("<p>a<math/>b</p>c", ["a b", "c"]),
+    ("<svg viewBox='0 0 1 1' aria-label=\"x>y\" hidden/><p>a</p>", ["a"]), ("<svg a='/'><p>x</p></svg>b", ["b"]),
+    ("<svg class=a/><p>x</p></svg>b", ["b"]), ("<svg><path/><p>x</p></svg>b", ["b"]), ("<svg\n/>a", ["a"]), ("<script/>x</script>b", ["b"]),
+    ("a<svg/>", ["a"]), ("a<svg/>b <c", ["a b <c"]), ("a<svg>b <c", ["a"]), ("a<svg>b</p>", ["a"])])
+def test_names_that_begin_like_raw_elements(source, texts):
+    assert [t for t in dom.parse(source).texts if t] == texts
+
+
 def test_features_in_blocks_are_the_same(monkeypatch):
     page = dom.parse("<div class='post'><p>one</p><ul><li>two</li></ul></div><footer>three <a>four</a></footer>" * 9)
     whole = extraction.node_features(page)
