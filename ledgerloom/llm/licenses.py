@@ -1,11 +1,11 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a license notice; both are sets of words. A block
-matches a template of n words when it holds at least ceil(t n) of them. Words are ordered by
-the number of blocks they are in, counted over the whole corpus, rarest first. A block that
-matches holds one of the template's first n - ceil(t n) + 1 words (prefix filter), has at least
-ceil(t n) words of the vocabulary (length filter), and from the place where it first meets
-the template enough words are left on both sides (positional filter). What passes is counted in full.
+A template is a license notice, a block any run of consecutive words of one text that is at most SPAN times as long as the
+template; line ends, paragraphs and marks do not matter, so a wrapped notice is found like one on one line. A block
+matches a template of n distinct words when it holds at least ceil(t n) of them. Words are ordered by
+their number in the whole corpus, rarest first. A block that matches holds one of the template's first
+n - ceil(t n) + 1 words (prefix filter), so only the surroundings of these words are searched, and of those only the ones with
+ceil(t n) words of the template (length filter). In what passes, every block is counted by a sliding window.
 Only words of templates matter for all of this, so the counts and templates that go to the tasks are as small as the templates.
 
 Base labels come from phrases: the places where a phrase's words stand one after the other.
@@ -29,6 +29,8 @@ from ledgerloom.llm.shared import runs, texts_of
 from ledgerloom.llm.words import Words, find_words, plain_words
 
 THRESHOLD = 0.8
+# Words of a block for each word of the template: room for words between, such as marks of comments at wrapped lines.
+SPAN = 2
 
 # The phrases of the base labels.
 PHRASES = {
@@ -74,14 +76,17 @@ class Scanner:
         self.hashes = hashes[self.by_hash]
         self.notices = [(label, np.array(sorted({number[w] for w in ws}))) for label, ws in notices]
         self.needs = [math.ceil(self.threshold * len(ws) - 1e-9) for _, ws in self.notices]
+        self.spans = [SPAN * len(ws) for _, ws in notices]
         self.sequences = [(label, [number[w] for w in ws]) for label, ws in phrases]
         if self.order is not None:
             self.rank = np.empty(len(self.vocabulary), dtype=int)
             self.rank[self.order] = np.arange(len(self.order))
             self.ordered = [sorted(self.rank[ws]) for _, ws in self.notices]
-            self.prefix = np.zeros(len(self.vocabulary), dtype=bool)
-            for ws, need in zip(self.ordered, self.needs, strict=True):
-                self.prefix[ws[:len(ws) - need + 1]] = True
+            self.member = np.zeros((len(self.notices), len(self.vocabulary)), dtype=bool)
+            self.prefix = np.zeros_like(self.member)
+            for t, (ws, need) in enumerate(zip(self.ordered, self.needs, strict=True)):
+                self.member[t, ws] = True
+                self.prefix[t, ws[:len(ws) - need + 1]] = True
 
     def numbers(self, words: Words) -> np.ndarray:
         """The vocabulary's number of each word, -1 for others; hashes that meet are compared as text."""
@@ -93,31 +98,44 @@ class Scanner:
                 out[i] = -1
         return out
 
-    def blocks(self, words: Words) -> np.ndarray:
-        """The number of the line of each word."""
-        breaks = np.flatnonzero(np.frombuffer(words.data, dtype=np.uint8) == 10)
-        return np.searchsorted(breaks, words.starts)
-
     def matches(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[int, str, float]]:
-        """(text, label, containment) of the blocks and templates that meet the threshold, without a template whose
-        shared words all count for one that the block matches better."""
-        known = np.flatnonzero(numbers >= 0)
-        if not len(known):
+        """(text, label, containment) of the best block of each template that meets the threshold, without a template
+        whose shared words all count for one that the same place matches better."""
+        found: dict[int, list[tuple]] = {}
+        for t, begin, places, ranks in self.surroundings(words, numbers):
+            best = best_block(places, ranks, self.spans[t], self.needs[t])
+            if best:
+                first, last = best
+                shared = {r for p, r in zip(places, ranks, strict=True) if first <= p <= last}
+                rank = (len(shared) / len(self.ordered[t]), len(shared))
+                found.setdefault(int(words.text_of[begin]), []).append((rank, shared, first, last, self.notices[t][0]))
+        for text, own in found.items():
+            for rank, shared, first, last, label in own:
+                if not any(other > rank and shared <= more and a <= last and first <= b for other, more, a, b, _ in own):
+                    yield text, label, rank[0]
+
+    def surroundings(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[int, int, list[int], list[int]]]:
+        """(template, first word, places and ranks of its words) of the parts of texts that may hold a block of the template."""
+        at = np.flatnonzero(numbers >= 0)
+        ranks = self.rank[numbers[at]]
+        hot = np.flatnonzero(self.prefix.any(axis=0)[ranks])
+        if not len(hot):
             return
-        pairs, first = np.unique(np.stack([self.blocks(words)[known], self.rank[numbers[known]]]), axis=1, return_index=True)
-        text = words.text_of[known][first]
-        hot = np.unique(pairs[0][self.prefix[pairs[1]]])
-        for block in hot:
-            a, b = np.searchsorted(pairs[0], [block, block + 1])
-            own = pairs[1][a:b].tolist()
-            found = []
-            for (label, _), ordered, need in zip(self.notices, self.ordered, self.needs, strict=True):
-                shared = overlap(own, ordered, need)
-                if shared:
-                    found.append(((len(shared) / len(ordered), len(shared)), frozenset(shared), label))
-            for rank, shared, label in found:
-                if not any(other > rank and shared <= more for other, more, _ in found):
-                    yield int(text[a]), label, rank[0]
+        ends = np.cumsum(words.counts())
+        for t, (span, need) in enumerate(zip(self.spans, self.needs, strict=True)):
+            mine = at[hot[self.prefix[t, ranks[hot]]]]
+            if not len(mine):
+                continue
+            text = words.text_of[mine]
+            begin = np.maximum(mine - span + 1, np.where(text > 0, ends[text - 1], 0))
+            end = np.minimum(mine + span, ends[text])
+            apart = begin[1:] >= end[:-1]
+            for a, b in zip(begin[np.append(True, apart)].tolist(), end[np.append(apart, True)].tolist(), strict=True):
+                low, high = np.searchsorted(at, [a, b])
+                own = low + np.flatnonzero(self.member[t, ranks[low:high]])
+                known = ranks[own].tolist()
+                if overlap(sorted(set(known)), self.ordered[t], need):
+                    yield t, a, at[own].tolist(), known
 
     def places(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, str]]:
         """Word numbers at which a phrase begins, within one text."""
@@ -150,8 +168,25 @@ def overlap(block: list[int], template: list[int], need: int) -> list[int]:
     return shared if len(shared) >= need else []
 
 
+def best_block(places: list[int], ranks: list[int], span: int, need: int) -> tuple[int, int] | None:
+    """First and last place of a run of at most `span` words with the most distinct ranks, if these are `need` or more.
+    Places ascend."""
+    held: dict[int, int] = {}
+    best, most, i = None, need - 1, 0
+    for place, rank in zip(places, ranks, strict=True):
+        held[rank] = held.get(rank, 0) + 1
+        while places[i] <= place - span:
+            held[ranks[i]] -= 1
+            if not held[ranks[i]]:
+                del held[ranks[i]]
+            i += 1
+        if len(held) > most:
+            best, most = (places[i], place), len(held)
+    return best
+
+
 def word_frequencies(docs: DataFrame, text: str, scanner: Scanner) -> np.ndarray:
-    """Blocks that hold each word of the vocabulary, counted over all documents."""
+    """How often each word of the vocabulary stands in all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(scanner.vocabulary), dtype=np.int64)
         for batch in batches:
@@ -159,10 +194,7 @@ def word_frequencies(docs: DataFrame, text: str, scanner: Scanner) -> np.ndarray
             for a, b in runs(texts):
                 words = find_words(texts[a:b])
                 numbers = scanner.numbers(words)
-                known = np.flatnonzero(numbers >= 0)
-                if len(known):
-                    pairs = np.unique(scanner.blocks(words)[known] * len(total) + numbers[known])
-                    total += np.bincount(pairs % len(total), minlength=len(total))
+                total += np.bincount(numbers[numbers >= 0], minlength=len(total))
         yield pa.RecordBatch.from_pydict({"word": np.arange(len(total), dtype=np.int32), "n": total})
 
     counts = docs.select(text).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()

@@ -142,6 +142,19 @@ def test_license_scan_of_odd_rows(odd, docs):
     assert licenses.scan(docs()).count() == 0
 
 
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted"),
+    ("gpl-3", "# This work is licensed under the GNU General\n# Public License, version 3."),
+    ("gpl-2", "This work is licensed under the GNU\n\nGeneral Public License,\r\nversion 2."),
+    ("", "This work is licensed under the GNU" + " and so on" * 9 + " General Public License, version 3.")]
+
+
+def test_wrapped_notices_are_found(docs):
+    rows = {r["doc_id"]: r for r in licenses.scan(docs(*[(i, f"{prose(i, 70)}\n{t}\n{prose(i, 70)}") for i, (_, t) in enumerate(WRAPPED)])).collect()}
+    assert [(rows[i]["labels"], rows[i]["score"]) for i in range(len(WRAPPED))] == [(label, 1.0 if label else 0.0) for label, _ in WRAPPED]
+
+
 # 3 SimHash
 
 
