@@ -5,7 +5,14 @@ template; line ends, paragraphs and marks do not matter, so a wrapped notice is
 matches a template of n distinct words when it holds at least ceil(t n) of them. Words are ordered by
 their number in the whole corpus, rarest first. A block that matches holds one of the template's first
 n - ceil(t n) + 1 words (prefix filter), so only the surroundings of these words are searched, and of those only the ones with
-ceil(t n) words of the template (length filter). In what passes, every block is counted by a sliding window.
+ceil(t n) words of the template (length filter). In what passes, every block is counted by a sliding window. Every template that meets the threshold somewhere in a text
+gives its label; none is dropped for another one.
+
+A label that has names (NAMES) also asks that one of them stands in the block as consecutive words, because notices of one family share
+nearly all their words. Names are told apart by their places: one that lies inside a longer name is only a part of that ("CC BY" in "CC BY-NC"),
+one that stands elsewhere counts by itself. A label with a version (VERSIONS) asks for its number, too, in the same block. A number after
+"version" or "v", or directly after a name, belongs to the name that begins right after "version 3 of the", else to the last name before it, at
+most REACH words back. A name without a number counts for each version.
 Only words of templates matter for all of this, so the counts and templates that go to the tasks are as small as the templates.
 
 Base labels come from phrases: the places where a phrase's words stand one after the other.
@@ -17,7 +24,8 @@ are scanned one by one, so repeated rows give repeated results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,20 +64,42 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# Names that notices of a family must hold, and names of licenses without a label of their own.
+NAMES = {
+    "gpl-2": ["GNU General Public License"],
+    "gpl-3": ["GNU General Public License"],
+    "lgpl-3": ["GNU Lesser General Public License"],
+    "agpl-3": ["GNU Affero General Public License"],
+    "cc-by": ["CC BY", "Creative Commons Attribution"],
+    "cc-by-sa": ["CC BY-SA", "Creative Commons Attribution ShareAlike", "Creative Commons Attribution Share Alike"],
+    "cc-by-nc": ["CC BY-NC", "Creative Commons Attribution NonCommercial", "Creative Commons Attribution Non Commercial"],
+    "": ["CC BY-ND", "CC BY-NC-SA", "CC BY-NC-ND", *(f"Creative Commons Attribution {rest}" for rest in (
+        "NoDerivatives", "NoDerivs", "No Derivatives", "NonCommercial ShareAlike", "Non Commercial Share Alike", "NonCommercial NoDerivatives",
+        "NonCommercial NoDerivs", "Non Commercial No Derivatives"))],
+}
+NAMES = {label: [*names, *(n.replace("License", "Licence") for n in names if "License" in n)] for label, names in NAMES.items()}
+REACH = 32
+VERSIONS = {"gpl-2": "2", "gpl-3": "3", "lgpl-3": "3", "agpl-3": "3"}
+
 
 @dataclass
 class Scanner:
-    """Templates and phrases as numbers of words. `order` ranks the words, rarest first."""
+    """Templates, phrases and names as numbers of words. `order` ranks the words, rarest first."""
 
     templates: dict[str, list[str]]
     phrases: dict[str, str]
     threshold: float
+    names: dict[str, list[str]]
+    versions: dict[str, str]
     order: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         notices = [(label, plain_words(t.encode())) for label, ts in self.templates.items() for t in ts]
         phrases = [(label, plain_words(p.encode())) for p, label in self.phrases.items()]
-        self.vocabulary = sorted({w for _, ws in notices + phrases for w in ws})
+        names = [(label, plain_words(n.encode())) for label, ns in self.names.items() for n in ns]
+        marks = {v + d: d for v in ("", "v") for d in "123456789"} if self.versions else {}
+        extra = [b"version", b"v", b"of", b"the", *(m.encode() for m in marks)] if marks else []
+        self.vocabulary = sorted({w for _, ws in notices + phrases + names for w in ws} | set(extra))
         number = {w: i for i, w in enumerate(self.vocabulary)}
         hashes = find_words([b" ".join(self.vocabulary)]).hashes
         self.by_hash = np.argsort(hashes)
@@ -78,6 +108,10 @@ class Scanner:
         self.needs = [math.ceil(self.threshold * len(ws) - 1e-9) for _, ws in self.notices]
         self.spans = [SPAN * len(ws) for _, ws in notices]
         self.sequences = [(label, [number[w] for w in ws]) for label, ws in phrases]
+        self.name_sequences = {tuple(number[w] for w in ws): {k for k, other in names if other == ws} for _, ws in names}
+        self.marks = {number[m.encode()]: version for m, version in marks.items()}
+        self.before_mark = [number[w] for w in extra[:2]]
+        self.after_mark = [number[w] for w in extra[2:4]]
         if self.order is not None:
             self.rank = np.empty(len(self.vocabulary), dtype=int)
             self.rank[self.order] = np.arange(len(self.order))
@@ -99,20 +133,58 @@ class Scanner:
         return out
 
     def matches(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[int, str, float]]:
-        """(text, label, containment) of the best block of each template that meets the threshold, without a template
-        whose shared words all count for one that the same place matches better."""
-        found: dict[int, list[tuple]] = {}
+        """(text, label, containment) of every template that a block of the text matches."""
+        named: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        begins = np.concatenate([[0], np.cumsum(words.counts())])
         for t, begin, places, ranks in self.surroundings(words, numbers):
-            best = best_block(places, ranks, self.spans[t], self.needs[t])
-            if best:
-                first, last = best
-                shared = {r for p, r in zip(places, ranks, strict=True) if first <= p <= last}
-                rank = (len(shared) / len(self.ordered[t]), len(shared))
-                found.setdefault(int(words.text_of[begin]), []).append((rank, shared, first, last, self.notices[t][0]))
-        for text, own in found.items():
-            for rank, shared, first, last, label in own:
-                if not any(other > rank and shared <= more and a <= last and first <= b for other, more, a, b, _ in own):
-                    yield text, label, rank[0]
+            text, label, spans = int(words.text_of[begin]), self.notices[t][0], None
+            if label in self.names:
+                if text not in named:
+                    a = int(begins[text])
+                    named[text] = self.named(a, numbers[a:begins[text + 1]])
+                spans = named[text].get(label, [])
+                spans = spans[bisect_left(spans, (places[0] - self.spans[t],)):bisect_left(spans, (places[-1] + self.spans[t],))]
+                if not spans:
+                    continue
+            most = best_block(places, ranks, self.spans[t], self.needs[t], spans)
+            if most:
+                yield text, label, most / len(self.ordered[t])
+
+    def named(self, begin: int, numbers: np.ndarray) -> dict[str, list[tuple[int, int]]]:
+        """Last and first places of each label's names, with their version, in one text whose first word has the place `begin`."""
+        found = []
+        for sequence, labels in self.name_sequences.items():
+            found += [(p, p + len(sequence) - 1, labels) for p in run_places(numbers, sequence).tolist()]
+        # A name inside a longer one begins with it or after it and ends no later.
+        found.sort(key=lambda n: (n[0], -n[1]))
+        own, reach = [], -1
+        for name in found:
+            if name[1] > reach:
+                own.append(name)
+                reach = name[1]
+        first, last = [n[0] for n in own], [n[1] for n in own]
+        out: dict[str, list[tuple[int, int]]] = {}
+        numbered = set()
+        if own and self.marks:
+            for p in np.flatnonzero(np.isin(numbers, list(self.marks))).tolist():
+                version, plain = self.marks[int(numbers[p])], self.vocabulary[numbers[p]].isdigit()
+                k = bisect_left(last, p) - 1
+                if plain and not (p and numbers[p - 1] in self.before_mark) and not (k >= 0 and last[k] == p - 1):
+                    continue
+                after = bisect_left(first, p + 3)
+                if numbers[p + 1:p + 3].tolist() == self.after_mark and after < len(first) and first[after] == p + 3:
+                    k = after
+                if k < 0 or p - last[k] > REACH:
+                    continue
+                numbered.add(k)
+                for label in own[k][2]:
+                    if self.versions.get(label) == version:
+                        out.setdefault(label, []).append((begin + max(p, last[k]), begin + min(p, first[k])))
+        for k, (a, b, labels) in enumerate(own):
+            for label in labels:
+                if label not in self.versions or k not in numbered:
+                    out.setdefault(label, []).append((begin + b, begin + a))
+        return {label: sorted(spans) for label, spans in out.items()}
 
     def surroundings(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[int, int, list[int], list[int]]]:
         """(template, first word, places and ranks of its words) of the parts of texts that may hold a block of the template."""
@@ -140,15 +212,19 @@ class Scanner:
     def places(self, words: Words, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, str]]:
         """Word numbers at which a phrase begins, within one text."""
         for label, sequence in self.sequences:
-            n = len(numbers) - len(sequence) + 1
-            if n < 1:
-                continue
-            at = np.flatnonzero(numbers[:n] == sequence[0])
-            for j, number in enumerate(sequence[1:], 1):
-                at = at[numbers[at + j] == number]
+            at = run_places(numbers, sequence)
             yield at[words.text_of[at] == words.text_of[at + len(sequence) - 1]], label
 
 
+def run_places(numbers: np.ndarray, sequence: Sequence[int]) -> np.ndarray:
+    """Where the sequence stands in the numbers."""
+    n = max(0, len(numbers) - len(sequence) + 1)
+    at = np.flatnonzero(numbers[:n] == sequence[0])
+    for j, number in enumerate(sequence[1:], 1):
+        at = at[numbers[at + j] == number]
+    return at
+
+
 def overlap(block: list[int], template: list[int], need: int) -> list[int]:
     """Shared words of two ascending lists of ranks if there are `need` or more, else none."""
     shared: list[int] = []
@@ -168,21 +244,30 @@ def overlap(block: list[int], template: list[int], need: int) -> list[int]:
     return shared if len(shared) >= need else []
 
 
-def best_block(places: list[int], ranks: list[int], span: int, need: int) -> tuple[int, int] | None:
-    """First and last place of a run of at most `span` words with the most distinct ranks, if these are `need` or more.
-    Places ascend."""
+def best_block(places: list[int], ranks: list[int], span: int, need: int, inside: list[tuple[int, int]] | None = None) -> int:
+    """The most distinct ranks in a run of at most `span` words if they are `need` or more, else 0. Places ascend.
+    With `inside`, ascending pairs of last and first places, the run must hold one of them whole."""
     held: dict[int, int] = {}
-    best, most, i = None, need - 1, 0
-    for place, rank in zip(places, ranks, strict=True):
-        held[rank] = held.get(rank, 0) + 1
-        while places[i] <= place - span:
+    most, i, k, latest = need - 1, 0, 0, -1
+    ends = list(zip(places, ranks, strict=True))
+    if inside is not None:
+        ends = sorted(ends + [(b, -1) for b, _ in inside])
+    for place, rank in ends:
+        if rank >= 0:
+            held[rank] = held.get(rank, 0) + 1
+        while i < len(places) and places[i] <= place - span:
             held[ranks[i]] -= 1
             if not held[ranks[i]]:
                 del held[ranks[i]]
             i += 1
-        if len(held) > most:
-            best, most = (places[i], place), len(held)
-    return best
+        if inside is not None:
+            while k < len(inside) and inside[k][0] <= place:
+                latest = max(latest, inside[k][1])
+                k += 1
+            if latest <= max(-1, place - span):
+                continue
+        most = max(most, len(held))
+    return most if most >= need else 0
 
 
 def word_frequencies(docs: DataFrame, text: str, scanner: Scanner) -> np.ndarray:
@@ -209,11 +294,16 @@ SCAN = ("n_words long, n_base long, first_word long, last_word long, base_labels
 
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None,
-    phrases: dict[str, str] | None = None, threshold: float = THRESHOLD,
+    phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, names: dict[str, list[str]] | None = None,
+    versions: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per document: its words, the places of base phrases, and all labels. The
-    score is 1 with a base phrase, else the greatest containment that meets the threshold, else 0."""
-    known = (TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, threshold)
+    score is 1 with a base phrase, else the greatest containment that meets the threshold, else 0. NAMES and VERSIONS are
+    those of TEMPLATES; other templates have none unless given."""
+    if templates is None:
+        names, versions = NAMES if names is None else names, VERSIONS if versions is None else versions
+    known = (
+        TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases, threshold, names or {}, versions or {})
     plain = Scanner(*known)
     order = np.lexsort([np.arange(len(plain.vocabulary)), word_frequencies(docs, text, plain)])
     scanner = Scanner(*known, order)

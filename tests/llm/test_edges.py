@@ -155,6 +155,52 @@ def test_wrapped_notices_are_found(docs):
     assert [(rows[i]["labels"], rows[i]["score"]) for i in range(len(WRAPPED))] == [(label, 1.0 if label else 0.0) for label, _ in WRAPPED]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_match_brute_force(docs, seed):
+    rng = random.Random(seed)
+    templates = {f"t{i}": [" ".join(rng.choice(WORDS[:30]) for _ in range(rng.randint(1, 9))) for _ in range(2)] for i in range(6)}
+    texts = [rng.choice([" ", "\n", "\n\n# "]).join(rng.choice(WORDS[:60]) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    for i in range(0, 120, 3):
+        notice = rng.choice(rng.choice(list(templates.values()))).split()
+        notice[rng.randrange(len(notice))] = "changed"
+        texts[i] += "\n".join(["", *notice, ""]) + texts[i - 1]
+    rows = {r["doc_id"]: r for r in licenses.scan(docs(*enumerate(texts)), templates=templates, phrases={"no phrase": "x"}).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        found, best = words.plain_words(text.encode()), {}
+        for label, notices in templates.items():
+            for notice in notices:
+                own, span = words.plain_words(notice.encode()), 2 * len(notice.split())
+                top = max(len(set(own) & set(found[a:a + span])) / len(set(own)) for a in range(len(found)))
+                if top >= 0.8 - 1e-9:
+                    best[label] = max(top, best.get(label, 0))
+        some += len(best) > 1
+        assert (rows[i]["labels"], rows[i]["score"]) == (",".join(sorted(best)), pytest.approx(max(best.values(), default=0.0)))
+    assert some
+
+
+FAMILIES = [
+    ("cc-by,cc-by-nc", "Licensed under CC BY 4.0; figures licensed under CC BY-NC 4.0."), ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by", "Licensed under CC BY 4.0."), ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("gpl-3,lgpl-3", "This work is licensed under the GNU Lesser General Public License, version 3. "
+                     "This work is licensed under the GNU General Public License, version 3."),
+    ("lgpl-3", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("gpl-2,gpl-3", "This work is licensed under the GNU General Public License, version 2 or version 3."),
+    ("gpl-3", "This work is licensed under version 3 of the GNU General Public License."),
+    ("gpl-2,gpl-3", "This work is licensed under the GNU General Public License."),
+    ("gpl-3", "This work is licensed under the GNU General Public Licence, version 3."),
+    ("", "This work is licensed under the GNU General Public License, version 1."),
+    ("lgpl-3", "This work is licensed under the GNU Lesser General Public License, either version 3 of the License or a later one"),
+    ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")]
+
+
+def test_every_license_of_a_family_is_found(docs):
+    rows = {r["doc_id"]: r for r in licenses.scan(docs(*enumerate(t for _, t in FAMILIES))).collect()}
+    assert [rows[i]["labels"] for i in range(len(FAMILIES))] == [label for label, _ in FAMILIES]
+
+
 # 3 SimHash
 
 
