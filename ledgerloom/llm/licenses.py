@@ -9,7 +9,7 @@ ceil(t n) words of the template (length filter). In what passes, every block is
 gives its label; none is dropped for another one.
 
 A label that has names (NAMES) also asks that one of them stands in the block as consecutive words, because notices of one family share
-nearly all their words. Names are told apart by their places: one that lies inside a longer name is only a part of that ("CC BY" in "CC BY-NC"),
+nearly all their words and those of a short notice are common ones ("released under the license"). Names are told apart by their places: one that lies inside a longer name is only a part of that ("CC BY" in "CC BY-NC"),
 one that stands elsewhere counts by itself. A label with a version (VERSIONS) asks for its number, too, in the same block. A number after
 "version" or "v", or directly after a name, belongs to the name that begins right after "version 3 of the", else to the last name before it, at
 most REACH words back. A name without a number counts for each version.
@@ -51,10 +51,10 @@ PHRASES = {
 TEMPLATES = {
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "apache-2": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0"],
-    "gpl-2": ["This work is licensed under the GNU General Public License, version 2."],
-    "gpl-3": ["This work is licensed under the GNU General Public License, version 3."],
-    "lgpl-3": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "agpl-3": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "gpl-2": ["This work is licensed under the GNU General Public License, version 2.", "Released under the GNU General Public License, version 2."],
+    "gpl-3": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3."],
+    "lgpl-3": ["This work is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License, version 3."],
+    "agpl-3": ["This work is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU Affero General Public License, version 3."],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD License."],
     "cc-by": ["Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License"],
@@ -64,8 +64,16 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-# Names that notices of a family must hold, and names of licenses without a label of their own.
+# Names that notices must hold, or words that only this notice has, and names of licenses without a label of their own.
 NAMES = {
+    "mit": ["MIT License", "MIT X11 License", "MIT Expat License", "MIT style License", "associated documentation files"],
+    "apache-2": ["Apache"],
+    "mpl-2": ["Mozilla Public License"],
+    "bsd": [
+        "BSD License", "BSD style License", "BSD 2 Clause License", "BSD 3 Clause License", "BSD 2 Clause Simplified License",
+        "BSD 3 Clause New or Revised License", "source and binary forms"],
+    "cc0": ["CC0", "waived all copyright"],
+    "unlicense": ["unencumbered software"],
     "gpl-2": ["GNU General Public License"],
     "gpl-3": ["GNU General Public License"],
     "lgpl-3": ["GNU Lesser General Public License"],
@@ -79,7 +87,7 @@ NAMES = {
 }
 NAMES = {label: [*names, *(n.replace("License", "Licence") for n in names if "License" in n)] for label, names in NAMES.items()}
 REACH = 32
-VERSIONS = {"gpl-2": "2", "gpl-3": "3", "lgpl-3": "3", "agpl-3": "3"}
+VERSIONS = {"apache-2": "2", "mpl-2": "2", "gpl-2": "2", "gpl-3": "3", "lgpl-3": "3", "agpl-3": "3"}
 
 
 @dataclass

@@ -201,6 +201,25 @@ def test_every_license_of_a_family_is_found(docs):
     assert [rows[i]["labels"] for i in range(len(FAMILIES))] == [label for label, _ in FAMILIES]
 
 
+NAMED = [
+    ("gpl-3", "Released under the GNU General Public License, version 3."), ("apache-2", "Released under the Apache License, Version 2.0."),
+    ("gpl-2", "Released under the GNU General Public License, version 2."), ("lgpl-3", "Released under the GNU Lesser General Public License, version 3."),
+    ("apache-2,gpl-3", "Released under the Apache License, Version 2.0, or the GNU General Public License, version 3."),
+    ("mit", "Released under the MIT License."), ("bsd", "Released under the BSD License."), ("bsd", "Released under the BSD 3-Clause License."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("cc0", "Released under CC0 1.0 Universal."),
+    ("apache-2", "Licensed under the Apache 2.0 license"), ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("", "The album was released under the Parlophone license"), ("", "The book was released under the MIT Press label, under license."),
+    ("", "Version 1.0 Universal was released under protest"), ("", "This is free software released into the public domain"),
+    ("", "He was released, and under the new license of the city many shops opened."),
+    ("", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and documentation"),
+    ("", "Licensed under the Apache License, Version 1.1.")]
+
+
+def test_clean_lines_have_no_license(docs):
+    rows = {r["doc_id"]: r for r in licenses.scan(docs(*enumerate(t for _, t in NAMED))).collect()}
+    assert [rows[i]["labels"] for i in range(len(NAMED))] == [label for label, _ in NAMED]
+
+
 # 3 SimHash
 
 
