@@ -8,7 +8,9 @@ for the partition's upper size, and the search misses nothing. A document's own
 is the set of its shingle hashes up to the largest value in any item's sketch. Where both
 sketches meet, the item's and the document's shingles are compared as text.
 
-Words are those of `words.py`, so case and punctuation do not matter. Documents are
+Words are those of `words.py` in texts that `normal` rewrites first: in Unicode's case-folded compatibility form (NFKC), with a blank
+for every character that is no letter, mark or digit, and blanks around every character of scripts that put none between words. So case,
+punctuation and typography do not matter; invisible characters inside words (soft hyphens, joiners) are left out. Documents are
 never shuffled. Items go to the tasks in blocks of bounded size; a larger benchmark makes
 more blocks, each one pass over the documents.
 
@@ -20,6 +22,8 @@ several rows with one id are searched one by one, and a pair's row is the best o
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +38,53 @@ WIDTH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 32 << 20
 
 
+# Scripts without blanks between words, by their names in Unicode.
+UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ", "YI ", "BOPOMOFO ", "TAI ", "NEW TAI ", "JAVANESE ", "BALINESE ")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+class Rewritten(dict):
+    """What becomes of each character beyond ASCII, found when first met."""
+
+    def __init__(self, unspaced: tuple[str, ...] = ()) -> None:
+        self.unspaced = unspaced
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        kind, name = unicodedata.category(char), unicodedata.name(char, "")
+        if code == 0x200B or kind[0] not in "LNMC" or name.startswith("MODIFIER LETTER") and "APOSTROPHE" in name:
+            self[code] = " "
+        elif kind == "Cf":
+            self[code] = ""
+        elif kind[0] == "C":
+            self[code] = " "
+        else:
+            self[code] = f" {char} " if self.unspaced and name.startswith(self.unspaced) else char
+        return self[code]
+
+
+LEVELLED, SPACED = Rewritten(), Rewritten(UNSPACED)
+
+
+def rewritten(text: str, table: Rewritten) -> str:
+    return BEYOND_ASCII.sub(lambda m: m[0].translate(table), text)
+
+
+def normal(text: bytes) -> bytes:
+    """The text with case, typography and punctuation beyond ASCII levelled, for the words of `words.py`. Before the
+    compatibility form, too, marks are made blanks: some would become letters or accents."""
+    if text.isascii():
+        return text
+    plain = unicodedata.normalize("NFKC", rewritten(text.decode(errors="replace"), LEVELLED)).casefold()
+    return rewritten(unicodedata.normalize("NFKC", plain), SPACED).encode()
+
+
 class Block:
     """A bounded set of items with their sketches."""
 
     def __init__(self, ids: pa.Array, texts: list[bytes], width: int, threshold: float) -> None:
         self.width, self.threshold = width, threshold
+        texts = [normal(t) for t in texts]
         kept, self.items = [], []
         hashes, owners = shingles(find_words(texts), width) if texts else (np.zeros(0, np.uint64), np.zeros(0, int))
         bounds = np.searchsorted(owners, np.arange(len(texts) + 1))  # the owners ascend
@@ -64,6 +110,7 @@ class Block:
         """(text, item, shared shingles) of every pair that meets the threshold."""
         if not len(self.values):
             return
+        texts = [normal(t) for t in texts]
         hashes, text = shingles(find_words(texts), self.width)
         low = hashes <= self.values[-1]
         hashes, text = hashes[low], text[low]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -111,6 +112,28 @@ def test_leaks_of_odd_rows(spark, odd, docs):
     assert decontamination.find_leaks(docs(), benchmark).count() == 0
 
 
+FRENCH = ("L'été où Élodie, l'élève d'à côté, a reçu ça: où est-ce qu'on ira, là-bas, près du très vieux château fort, après l'année, déjà "
+          "passée à l'étranger, où Jürgen, die Straße, größer, war")
+COPIES = [
+    str.upper, lambda t: t.replace(", ", " — "), lambda t: f"“{t}”".replace("'", "’"), lambda t: t.replace("'", "ʼ"),
+    lambda t: t.replace(", ", "\xa0, ").replace(": ", "\xa0:\u202f"), lambda t: unicodedata.normalize("NFD", t), lambda t: t.replace(" ", "\u3000"),
+    lambda t: t.replace("château", "châ\xadteau").replace("passée", "pas\u200dsée"), lambda t: t.replace("'", "´"),
+    lambda t: "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in t)]
+UNSPACED = [
+    "これは試験の問題です。次の文が読めたら答えなさい", "请阅读下面的文章并回答后面的问题", "จงอ่านข้อความต่อไปนี้แล้วตอบคำถาม"]
+
+
+def test_typographic_copies_are_found(spark, docs):
+    items = [FRENCH, *UNSPACED]
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    rows = [f"Déjà vu, à Köln. {prose(i, 40)} {copy(FRENCH)} {prose(90 + i, 40)} fin." for i, copy in enumerate(COPIES)]
+    rows += [f"前{item[:3]}。前文{unicodedata.normalize('NFD', item)}後文です" for item in UNSPACED] + ["これは別の文章です。試験ではありません", FRENCH[:90]]
+    found = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontamination.find_leaks(docs(*enumerate(rows)), benchmark).collect()}
+    n = len(COPIES)
+    assert found == pytest.approx({**{(i, 0): 1.0 for i in range(n)}, **{(n + i, 1 + i): 1.0 for i in range(len(UNSPACED))}})
+    assert {r["doc_id"] for r in decontamination.without_leaks(docs(*enumerate(rows)), benchmark).collect()} == {len(rows) - 2, len(rows) - 1}
+
+
 # 2 licenses
 
 
