@@ -14,8 +14,8 @@ punctuation and typography do not matter; invisible characters inside words (sof
 never shuffled. Items go to the tasks in blocks of bounded size; a larger benchmark makes
 more blocks, each one pass over the documents.
 
-Defined results: a null or wordless item or document matches nothing; a text with fewer
-words than a shingle has its whole sequence as its only shingle; repeated items count once;
+Defined results: a null or wordless item or document matches nothing; an item with fewer
+words than a shingle is searched with shingles of its own number of words, so it is found wherever they stand one after the other; repeated items count once;
 several rows with one id are searched one by one, and a pair's row is the best of them; a null id stays null.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import runs, texts_of
-from ledgerloom.llm.words import find_words, plain_shingles, shingles
+from ledgerloom.llm.words import Words, find_words, plain_shingles, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 32 << 20
@@ -79,39 +79,29 @@ def normal(text: bytes) -> bytes:
     return rewritten(unicodedata.normalize("NFKC", plain), SPACED).encode()
 
 
-class Block:
-    """A bounded set of items with their sketches."""
+class Group:
+    """Sketches of the items that are searched with shingles of one width."""
 
-    def __init__(self, ids: pa.Array, texts: list[bytes], width: int, threshold: float) -> None:
+    def __init__(self, texts: list[bytes], places: list[int], width: int, threshold: float) -> None:
         self.width, self.threshold = width, threshold
-        texts = [normal(t) for t in texts]
-        kept, self.items = [], []
-        hashes, owners = shingles(find_words(texts), width) if texts else (np.zeros(0, np.uint64), np.zeros(0, int))
-        bounds = np.searchsorted(owners, np.arange(len(texts) + 1))  # the owners ascend
+        hashes, owners = shingles(find_words([texts[i] for i in places]), width)
+        bounds = np.searchsorted(owners, np.arange(len(places) + 1))  # the owners ascend
+        self.items: dict[int, set[bytes]] = {}
         sketch, owner = [], []
-        for i, text in enumerate(texts):
-            own = np.unique(hashes[bounds[i]:bounds[i + 1]])
-            if not len(own):
-                continue
+        for n, i in enumerate(places):
+            own = np.unique(hashes[bounds[n]:bounds[n + 1]])
             upper = 1 << (len(own) - 1).bit_length()
             k = upper - math.ceil(threshold * upper - 1e-9) + 1
             sketch.append(own[:k])
-            owner.append(np.full(len(sketch[-1]), len(self.items)))
-            kept.append(i)
-            self.items.append(plain_shingles(text, width))
-        self.ids = ids.take(pa.array(kept, pa.int64()))
-        self.sketch = np.concatenate(sketch) if sketch else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, int)
+            owner.append(np.full(len(sketch[-1]), i))
+            self.items[i] = plain_shingles(texts[i], width)
+        self.sketch, self.owner = np.concatenate(sketch), np.concatenate(owner)
         order = np.argsort(self.sketch, kind="stable")
         self.sketch, self.owner = self.sketch[order], self.owner[order]
         self.values = np.unique(self.sketch)
 
-    def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(text, item, shared shingles) of every pair that meets the threshold."""
-        if not len(self.values):
-            return
-        texts = [normal(t) for t in texts]
-        hashes, text = shingles(find_words(texts), self.width)
+    def matches(self, texts: list[bytes], words: Words) -> Iterator[tuple[int, int, int]]:
+        hashes, text = shingles(words, self.width)
         low = hashes <= self.values[-1]
         hashes, text = hashes[low], text[low]
         at = np.searchsorted(self.values, hashes)
@@ -124,10 +114,33 @@ class Block:
             begin, end = np.searchsorted(self.sketch, found), np.searchsorted(self.sketch, found, side="right")
             candidates = np.unique(np.concatenate([self.owner[a:b] for a, b in zip(begin, end, strict=True)]))
             own = plain_shingles(texts[t], self.width)
-            for i in candidates:
+            for i in candidates.tolist():
                 shared = len(self.items[i] & own)
                 if shared >= self.threshold * len(self.items[i]) - 1e-9:
-                    yield int(t), int(i), shared
+                    yield int(t), i, shared
+
+
+class Block:
+    """A bounded set of items with their sketches, by width: an item shorter than a shingle has its own number of words as width."""
+
+    def __init__(self, ids: pa.Array, texts: list[bytes], width: int, threshold: float) -> None:
+        texts = [normal(t) for t in texts]
+        by_width: dict[int, list[int]] = {}
+        for i, n in enumerate(find_words(texts).counts().tolist()):
+            if n:
+                by_width.setdefault(min(n, width), []).append(i)
+        self.ids = ids
+        self.groups = [Group(texts, places, w, threshold) for w, places in sorted(by_width.items())]
+        self.items = {i: item for g in self.groups for i, item in g.items.items()}
+
+    def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, shared shingles) of every pair that meets the threshold."""
+        if not self.groups:
+            return
+        texts = [normal(t) for t in texts]
+        words = find_words(texts)
+        for group in self.groups:
+            yield from group.matches(texts, words)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Iterator[Block]:

@@ -134,6 +134,18 @@ def test_typographic_copies_are_found(spark, docs):
     assert {r["doc_id"] for r in decontamination.without_leaks(docs(*enumerate(rows)), benchmark).collect()} == {len(rows) - 2, len(rows) - 1}
 
 
+def test_short_items_are_found_inside_documents(spark, docs):
+    items = ["alpha", "beta gamma", "delta beta alpha", "one two three four", "one two three four five", "one two three four five six"]
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    texts = [f"{prose(i, 60)} {item.upper()}, {prose(50 + i, 60)}" for i, item in enumerate(items)]
+    texts += ["beta, then gamma", "two three four", "beta gamma", "one two three five", prose(9, 50)]
+    found = {(r["doc_id"], r["item_id"], r["containment"]) for r in decontamination.find_leaks(docs(*enumerate(texts)), benchmark).collect()}
+    expected = {(d, i, 1.0) for d, t in enumerate(texts) for i, item in enumerate(items) if f" {item} " in f" {t.lower().replace(',', '')} " and (d, i) != (6, 1)}
+    assert found == expected and len(found) == 11
+    clean = {r["doc_id"] for r in decontamination.without_leaks(docs(*enumerate(texts)), benchmark).collect()}
+    assert clean == set(range(len(texts))) - {d for d, _, _ in expected}
+
+
 # 2 licenses
 
 
