@@ -1,0 +1,246 @@
+"""Whitening, collocations and quality rules: brute force, nulls, empties, ties, repeated rows, long texts and clashing columns."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from comparison import connect
+
+from ledgerloom.llm import catalog, collocations, encoded, rules, whitening
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+# Whitening
+
+
+def brute_whitening(vectors, components=4):
+    """n, deviations, whitened and explained of each usable vector, by another eigensolver."""
+    fixed = [tuple(math.floor(256 * float(c)) for c in v) for v in vectors]
+    fit = sorted(set(fixed))
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    centred = np.array([[c - s / n for c, s in zip(x, sums, strict=True)] for x in fit])
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1][:components], axes[:, ::-1][:, :components]
+    rows = []
+    for x in fixed:
+        y = np.array([c - s / n for c, s in zip(x, sums, strict=True)])
+        rows.append((sum((n * c - s) ** 2 for c, s in zip(x, sums, strict=True)), y @ axes / np.sqrt(values)))
+    return n, rows, values / (centred * centred).sum() * n
+
+
+def test_whitening_of_all_vectors(spark):
+    found = catalog.op11_whitening(spark, FOLDER).collect()
+    stored = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+    n, expected, explained = brute_whitening([r["embedding"] for r in stored])
+    assert len(found) == 4 * len(stored) and {r["n"] for r in found} == {n}
+    by = {(r["vec_id"], r["component"]): r for r in found}
+    signs = [0.0] * 4
+    for r, (deviation, whitened) in zip(stored, expected, strict=True):
+        for k in range(4):
+            row = by[r["vec_id"], k + 1]
+            signs[k] = signs[k] or float(np.sign(row["whitened"] * whitened[k]))
+            assert row["deviation"] == deviation
+            assert row["whitened"] == pytest.approx(signs[k] * whitened[k], abs=1e-8)
+            assert row["explained"] == pytest.approx(explained[k], rel=1e-8)
+            assert row["identity_error"] < 1e-10
+
+
+@pytest.mark.parametrize("values", [
+    [1.0], [2, 2, 2], [5, 5, 5, 5, 1, 1, 1, 1], [3, 2, 2, 2, 2, 1], [1e8, 1, 1e-3, 0, 0], [0, 0, 0], [4, 4, 4, 4 + 1e-13], list(range(1, 41))])
+def test_divide_and_conquer_finds_every_component(values):
+    q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((len(values),) * 2))
+    a = q @ np.diag(np.array(values, dtype=float)) @ q.T
+    a = (a + a.T) / 2
+    for wanted in (len(values), 2):
+        found, axes = whitening.components_of(a, wanted)
+        top = max(values) or 1
+        assert np.allclose(found, sorted(values, reverse=True)[:wanted], atol=1e-13 * top * len(values))
+        assert np.allclose(axes.T @ axes, np.eye(len(found)), atol=1e-13)
+        assert np.allclose(a @ axes, axes * found, atol=1e-13 * top * len(values))
+
+
+def test_whitening_leaves_out_what_has_no_place(spark):
+    rng = np.random.default_rng(8)
+    good = [[float(x) for x in rng.normal(size=3)] for _ in range(30)]
+    odd = [None, [], [1.0, None, 2.0], [1.0, float("nan"), 0.0], [float("inf"), 0.0, 0.0], [1.0, 2.0]]
+    rows = [(i, v, "x") for i, v in enumerate(good)] + [(0, good[0], "y"), (None, good[1], "z")] + [(100 + i, v, "w") for i, v in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, whitened string")
+    found = whitening.whiten(frame).collect()
+    assert Counter(r["vec_id"] for r in found) == Counter({**{i: 3 for i in range(1, 30)}, 0: 6, None: 3})
+    n, expected, _ = brute_whitening(good, 3)
+    assert {r["n"] for r in found} == {n}
+    for r in found:
+        if r["vec_id"] is not None:
+            assert r["deviation"] == expected[r["vec_id"]][0]
+            assert abs(r["whitened"]) == pytest.approx(abs(expected[r["vec_id"]][1][r["component"] - 1]), abs=1e-8)
+
+
+def test_whitening_without_variance_and_without_rows(spark):
+    frame = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["component"], r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"])
+            for r in whitening.whiten(frame).orderBy("vec_id", "component").collect()] == [
+        (i, k, 1, 0, None, 0.0, None) for i in (1, 2) for k in (1, 2)]
+    assert whitening.whiten(frame.limit(0)).collect() == []
+    line = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(5)], "vec_id long, embedding array<float>")
+    found = whitening.whiten(line).collect()
+    assert all((r["whitened"] is None) == (r["component"] == 2) for r in found)
+    assert found[0]["identity_error"] < 1e-10
+
+
+def test_whitening_of_huge_entries(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([(2.0 ** 40, 0), (-(2.0 ** 40), 1), (2.0 ** 41, 5), (1e300, 7)])]
+    found = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"] for r in found if r["deviation"] is None} == {0, 1, 2, 3} and all(math.isfinite(r["whitened"]) for r in found if r["component"] == 1)
+
+
+# Collocations
+
+
+def brute_collocations(rows, support=10, longest=3, best=2000):
+    upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(upper)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            counts.update((lang, *words[i:i + k]) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    frequent = {p: a for p, a in counts.items() if a >= support}
+    out = []
+    for lang in totals:
+        mine = []
+        for (own, *w), a in frequent.items():
+            if own != lang or len(w) < 2:
+                continue
+            cuts = []
+            for k in range(1, len(w)):
+                left, right = frequent[(lang, *w[:k])], frequent[(lang, *w[k:])]
+                cuts.append((1000000 * a * a // (left * right), k, left, right))
+            score, _, left, right = min(cuts)
+            inside = any(100 * b >= 50 * a and any(tuple(w) == p[1 + i:1 + i + len(w)] for i in range(len(p) - len(w)))
+                         for p, b in frequent.items() if p[0] == lang and len(p) - 1 > len(w))
+            if not inside:
+                mine.append((-score, -a, " ".join(w).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(mine)[:best], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def told(frame):
+    return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in frame.collect())
+
+
+@pytest.fixture
+def phrases(spark):
+    rng = np.random.default_rng(4)
+    words = ["New", "york", "city", "the", "of", "ä", "(x)", "é", "z"]
+    rows = []
+    for i in range(120):
+        text = "".join(words[j] + rng.choice([" ", "  ", "\t", ". ", ",", "\n", " "]) for j in rng.integers(0, len(words), 40))
+        rows.append((i if i % 7 else None, text + " New York city" * int(rng.integers(0, 3)), [None, "en", "fr", "und"][i % 4], "x"))
+    rows += [(1, None, "en", "x"), (2, "", "fr", "x"), (3, " .,; ", None, "x"), (5, rows[5][1], "en", "x"), (5, rows[5][1], "en", "x")]
+    return rows
+
+
+SCHEMA = "doc_id long, text string, lang string, score string"
+
+
+@pytest.mark.parametrize("shards, bits", [(1, 1 << 20), (4, 1 << 20), (16, 1 << 10)])
+def test_collocations_by_brute_force(spark, phrases, shards, bits):
+    frame = spark.createDataFrame(phrases, SCHEMA).repartition(7)
+    expected = brute_collocations([(r[2], r[1]) for r in phrases], best=30)
+    assert expected
+    # With few bits the union is cut into many parts.
+    assert told(collocations.collocations(frame, best=30, shards=shards, filter_bits=bits)) == expected
+
+
+def test_collocations_of_longer_phrases(spark, phrases):
+    frame = spark.createDataFrame(phrases[:40], SCHEMA)
+    assert told(collocations.collocations(frame, support=3, longest=4)) == brute_collocations([(r[2], r[1]) for r in phrases[:40]], 3, 4)
+
+
+def test_collocations_of_one_very_long_text_and_of_none(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "RUN_BYTES", 500)
+    text = "alpha beta gamma, " * 300 + "delta " * 400 + "; alpha beta"
+    parts = list(collocations._cut(text.encode()))
+    assert len(parts) > 5 and b"".join(parts) == text.encode()
+    frame = spark.createDataFrame([(1, text, "en", "x")], SCHEMA)
+    assert told(collocations.collocations(frame)) == brute_collocations([("en", text)])
+    assert told(collocations.collocations(frame.limit(0))) == []
+    assert told(collocations.collocations(spark.createDataFrame([(1, None, None, "x")], SCHEMA))) == []
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    rows = [("en", "a", 9_000_000_000_019), ("en", "b", 8_000_000_000_017), ("en", "a b", 7_999_999_999_993)]
+    (row,) = collocations.scored(spark.createDataFrame(rows, "lang string, phrase string, a long")).collect()
+    assert row["score"] == 1000000 * rows[2][2] ** 2 // (rows[0][2] * rows[1][2])
+
+
+def test_numbers_of_words_are_exact():
+    texts = [b"a b  c", b"", b" b\ta.c a", b"c" * 100_000 + b" c"]
+    found = encoded.encode(texts, b" \t", b".\n")
+    words = [w for t in texts for w in re.findall(rb"[^ \t.\n]+", t)]
+    assert [found.vocabulary[i].as_py() for i in found.ids] == words
+    assert found.text_of.tolist() == [0, 0, 0, 2, 2, 2, 2, 3, 3]
+    assert [int(n) for _, n, _ in found.runs(2)[1:] for n in n] and len(found.runs(2)[1][0]) == 2 + 2 + 1
+
+
+# Quality rules
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    often, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        covered |= {i, i + 1, i + 2} if often[w] > 1 else set()
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines), len(lines) - len(set(lines)), len(covered))
+
+
+def test_counts_by_brute_force(spark):
+    texts = [None, "", " \n\t", "a b c a b c a b", "x\nx \nx\n\n x\nÄ#é |ß|\x0bq", "#*$%&|<>" * 20, "one two " * 5000, "é" * 100_000]
+    texts += [r[0] for r in connect(FOLDER).execute("SELECT text FROM documents ORDER BY doc_id LIMIT 200").fetchall()]
+    assert [tuple(r) for r in rules.measure([(t or "").encode() for t in texts]).tolist()] == [brute_counts(t) for t in texts]
+
+
+def test_labelled_documents(spark):
+    labels = dict(connect(FOLDER).execute("SELECT doc_id, quality FROM labels").fetchall())
+    rows = catalog.op13_quality_rules(spark, FOLDER).collect()
+    good = [r for r in rows if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    bad = [r for r in rows if labels.get(r["doc_id"]) == 0]
+    assert all(r["kept"] for r in good) and sum(r["kept"] for r in bad) <= 0.1 * len(bad)
+
+
+def test_rules_of_odd_rows(spark, hot_rows):
+    hot_rows(3)
+    fine = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, fine + f" {i}", "en", "s" if i % 2 else None, "x") for i in range(300)]
+    rows += [(1, None, None, None, "x"), (2, "", "en", "lone", "x"), (3, fine, None, "s", "x"), (3, fine, None, "s", "x"), (None, fine, "fr", None, "x"),
+             (9, " ".join(f"###$$${i}" for i in range(60)), "en", "s", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
+    found = rules.judge(frame).collect()
+    assert len(found) == len(rows)
+    by = Counter((r["doc_id"], r["base_failed"], r["kept"]) for r in found)
+    assert by[9, False, False] == 1 and by[3, False, True] == 3 and by[None, False, True] == 1
+    assert by[1, True, False] == 1 and by[2, True, False] == 1
+    assert sum(r["kept"] for r in found) == 303
+    assert rules.judge(frame.limit(0)).collect() == []
+
+
+def test_sketches_merge_and_bound_their_error(spark):
+    values = [int(v) for v in np.random.default_rng(1).lognormal(8, 3, 4000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v long")
+    lows = [r[0] for r in frame.select(rules.bucket(frame.v)).collect()]
+    assert all(low <= v and 64 * (v - low) <= v for low, v in zip(lows, values, strict=True))
+    parts = [(i % 5, v) for i, v in enumerate(lows)]
+    sketch = spark.createDataFrame([("en", str(s), "symbols", v, n) for (s, v), n in Counter(parts).items()],
+                                   "lang string, source string, rule string, low long, n long")
+    (row,) = rules.quartiles(sketch, ["lang"]).collect()
+    exact = sorted(lows)
+    assert (row["symbols"]["q1"], row["symbols"]["q3"]) == (exact[999], exact[2999]) and row["size"] == 4000
