@@ -35,7 +35,7 @@ from ledgerloom.plans.workspace import run_folder
 
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 SHARDS, SHARDS_MOST = 4, 16
-RUN_BYTES, BATCH_ROWS = 12 << 20, 1 << 18  # text that is counted at once, rows handed on at once
+RUN_BYTES, BATCH_ROWS = 6 << 20, 1 << 17  # text that is counted at once, rows handed on at once
 FILTER_BITS, BITS_EACH = 1 << 29, 16  # 64 MB, for 33 million phrases
 BUCKETS = 64  # pieces of a language in its top-k
 HASH_BITS = 48
@@ -163,19 +163,23 @@ def _passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    owner = pa.repeat(pa.scalar(lang, pa.utf8()), len(phrases))
+    return pa.RecordBatch.from_arrays([owner, phrases, pa.array(counts.astype(np.int64))], ["lang", "phrase", "n"])
+
+
 def _counts(longest: int, filter_, part: int, parts: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = filter_.value
         for lang, texts in _runs(batches):
             found = Phrases(lang, texts, longest)
-            phrases, counts = [pa.nulls(1, pa.utf8())] if part == 0 else [], [np.array([found.n_words])] if part == 0 else []
+            if part == 0:
+                yield _rows(lang, pa.nulls(1, pa.utf8()), np.array([found.n_words]))
             for width, (_, n, h) in enumerate(found.levels, 1):
                 keep = np.flatnonzero(_passes(members, h) & (_part(h, parts) == part))
-                phrases.append(found.texts(width, keep))
-                counts.append(n[keep])
-            rows = pa.concat_arrays(phrases)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(rows), pa.utf8()), rows, pa.array(np.concatenate(counts).astype(np.int64))], ["lang", "phrase", "n"])
+                for at in range(0, len(keep), BATCH_ROWS):
+                    some = keep[at:at + BATCH_ROWS]
+                    yield _rows(lang, found.texts(width, some), n[some])
 
     return count
 
