@@ -112,9 +112,12 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_edits(spark: SparkSession, folder: str) -> DataFrame:
+    return edits_of(star.ledger(spark, folder))
+
+
+def edits_of(rows: DataFrame) -> DataFrame:
     """Two rounds of edits of the open rows; the second only of incomes."""
-    rows = star.ledger(spark, folder).where(~F.col("status"))
-    first = rows.select(
+    first = rows.where(~F.col("status")).select(
         "account_id", "tid", F.lit(1).alias("seq"), F.date_add("date", 1).alias("date"),
         (F.col("amount") * 2).cast("decimal(18,2)").alias("amount"), "type", "description", "category",
         F.lit("edited").alias("subcategory"), F.concat(F.lit("  "), F.col("tag")).alias("tag"),

@@ -40,6 +40,18 @@ oracle("ingest_json_records", f"SELECT {MONEY_ROW} FROM (SELECT * EXCLUDE (tid)
 oracle("append_ledger", f"""
     SELECT * EXCLUDE (tid) REPLACE (CAST(amount AS DOUBLE) AS amount), FALSE AS twice, date >= DATE '1998-01-01' AS later
     FROM ledger WHERE date >= DATE '1997-01-01'""")
+_PLAIN = "* EXCLUDE (tid) REPLACE (CAST(amount AS DOUBLE) AS amount), FALSE AS twice"
+oracle("replace_batch", f"SELECT {_PLAIN} FROM ledger WHERE account_id % 2 <> 0 OR date >= DATE '1997-01-01'")
+oracle("delete_store", f"SELECT {_PLAIN} FROM ledger WHERE NOT status OR tag IS DISTINCT FROM 'R'")
+oracle("edit_store", """
+    SELECT account_id, CASE WHEN status THEN date ELSE CAST(date + 1 AS DATE) END AS date,
+        CAST(CASE WHEN status THEN amount ELSE amount * 2 END AS DOUBLE) AS amount, type, description, category,
+        CASE WHEN status THEN subcategory ELSE 'edited' END AS subcategory, tag, status OR amount < 0 AS status,
+        CASE WHEN NOT status AND amount > 0 THEN 'second' ELSE payee END AS payee, FALSE AS twice
+    FROM ledger""")
+oracle("promote_store", " UNION ALL ".join(
+    f"SELECT account_id, date, CAST(amount AS DOUBLE) AS amount, type, description, FALSE AS twice, '{store}' AS store FROM {rows}"
+    for store, rows in (("ledger", "ledger"), ("ledger", "promoted WHERE account_id % 2 = 0"), ("staging", "staged_twice WHERE account_id % 2 <> 0"))))
 oracle("statement_to_ledger", f"""
     WITH once AS (
         SELECT DISTINCT account_id, COALESCE(date, {AS_OF}) AS date, COALESCE(amount, 0) AS amount, type,

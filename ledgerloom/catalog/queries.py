@@ -20,7 +20,7 @@ from ledgerloom.operators.table_query import TableColumn, TableQuery, TableReque
 from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
 from ledgerloom.schema import MONEY, STAGING, SUBJECTS
-from ledgerloom.sources import star, stores, uploads
+from ledgerloom.sources import promotion, star, stores, uploads
 from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
 
@@ -101,13 +101,62 @@ def append_ledger(spark, folder):
     return late.withColumns({"twice": order > 1, "later": F.col("tid") >= rows.where(F.col("date") < split).count()}).drop("tid")
 
 
+def _unique(rows):
+    """The rows with a flag for ids that are there twice, instead of the ids."""
+    return rows.withColumn("twice", F.count(F.lit(1)).over(Window.partitionBy("tid")) > 1).drop("tid")
+
+
+@query("replace_batch")
+def replace_batch(spark, folder):
+    """Two batches of all years; the second comes again with its later years alone."""
+    path, rows = run_folder(spark, "replaced"), star.ledger(spark, folder)
+    even, late = F.col("account_id") % 2 == 0, F.col("date") >= F.lit(dt.date(1997, 1, 1))
+    for name, part in (("odd", ~even), ("even", even), ("even", even & late)):
+        stores.append_rows(rows.where(part), path, name)
+    return _unique(stores.read_ledger(spark, path))
+
+
+@query("edit_store")
+def edit_store(spark, folder):
+    """Edits of stored rows, written back and read again."""
+    path = run_folder(spark, "edited")
+    stores.append_rows(star.ledger(spark, folder), path)
+    stores.edit_ledger(spark, path, inputs.edits_of(stores.read_ledger(spark, path)))
+    return _unique(stores.read_ledger(spark, path))
+
+
+@query("delete_store")
+def delete_store(spark, folder):
+    """Stored rows deleted, and what was appended afterwards has new ids."""
+    path, rows = run_folder(spark, "deleted"), star.ledger(spark, folder)
+    stores.append_rows(rows.where("status"), path)
+    stores.remove_rows(spark, path, stores.read_ledger(spark, path).where(F.col("tag") == "R"))
+    stores.append_rows(rows.where(~F.col("status")), path)
+    return _unique(stores.read_ledger(spark, path))
+
+
+@query("promote_store")
+def promote_store(spark, folder):
+    """Staged rows of the accounts with an even id move to the ledger; the run is repeated and changes nothing."""
+    staged, ledger = run_folder(spark, "staged"), run_folder(spark, "ledger")
+    stores.append_rows(inputs.staged_twice(spark, folder, AS_OF), staged, schema=STAGING)
+    stores.append_rows(star.ledger(spark, folder), ledger)
+    some = star.accounts(spark, folder).where(F.col("account_id") % 2 == 0)
+    for _ in range(2):
+        promotion.promote_store(spark, staged, ledger, AS_OF, "even", some)
+    columns = ["tid", "account_id", "date", "amount", "type", "description"]
+    moved, left = stores.read_ledger(spark, ledger).select(*columns), stores.read_staging(spark, staged).select(*columns)
+    return _unique(moved).withColumn("store", F.lit("ledger")).unionByName(_unique(left).withColumn("store", F.lit("staging")))
+
+
 @query("statement_to_ledger")
 def statement_to_ledger(spark, folder):
     """Statements are read, staged, promoted into an empty ledger and listed with their balances."""
     staged, ledger = run_folder(spark, "staged"), run_folder(spark, "promoted")
     stores.append_rows(cleaning.statement_rows(star.statement_raw(spark, folder)), staged, schema=STAGING)
     rows = stores.read_staging(spark, staged).withColumn("amount", F.coalesce("amount", F.lit(0).cast(MONEY)))
-    stores.append_rows(promote.promote_staging(rows, stores.read_ledger(spark, ledger), AS_OF), ledger)
+    known = stores.ledger_rows(stores.open_store(spark, ledger, missing_ok=True))
+    stores.append_rows(promote.promote_staging(rows, known, AS_OF), ledger)
     listed = balances.running_balance(stores.read_ledger(spark, ledger), star.openings(spark, folder))
     # The balance at the end of each day does not depend on the ids.
     return (listed.groupBy("account_id", "date").agg(

@@ -28,7 +28,7 @@ Clean = Callable[[DataFrame], DataFrame]
 
 def stored_rows(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """What has been ingested so far, with the year and the batch each row came in."""
-    return open_store(spark, path, SCHEMAS[kind])
+    return open_store(spark, path, SCHEMAS[kind])  # fails where nothing was ingested yet
 
 
 def _stream(
@@ -69,7 +69,7 @@ def _store(path: str, kind: str, clean: Clean, stream: str) -> Callable[[DataFra
         # Parsed and cleaned once, whatever is asked of the rows afterwards.
         rows, name = checkpointed(clean(batch)), f"{stream}-{batch_id}"
         if kind != "dbcsv":
-            stored = stored_rows(batch.sparkSession, path, kind).where(F.col("batch") != name)
+            stored = open_store(batch.sparkSession, path, SCHEMAS[kind], missing_ok=True, without_batch=name)
             rows = new_rows(rows, earlier_rows(rows, stored))
         # A batch that runs again after a failure replaces itself.
         append_rows(rows, path, name, SCHEMAS[kind])
