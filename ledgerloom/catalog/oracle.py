@@ -453,6 +453,11 @@ for _subject, _values in _PIVOT_VALUES.items():
         SELECT account_id, subject, CAST(SUM(CASE WHEN net < 0 THEN -net ELSE 0 END) AS DOUBLE) AS spent
         FROM ({_cells(_subject, 'month')}) GROUP BY account_id, subject""")
 
+oracle("pivot_tag_wide", """
+    SELECT account_id, period, COUNT(*) AS n_subjects, CAST(SUM(net) AS DOUBLE) AS net
+    FROM (SELECT account_id, year(date) AS period, trim(payee) AS subject, SUM(amount) AS net FROM done WHERE payee IS NOT NULL GROUP BY ALL)
+    WHERE net <> 0 GROUP BY account_id, period""")
+
 # Budgets -------------------------------------------------------------------
 
 _INCOME = """

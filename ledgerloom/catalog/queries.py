@@ -637,6 +637,18 @@ for _subject in SUBJECTS:
         _cells(spark, folder, s, "month")))
 
 
+@query("pivot_tag_wide")
+def pivot_tag_wide(spark, folder):
+    """The grouped pivot of all payees as subjects, told as the number and sum of its cells."""
+    rows = _done(spark, folder, "account_id", "date", "amount", "payee")
+    cells = shares.spend_by_period(rows.withColumnRenamed("payee", "tag"), "tag", "year")
+    wide = shares.pivot_groups(cells, 50)
+    nets = F.map_values("nets")
+    total = F.aggregate(nets, F.lit(0).cast("decimal(28,2)"), lambda a, b: (a + b).cast("decimal(28,2)"))
+    return wide.groupBy("account_id", "period").agg(
+        F.sum(F.size(nets)).alias("n_subjects"), F.sum(total).cast("decimal(28,2)").alias("net"))
+
+
 # Budgets -------------------------------------------------------------------
 
 @query("average_monthly_income")

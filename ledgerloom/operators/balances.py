@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_label, month_of, row_order
 from ledgerloom.operators.filters import trailing_cells
-from ledgerloom.plans.skew import lookup_join, running_total
+from ledgerloom.plans.skew import running_total
 
 # Stands for the month of rows without a date; before every accepted date.
 NO_MONTH = dt.date(1800, 1, 1)
@@ -92,11 +92,12 @@ def closing_by_month_outgo(rows: DataFrame, openings: DataFrame, trailing: int |
         "__place": row_order(F.coalesce("date", F.lit(NO_MONTH)), F.coalesce("tid", F.lit(-1)))})
     spent = ~F.coalesce(F.col("amount") > 0, F.lit(False))
     months = dated.groupBy("account_id", "__month").agg(
-        F.max(F.when(spent, F.col("__place"))).alias("__last"), F.sum("amount").alias("net"), F.count(F.lit(1)).alias("n_rows"))
+        F.max(F.when(spent, F.col("__place"))).alias("__last"), F.sum("amount").alias("net"))
     # Of a month's rows only those up to its last outgo count; the months before count in full.
-    lasts = months.where("__last is not null").select("account_id", "__month", "__last")
-    upto = (lookup_join(dated, lasts, ["account_id", "__month"], ["__place"], "inner", counts=months, nulls_match=True)
-            .where(F.col("__place") <= F.col("__last")).groupBy("account_id", "__month").agg(F.sum("amount").alias("upto")))
+    # A month with very many rows is split by the adaptive skew join.
+    lasts = months.where("__last is not null").select(F.col("account_id").alias("__account"), F.col("__month").alias("__of"), "__last")
+    same = F.col("account_id").eqNullSafe(F.col("__account")) & (F.col("__month") == F.col("__of")) & (F.col("__place") <= F.col("__last"))
+    upto = dated.join(lasts, same).groupBy("account_id", "__month").agg(F.sum("amount").alias("upto"))
     before = F.sum("net").over(Window.partitionBy("account_id").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1))
     closed = (months.withColumn("before", F.coalesce(before, F.lit(0))).where("__last is not null").alias("m")
               .join(upto.alias("u"), F.expr("m.account_id <=> u.account_id and m.__month = u.__month"))

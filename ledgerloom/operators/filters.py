@@ -183,14 +183,12 @@ def latest_rows(rows: DataFrame, as_of: dt.date, moves: DataFrame | None = None)
 
 
 def trailing_cells(cells: DataFrame, months: int) -> DataFrame:
-    """`trailing_months` for sums already keyed by account and `month`.
+    """`trailing_months` for sums already keyed by account and `month`; adds the account's `last_month`.
 
-    The last month of each account is an aggregate. Its trailing months join the sums by account and month, and a month
-    with very many subjects is dealt to pieces, so no task needs all sums of an account.
+    The last month of each account is one aggregate, joined to the sums by account. The sums are few next to the rows, so there is no list of hot
+    accounts: an account with very many subjects is split by the adaptive skew join. No task needs all sums of an account.
     """
-    last = cells.groupBy("account_id").agg(F.max("month").alias("last_month")).where("last_month is not null")
-    step = F.make_ym_interval(F.lit(0), F.lit(1))
-    kept = last.select("account_id", "last_month", F.explode(F.sequence(
-        months_back(F.col("last_month"), months), F.col("last_month"), step)).alias("month"))
-    spread = [c for c in cells.columns if c not in ("account_id", "month")]
-    return lookup_join(cells, kept, ["account_id", "month"], spread, "inner", nulls_match=True)
+    last = (cells.groupBy("account_id").agg(F.max("month").alias("last_month")).where("last_month is not null")
+            .select(F.col("account_id").alias("__account"), "last_month"))
+    recent = F.col("month") >= months_back(F.col("last_month"), months)
+    return cells.join(last, F.col("account_id").eqNullSafe(F.col("__account"))).where(recent).drop("__account")
