@@ -12,19 +12,21 @@ BLOCKS = frozenset(
     "tfoot tr td th form fieldset figure figcaption blockquote pre address details summary dialog center hr label select "
     "button search".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("script style noscript template title textarea svg math iframe object canvas audio video option".split())
 CLOSED_BY_ITSELF = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot tr td th div section article body menu".split())
+# What an end tag of another kind does not reach out of.
+CELLS = frozenset("td th caption table".split())
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
 # Elements whose start ends an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - {"label", "button", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:(?P<end>-->)|\Z)"
-    # An svg or math element may close itself; a "/" that ends an unquoted value does not.
-    r"|<(?P<empty>svg|math)(?=[\s/])(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+[\s/]*/>"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video)(?=[\s/>])[^>]*+>.*?"
+    # An svg element may close itself; a "/" that ends an unquoted value does not.
+    r"|<(?P<empty>svg)(?=[\s/])(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+[\s/]*/>"
+    r"|<(?P<raw>script|style|noscript|title|textarea|svg|annotation|annotation-xml|iframe|object|canvas|audio|video)(?=[\s/>])[^>]*+>.*?"
     r"(?:(?P<shut></(?P=raw)\s*+>)|\Z)"
     r"|<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
     r"|<[!?][^>]*+>",
@@ -98,9 +100,9 @@ def parse(source: str) -> Page:
 
     # No tag begins after the last ">", so it is not sought there: "<" in a long rest would cost its square.
     last, cut = source.rfind(">") + 1, False
-    at = 0
+    at = hidden = 0  # templates may hold templates
     for m in TOKEN.finditer(source, 0, last):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             put(source[at:m.start()])
         at = m.end()
         name = m["name"]
@@ -111,6 +113,11 @@ def parse(source: str) -> Page:
             cut = at == last and not (m["end"] or m["shut"]) and (bool(m["raw"]) or m[0].startswith("<!--"))
             continue
         tag = name.lower()
+        if tag == "template":
+            hidden = max(0, hidden - 1 if m["slash"] else hidden + 1)
+            pieces.append(" ")
+        if hidden:
+            continue
         if tag not in BLOCKS:
             if tag == "br":
                 pieces.append(" ")
@@ -123,12 +130,12 @@ def parse(source: str) -> Page:
         flush()
         if m["slash"]:
             if tag != "html" and open_count.get(tag):
-                # An end tag does not reach out of the list, table or article it stands in.
+                # An end tag does not reach out of the table cell it stands in, nor that of an item or paragraph out of its list or article.
                 for known, _ in reversed(stack):
                     if known == tag:
                         pop_to(tag)
                         break
-                    if tag in ("p", "li", "dt", "dd") and known in HOLDERS:
+                    if known in CELLS and tag not in TABLE_PARTS or tag in ("p", "li", "dt", "dd") and known in HOLDERS:
                         break
             anchor = 0
             continue
@@ -152,7 +159,7 @@ def parse(source: str) -> Page:
         stack.append((tag, page.add(tag, stack[-1][1], words)))
         open_count[tag] = open_count.get(tag, 0) + 1
         anchor = 0
-    if not cut:
+    if not cut and not hidden:
         put(source[at:last])
         put(source[last:].partition("<!--")[0])
     flush()

@@ -3,12 +3,12 @@
 Nodes are block elements and runs of text. A node's features are the density of text, links and marks in its subtree, the words
 of its class, id and role names and of its ancestors' (hashed to WORD_BUCKETS), its tag and its ancestors' tags, its depth, its place among its siblings
 and their sizes. The trees give each node the log odds of holding main text. Decoding finds the most likely choice in which a node
-that is left out has no chosen descendant: bottom up, a subtree is worth its odds plus what its children are worth, or nothing;
-top down, what is worth something stays.
+that is left out has no chosen descendant, and a node that is chosen has chosen text: bottom up, a subtree is worth its odds plus what its children are worth (of
+which it needs one), or nothing; top down, what is worth something stays.
 
 Fitting needs pages whose main text is known. They are laid out here from the texts of at most about SAMPLE pages, with
 menus, headers, sidebars, notices, adverts, forms, comments and footers around an article, in containers with
-speaking tags, with speaking class names, or both. Extraction reads every whole page.
+speaking tags, with speaking class names, or both; for that, and only there, texts are cut to many lengths. Extraction reads every whole page.
 
 Defined results: null or empty html, and pages without text, give the empty text; broken markup is repaired; rows are
 extracted one by one.
@@ -185,15 +185,27 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
     return Boosted(np.array(features), np.array(thresholds), np.array(values), base)
 
 
-def decode(parents: list[int], odds: list[float]) -> list[bool]:
-    """The most likely choice in which every chosen node's parent is chosen; the root always is."""
-    worth = list(odds)
-    for v in range(len(parents) - 1, 0, -1):
-        if worth[v] > 0:
-            worth[parents[v]] += worth[v]
-    chosen = [True] * len(parents)
-    for v in range(1, len(parents)):
-        chosen[v] = chosen[parents[v]] and worth[v] > 0
+def decode(parents: list[int], odds: list[float], holds: list[bool] | None = None) -> list[bool]:
+    """The most likely choice in which every chosen node's parent is chosen; the root always is. With `holds` (does the node have text of
+    its own?) every other chosen node without any must have a chosen child too: what is said to hold main text holds some."""
+    n, none = len(parents), float("-inf")
+    gains, best, child = [0.0] * n, [none] * n, [-1] * n  # of the children: what they add, and the best of them
+    worth = [none] * n
+    for v in range(n - 1, -1, -1):
+        if holds is None or holds[v] or gains[v] > 0:
+            worth[v] = odds[v] + gains[v]
+        else:
+            worth[v] = odds[v] + best[v]
+        p = parents[v]
+        if p >= 0:
+            gains[p] += max(0.0, worth[v])
+            if worth[v] >= best[p]:
+                best[p], child[p] = worth[v], v
+    chosen = [True] * n
+    for v in range(1, n):
+        p = parents[v]
+        only = holds is not None and p > 0 and not holds[p] and gains[p] <= 0 and child[p] == v
+        chosen[v] = chosen[p] and (worth[v] > 0 or only)
     return chosen
 
 
@@ -211,7 +223,7 @@ def node_odds(pages: list[Page], trees: Boosted) -> list[float]:
 
 
 def main_text(page: Page, odds: list[float]) -> str:
-    chosen = decode(page.parents, odds)
+    chosen = decode(page.parents, odds, [bool(t) for t in page.texts])
     return " ".join(t for t, c in zip(page.texts, chosen, strict=True) if t and c)
 
 
@@ -327,6 +339,9 @@ def learn(sources: list[str]) -> Boosted:
         for _ in range(2):
             # Main texts of few and many paragraphs, short ones among them.
             own = [rng.choice(long)[:rng.choice((5, 12, 30, 80, 200, 600, 2000))] for _ in range(rng.choice((1, 2, 4, 8, 16)))]
+            if rng.random() < 0.5:
+                # A short paragraph closes the article, however long the others are.
+                own.append(rng.choice(pool)[:rng.choice((4, 8, 16, 24, 40))])
             page = parse(layout(rng, own if rng.random() < 0.6 else ts[:40], pool))
             ys.append(truth(page))
             xs.append(node_features(page))

@@ -53,8 +53,6 @@ class Words:
         return np.bincount(self.text_of, minlength=len(self.offsets) - 1)
 
 
-def lowered(text: bytes) -> bytes:
-    return text.lower()
 
 
 def plain_words(text: bytes) -> list[bytes]:

@@ -374,6 +374,36 @@ def test_decoding_is_the_best_consistent_choice():
         assert sum(o for o, c in zip(odds, chosen, strict=True) if c) == pytest.approx(best)
 
 
+def test_decoding_gives_every_chosen_node_text():
+    rng = random.Random(3)
+    for _ in range(80):
+        n = rng.randint(1, 9)
+        parents = [-1] + [rng.randrange(i) for i in range(1, n)]
+        odds, holds = [rng.uniform(-2, 2) for _ in range(n)], [rng.random() < 0.4 for _ in range(n)]
+
+        def fits(y):
+            return all((y[parents[i]] or not y[i]) and (not y[i] or holds[i] or any(y[j] and parents[j] == i for j in range(i + 1, n)))
+                       for i in range(1, n))
+
+        best = max(sum(o for i, o in enumerate(odds) if c >> i & 1) for c in range(1, 1 << n, 2) if fits([c >> i & 1 for i in range(n)]))
+        chosen = extraction.decode(parents, odds, holds)
+        assert fits(chosen) and sum(o for o, c in zip(odds, chosen, strict=True) if c) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("source, texts", [
+    ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi><annotation encoding=tex>E=mc</annotation></math> here</p>", ["Energy is E=mc here"]),
+    ("<p>a<template>x<template>y</template>z</template>b</p>", ["a b"]), ("<p>a</p><template><p>b</p>", ["a"]), ("<p>a</p></template>b", ["a", "b"]),
+    ("<div>a<table><tr><td>b</div>c</td></tr></table>d</div>e", ["a", "b", "c", "d", "e"])])
+def test_formulas_templates_and_stray_end_tags(source, texts):
+    assert [t for t in dom.parse(source).texts if t] == texts
+
+
+def test_a_stray_end_tag_stays_in_its_cell():
+    page = dom.parse("<div><table><tr><td>b</div>c</td></tr></table>d</div>e")
+    inside = {t: page.tags[page.parents[v]] for v, t in enumerate(page.texts) if t}
+    assert inside == {"b": "td", "c": "td", "d": "div", "e": "html"}
+
+
 @pytest.mark.parametrize("source", [
     "", "no markup", "<p", "<p>a<p>b", "<div><p>a</div>b</p>", "</div>" * 50 + "x", "<!-- open", "<script>var a = '<p>x</p>'", "<a b='>'>t</a>",
     "<div>" * 5000 + "deep" + "</div>" * 5000, "<p title=\"x>y", "<table><tr><td>a<td>b<tr><td>c</table>d", "&amp;&#228;&unknown; &nbsp; x", "<ul><li>a<ul><li>b</ul><li>c</ul>"])

@@ -106,8 +106,8 @@ def test_main_text_is_the_article(spark, db):
     pages = dict(db.execute("SELECT page_id, html FROM pages").fetchall())
     rows = catalog.op5_main_text(spark, FOLDER).collect()
     assert {r["page_id"] for r in rows} == pages.keys()
-    same = [r["text"] == article(pages[r["page_id"]]) for r in rows]
-    assert sum(same) >= 0.97 * len(same)
+    # One page loses a closing paragraph of four words.
+    assert {r["page_id"] for r in rows if r["text"] != article(pages[r["page_id"]])} <= {93}
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
