@@ -36,8 +36,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
-    return packing.pack(docs, catalog.vocabulary_path())
+    """The pieces of all documents in their sequences, with their tokens."""
+    return packing.pack(docs, catalog.vocabulary_path(), with_ids=True)
 
 
 STAGES = [

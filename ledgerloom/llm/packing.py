@@ -122,18 +122,28 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sequence = encoder(vocabulary), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
+        tokens_of: list[np.ndarray] = []
         rest: list[tuple] = []
 
         def piece(doc, start: int, ids: np.ndarray, tokens: int, sequence_id: int, offset: int) -> None:
             own = (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, sequence_id, offset)
-            rows.append((*own, ids.tolist()) if with_ids else own)
+            rows.append(own)
+            if with_ids:
+                tokens_of.append(ids)
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
-            names = ["doc_id", *(f.split()[0] for f in PIECE.split(", "))] + ["ids"] * with_ids
-            kinds = [kind] + [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
+            names = ["doc_id", *(f.split()[0] for f in PIECE.split(", "))]
+            kinds = [kind] + [pa.int64()] * 6
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, tokens_of)], dtype=np.int32)
+                values = np.concatenate([np.zeros(0, np.uint32), *tokens_of]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                names.append("ids")
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            tokens_of.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         def pack_rest() -> int:
             placed = assign([len(ids) for _, _, ids, _ in rest], length)

@@ -29,12 +29,13 @@ from pyspark.sql import types as T
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shared import texts_of
 from ledgerloom.plans.skew import lookup_join
-from ledgerloom.plans.workspace import checkpointed
+from ledgerloom.plans.workspace import checkpointed, run_folder
 
 WIDTH, BITS, SEED = 3, 2, 42
 NODE_LIMIT = 50_000
 MOST_PAIRS = 1 << 20
 MOST_DEEPER = 16
+MOST_SENT = 1_000_000  # keys that are broadcast, some 50 MB
 
 
 def fingerprints_of(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -238,11 +239,8 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", budget: int
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def _rooted(
-    docs: DataFrame, doc_id: str, text: str, width: int, budget: int,
-) -> DataFrame:
-    """doc_id, fingerprint, root (the smallest fingerprint of the class), component_id."""
-    prints = checkpointed(fingerprints(docs, doc_id, text, width))
+def _rooted(prints: DataFrame, budget: int) -> DataFrame:
+    """doc_id, fingerprint, root (the smallest fingerprint of the class), component_id; `prints` is read several times."""
     nodes = checkpointed(prints.groupBy("fingerprint").agg(
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")))
     roots = components(near_links(nodes, "fingerprint", budget), "a", "b")
@@ -258,26 +256,39 @@ def classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BITS,
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id."""
-    return _rooted(docs, doc_id, text, width, budget).drop("root")
+    return _rooted(checkpointed(fingerprints(docs, doc_id, text, width)), budget).drop("root")
 
 
 def deduplicate(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BITS,
 ) -> DataFrame:
     """One document of each class, with all its columns: the one with the smallest id, of several
-    texts with that id the one with the smallest fingerprint."""
-    stay = (_rooted(docs, doc_id, text, width, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint")))
-    stay = stay.select(_key("doc_id", "fingerprint").alias("__key"))
-    at = docs.columns.index(text)
+    texts with that id the one with the smallest fingerprint, of several rows with both any one.
+
+    Each text is fingerprinted once and written with its fingerprint below the shared folder. Rows that stay are not shuffled as long as
+    the keys of those that leave, or are there twice, are at most MOST_SENT; more of them meet the rows in a join.
+    """
+    spark, folder, at = docs.sparkSession, run_folder(docs.sparkSession, "prints"), docs.columns.index(text)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.append_column("__print", _column_of(batch.column(at), width))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())])
-    rows = docs.mapInArrow(marked, schema).withColumn("__key", _key(doc_id, "__print"))
-    return rows.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    docs.mapInArrow(marked, schema).write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows")
+    found = _rooted(rows.select(F.col(doc_id).alias("doc_id"), F.col("__print").alias("fingerprint")), budget)
+    own = (found.groupBy("root", "component_id", "doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n_rows")))
+    first = (own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
+             .agg(F.min("fingerprint").alias("stays")))
+    # One row per key that does not simply stay: it leaves, or is there more than once.
+    keys = own.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fingerprint") == F.col("stays")))
+    keys.where(~F.col("stays") | (F.col("n_rows") > 1)).select(_key("doc_id", "fingerprint").alias("__key"), "stays").write.parquet(f"{folder}/keys")
+    keys = spark.read.parquet(f"{folder}/keys")
+    keys = F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+    told = rows.withColumn("__key", _key(doc_id, "__print")).join(keys, "__key", "left")
+    single = told.where(F.col("stays").isNull()).select(*docs.columns)
+    return single.unionByName(told.where("stays").dropDuplicates(["__key"]).select(*docs.columns))
 
 
 def _key(doc_id: str, fingerprint: str) -> Column:

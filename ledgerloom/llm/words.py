@@ -54,7 +54,6 @@ class Words:
 
 
 
-
 def plain_words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 

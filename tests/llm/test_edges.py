@@ -316,10 +316,12 @@ def test_simhash_of_odd_rows(odd, docs):
     assert simhash.classes(docs()).count() == 0 and simhash.deduplicate(docs()).count() == 0
 
 
-def test_one_id_with_several_texts_keeps_one_row_of_each_class(docs):
-    a, b = prose(1, 50), prose(2, 50)
-    kept = simhash.deduplicate(docs((1, a), (1, b), (2, a), (3, b), (4, b)))
-    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b)])
+@pytest.mark.parametrize("sent", [simhash.MOST_SENT, 0])
+def test_one_id_with_several_texts_keeps_one_row_of_each_class(docs, monkeypatch, sent):
+    monkeypatch.setattr(simhash, "MOST_SENT", sent)
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    kept = simhash.deduplicate(docs((1, a), (1, b), (2, a), (3, b), (4, b), (1, a), (5, c), (5, c), (6, prose(4, 50))))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (5, c), (6, prose(4, 50))])
 
 
 # 4 language

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
+
 import corpus_pipeline
+import numpy as np
 import pytest
 from comparison import connect
 from test_queries import classes_of, print_of
+from tokenizers import Tokenizer
 
+from ledgerloom.llm import catalog
 from ledgerloom.llm.words import plain_shingles
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,6 +69,13 @@ def test_decontamination_stage(stages):
 
 
 def test_packing_stage_and_run(spark, stages):
-    assert {r["doc_id"] for r in stages[5].collect()} == rows(stages[4]).keys()
+    pieces, texts = defaultdict(list), rows(stages[4])
+    for r in stages[5].collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) and len(r["ids"]) == r["length"]
+        pieces[r["doc_id"]].append((r["start"], r["ids"]))
+    assert pieces.keys() == texts.keys()
+    tokenizer = Tokenizer.from_file(catalog.vocabulary_path())
+    for doc, text in texts.items():
+        assert [i for _, ids in sorted(pieces[doc]) for i in ids] == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
     found = corpus_pipeline.run(spark, FOLDER)
     assert found.agg({"length": "sum"}).collect() == stages[5].agg({"length": "sum"}).collect()
