@@ -57,7 +57,7 @@ def _cut(text: bytes) -> list[bytes]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """Texts of a task by language, gathered over batches up to about RUN_BYTES of text in all."""
     held, size = {}, 0
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
             for part in _cut(text):
                 held.setdefault(lang, []).append(part)
