@@ -40,9 +40,10 @@ def statement_date(text: Column) -> Column:
 
 
 def json_date(text: Column) -> Column:
-    """In ISO form, with or without a time, or milliseconds since 1970."""
-    millis = F.when(_filled(text).rlike(r"^-?\d{5,}$"), _filled(text).try_cast("long"))
-    return F.coalesce(F.to_date(F.timestamp_millis(millis)), F.substring(_filled(text), 1, 10).try_cast("date"))
+    """In ISO form, with or without a time, or milliseconds since 1970. Eight digits are year, month and day, or unreadable."""
+    days = F.when(_filled(text).rlike(r"^\d{8}$"), F.try_to_date(_filled(text), "yyyyMMdd"))
+    millis = F.when(_filled(text).rlike(r"^-?\d{5,}$") & ~_filled(text).rlike(r"^\d{8}$"), _filled(text).try_cast("long"))
+    return F.coalesce(days, F.to_date(F.timestamp_millis(millis)), F.substring(_filled(text), 1, 10).try_cast("date"))
 
 
 def unreadable_dates(raw: DataFrame, name: str, read: Callable[[Column], Column]) -> DataFrame:

@@ -230,3 +230,10 @@ def test_dates_as_they_are_written(spark):
     rows = texts.select(cleaning.homebank_date(F.col("t")).alias("a"), cleaning.statement_date(F.col("t")).alias("b")).collect()
     day, month = dt.date(2018, 1, 5), dt.date(2018, 5, 1)
     assert [tuple(r) for r in rows] == [(day, month), (day, month), (None, day), (None, None), (None, None), (None, None)]
+
+
+def test_eight_digits_are_a_date_or_unreadable(spark):
+    texts = spark.createDataFrame([(t,) for t in ("20180105", "20181305", "981158400000", "-98115840000")], "t string")
+    found = [r.d for r in texts.select(cleaning.json_date(F.col("t")).alias("d")).collect()]
+    assert found == [dt.date(2018, 1, 5), None, dt.date(2001, 2, 3), dt.date(1966, 11, 22)]
+    assert [r.t for r in cleaning.unreadable_dates(texts, "t", cleaning.json_date).collect()] == ["20181305"]
