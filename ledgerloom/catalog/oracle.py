@@ -585,3 +585,23 @@ oracle("schedule_listing", """
     SELECT id, account_id, frequency, interval_n, day, start_date, end_date, last_approved AS approved,
            CAST(amount AS DOUBLE) AS amount, category, subcategory, payee, description, active
     FROM schedules""")
+
+# Stored state --------------------------------------------------------------
+
+# What the stores end with is what the operators make of the whole tables.
+for _name, _same in (("account_overview_kept", "account_overview"), ("refresh_budgets_kept", "refresh_budgets"),
+                     ("closing_balance_month_kept", "closing_balance_month"), ("percent_of_income_category_kept", "percent_of_income_category"),
+                     ("average_monthly_income_kept", "average_monthly_income"), ("budget_store", "upsert_budgets")):
+    oracle(_name, f"SELECT * FROM ({ORACLE[_same]})")
+oracle("running_balance_since", f"""
+    SELECT account_id, date, COUNT(*) AS n_rows, CAST(max_by(closing, tid) AS DOUBLE) AS closing_balance
+    FROM ({_running('done')}) WHERE date >= DATE '1997-05-17' GROUP BY account_id, date""")
+oracle("post_due_store", """
+    SELECT * EXCLUDE (stid) REPLACE (CAST(amount AS DOUBLE) AS amount, TRUE AS status), FALSE AS twice
+    FROM upcoming WHERE stid IN (SELECT stid FROM decisions WHERE approve)""")
+oracle("schedule_store", f"""
+    SELECT s.id, s.account_id, frequency, CASE WHEN active THEN interval_n ELSE CAST(interval_n + 1 AS INTEGER) END AS interval_n, day,
+           CASE WHEN approve THEN CAST(due + 1 AS DATE) WHEN NOT approve THEN d.date ELSE start_date END AS start_date, end_date,
+           CASE WHEN approve THEN {AS_OF} ELSE last_approved END AS approved, CAST(amount AS DOUBLE) AS amount, category, subcategory,
+           CASE WHEN active THEN payee ELSE 'edited' END AS payee, description, TRUE AS active
+    FROM schedules s LEFT JOIN decisions d ON d.stid = s.id LEFT JOIN due USING (id)""")

@@ -20,7 +20,7 @@ from ledgerloom.operators.table_query import TableColumn, TableQuery, TableReque
 from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
 from ledgerloom.schema import MONEY, STAGING, SUBJECTS
-from ledgerloom.sources import promotion, star, stores, uploads
+from ledgerloom.sources import kept, keyed, promotion, star, stores, uploads
 from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
 
@@ -742,6 +742,110 @@ def schedule_listing(spark, folder):
     return schedules.schedule_listing(star.schedules(spark, folder))
 
 
+# Stored state --------------------------------------------------------------
+
+def _kept(spark, folder):
+    """A ledger that ends as the given one after three batches, a replaced batch, edits and a deletion, and its sums, brought up to
+    date after each change."""
+    ledger, sums = run_folder(spark, "ledger"), run_folder(spark, "sums")
+    rows = star.ledger(spark, folder)
+
+    def part(k: int) -> DataFrame:
+        return rows.where(F.col("tid") % 3 == k)
+
+    def edited(wrong: bool) -> DataFrame:
+        of = stores.read_ledger(spark, ledger).where("tid % 5 = 0 and account_id % 11 = 0")
+        return of.withColumn("amount", -F.col("amount")).withColumn("seq", F.lit(1 + wrong))
+
+    steps = [
+        lambda: stores.append_rows(part(0), ledger, "first"),
+        lambda: stores.append_rows(part(1).withColumn("amount", -F.col("amount")), ledger, "second"),
+        lambda: stores.append_rows(part(2).unionByName(part(0).where(F.col("account_id") % 7 == 0).withColumn("payee", F.lit("to go"))), ledger, "third"),
+        lambda: stores.append_rows(part(1), ledger, "second"),
+        lambda: stores.edit_ledger(spark, ledger, edited(True)),
+        lambda: stores.edit_ledger(spark, ledger, edited(False)),
+        lambda: stores.remove_rows(spark, ledger, stores.read_ledger(spark, ledger).where("payee = 'to go'")),
+    ]
+    for step in steps:
+        step()
+        kept.catch_up(spark, ledger, sums)
+    return ledger, sums
+
+
+def _kept_rows(spark, folder):
+    return kept.as_rows(kept.read_cells(spark, _kept(spark, folder)[1]))
+
+
+@query("account_overview_kept")
+def account_overview_kept(spark, folder):
+    return kept.account_overview(star.accounts(spark, folder), kept.read_cells(spark, _kept(spark, folder)[1]))
+
+
+@query("refresh_budgets_kept")
+def refresh_budgets_kept(spark, folder):
+    """Budgets in a store, refreshed from the sums and read again."""
+    ledger, sums = _kept(spark, folder)
+    store = keyed.budgets_at(spark, run_folder(spark, "budgets"))
+    store.create(star.budgets(spark, folder), lots=8)
+    promotion.refresh_stored(spark, store.path, ledger, sums, "category")
+    return store.read()
+
+
+@query("closing_balance_month_kept")
+def closing_balance_month_kept(spark, folder):
+    return balances.closing_by_month(_kept_rows(spark, folder), star.openings(spark, folder))
+
+
+@query("percent_of_income_category_kept")
+def percent_of_income_category_kept(spark, folder):
+    return shares.percent_of_income(shares.spend_by_period(_kept_rows(spark, folder), "category", "year"))
+
+
+@query("average_monthly_income_kept")
+def average_monthly_income_kept(spark, folder):
+    return budgets.average_monthly_income(_kept_rows(spark, folder))
+
+
+@query("running_balance_since")
+def running_balance_since(spark, folder):
+    """The running balance from a day inside a month on, from the sums and the stored rows of that span."""
+    ledger, sums = _kept(spark, folder)
+    listed = kept.running_balance_since(spark, ledger, sums, star.openings(spark, folder), dt.date(1997, 5, 17))
+    # The balance at the end of each day does not depend on the stored ids.
+    return listed.groupBy("account_id", "date").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max_by("closing_balance", "tid").alias("closing_balance"))
+
+
+@query("schedule_store")
+def schedule_store(spark, folder):
+    """Stored schedules edited, then approved and moved on; the run is repeated and changes nothing."""
+    path, ledger = run_folder(spark, "schedules"), run_folder(spark, "ledger")
+    keyed.schedules_at(spark, path).create(star.schedules(spark, folder), lots=8)
+    for _ in range(2):
+        promotion.post_due_store(spark, path, ledger, inputs.decisions(spark, folder), AS_OF, "july")
+    promotion.edit_schedules(spark, path, inputs.schedule_edits(spark, folder))
+    return schedules.schedule_listing(keyed.schedules_at(spark, path).read())
+
+
+@query("post_due_store")
+def post_due_store(spark, folder):
+    """What the repeated run has put into the ledger."""
+    path, ledger = run_folder(spark, "schedules"), run_folder(spark, "ledger")
+    keyed.schedules_at(spark, path).create(star.schedules(spark, folder), lots=8)
+    for _ in range(2):
+        promotion.post_due_store(spark, path, ledger, inputs.decisions(spark, folder), AS_OF, "july")
+    return _unique(stores.read_ledger(spark, ledger))
+
+
+@query("budget_store")
+def budget_store(spark, folder):
+    """Edits of stored budgets, a new subject among them, written back and read again."""
+    store = keyed.budgets_at(spark, run_folder(spark, "budgets"))
+    store.create(star.budgets(spark, folder), lots=8)
+    promotion.edit_budgets(spark, store.path, inputs.budget_edits(spark, folder))
+    return store.read()
+
+
 # Incremental ingest --------------------------------------------------------
 
 @query("incremental_ingest")

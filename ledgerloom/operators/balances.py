@@ -23,6 +23,11 @@ def account_overview(accounts: DataFrame, rows: DataFrame) -> DataFrame:
         F.count_if(done).alias("done"),
         F.sum(F.when(done, F.col("amount"))).alias("moved"),
     )
+    return overview_of(accounts, totals)
+
+
+def overview_of(accounts: DataFrame, totals: DataFrame) -> DataFrame:
+    """The overview from each account's `total` and `done` rows and the sum `moved` of the done ones."""
     return accounts.join(totals, "account_id", "left").select(
         "account_id",
         F.col("name").alias("account_name"),

@@ -39,6 +39,11 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, folders: Iterabl
     return spark.read.schema(whole).option("basePath", path).parquet(*paths)
 
 
+def rows_of(spark: SparkSession, path: str, schema: T.StructType, folders: Iterable[Folder]) -> DataFrame:
+    """The rows of some folders of a store, of any version."""
+    return _read(spark, path, schema, folders).select(*schema.fieldNames())
+
+
 def _version(spark: SparkSession, path: str, number: int | None = None) -> Version:
     version = versions.read(spark, path, number)
     if version is None:
@@ -113,7 +118,8 @@ def _write(rows: DataFrame, path: str, schema: T.StructType) -> list[Folder]:
     """Write rows that have a batch as one commit; what its folders hold is read from the two key columns and the date."""
     commit = uuid.uuid4().hex
     place = F.floor(F.col("tid") / SLICE_ROWS).cast("string")
-    placed = rows.select(*schema.fieldNames(), "batch", F.year("date").alias("year"),
+    # Of the schema's types: wider decimals (of amounts worked out) would make files that cannot be read.
+    placed = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], "batch", F.year("date").alias("year"),
                          F.concat(F.left(F.sha2("batch", 256), F.lit(24)), F.lit("-"), place).alias("lot"))
     (placed.hint("rebalance", F.col("year"), F.col("lot")).sortWithinPartitions("year", "lot", "account_id", "date")
      .write.partitionBy("year", "lot").parquet(f"{path}/commit={commit}"))
