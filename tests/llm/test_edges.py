@@ -6,8 +6,9 @@ import random
 import unicodedata
 
 import numpy as np
-import pytest
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     catalog, chat, components, decontamination, dom, exact, extraction, language, licenses, packing, quality, simhash, warc, words)
@@ -650,6 +651,37 @@ def test_a_full_filter_changes_nothing(docs, monkeypatch, most):
     assert exact.deduplicate(rows).count() == 700
 
 
+def test_the_filter_is_cut_into_slices(spark, monkeypatch):
+    """16 bits a row at any number of rows: the share of suspects stays, the answers too."""
+    rows = spark.range(9000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 300, F.col("id") % 100).when(F.col("id") < 3300, 1).otherwise(F.col("id"))).alias("text"),
+        F.lit("mine").alias("slice"), F.lit(1).alias("suspect"))
+
+    def told():
+        decided, kept = exact.decide(rows), exact.deduplicate(rows)
+        assert kept.columns == rows.columns
+        return sorted(map(tuple, decided.collect())), sorted(map(tuple, kept.collect()))
+
+    whole = told()
+    assert len(exact.slices(9000)) == 1 and len(whole[1]) == 5800
+    monkeypatch.setattr(exact, "MIN_BITS", 1 << 13)
+    monkeypatch.setattr(exact, "MAX_BITS", 1 << 13)
+    ranges = exact.slices(9000)
+    assert len(ranges) == 18 and ranges[0][0] == "00000000" and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert told() == whole
+
+    def alone_but_suspect(n):
+        distinct = rows.where("doc_id >= 3300").limit(n)
+        marks = exact.marked(exact.fingerprints(distinct))
+        return marks.where("suspect").count() / n
+
+    few, many = alone_but_suspect(500), alone_but_suspect(5000)
+    assert many < 0.05 and few < 0.05
+    # One filter of that size for all rows would suspect nearly every one.
+    monkeypatch.setattr(exact, "slices", lambda rows: [("0", "g")])
+    assert alone_but_suspect(5000) > 0.3
+
+
 def test_arrow_texts_of_null():
     from ledgerloom.llm.shared import texts_of
 
