@@ -14,6 +14,7 @@ below `smallest` bytes is always a response.
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import hashlib
 import io
@@ -27,7 +28,6 @@ from ledgerloom.plans.skew import key_counts, lookup_join
 from ledgerloom.plans.workspace import checkpointed, run_folder
 
 SMALLEST = 1000
-DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 4000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -58,8 +58,15 @@ def resolved(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     return found.withColumn("original", F.when(other, F.col("original")))
 
 
-def as_records(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """One column `record`: a WARC record without the two line ends that close it."""
+def now() -> str:
+    """The time in the form of a WARC date."""
+    return dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def as_records(pages: DataFrame, date: str | None = None) -> DataFrame:
+    """One column `record`: a WARC record without the two line ends that close it. The date of all records is that of the
+    run, fixed while the plan is made, so that a task that runs again writes the same one."""
+    date = date or now()
     end = F.lit("\r\n\r\n")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     # Line ends would break a header line, outer blanks would be lost.
@@ -82,9 +89,9 @@ def as_records(pages: DataFrame, date: str = DATE) -> DataFrame:
         kind, common, F.when(revisit, F.concat(F.lit("\r\n"), origin)).otherwise(F.lit("")), tail, body).alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE, date: str | None = None) -> None:
     """Writes resolved pages as gzip archives below a new folder."""
-    (as_records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    (as_records(pages, date).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(folder))
 
 

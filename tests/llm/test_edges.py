@@ -503,6 +503,18 @@ def test_payloads_and_headers_come_back(spark, tmp_path):
     assert all(r["payload"] == b"" and r["refers_to_id"] in {x["record_id"] for x in responses.values()} for r in rows if r["type"] == "revisit")
 
 
+def test_records_have_the_date_of_the_run(spark):
+    pages = spark.createDataFrame([(i, "u", prose(0, 300)) for i in range(3)], "page_id long, url string, html string")
+
+    def dates(date=None):
+        records = [r["record"] for r in warc.as_records(warc.resolved(pages), date).collect()]
+        return {line.split(": ")[1] for r in records for line in r.split("\r\n") if line.startswith(("WARC-Date", "WARC-Refers-To-Date"))}
+
+    before, found, after = warc.now(), dates(), warc.now()
+    assert len(found) == 1 and before <= found.pop() <= after
+    assert dates("2020-02-02T00:00:00Z") == {"2020-02-02T00:00:00Z"}
+
+
 # 7 packing
 
 
