@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _one_process(spark: SparkSession) -> bool:
+    """Whether driver and executor are one, so that a folder of this machine is shared."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
@@ -16,7 +22,7 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{shared.rstrip('/')}/ledgerloom/{purpose}-{uuid.uuid4().hex}"
@@ -29,7 +35,7 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not _one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return frame.checkpoint()
