@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.skew import lookup_join
+from ledgerloom.sources.json_arrays import read_array
 
 # Accepted extensions and the columns of the three formats.
 EXTENSIONS = ["json", "csv", "dbcsv"]
@@ -60,11 +61,13 @@ def read_json_records(
     spark: SparkSession, path: str, lines: bool = False, pattern: str | None = None,
     schema: str = JSON_SCHEMA,
 ) -> DataFrame:
-    """JSON records. An array in one file is parsed by one task, because the
-    format cannot be split; `lines=True` reads one record per line, in parallel.
+    """JSON records: an array per file, cut into records by many tasks (`json_arrays`), or with `lines=True` one record per line.
     A file that is not JSON stops the read: nothing of it would be a ledger row."""
-    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", pattern or extension_glob("json"))
-    return _positioned(reader.option("recursiveFileLookup", "true").json(path, multiLine=not lines))
+    pattern = pattern or extension_glob("json")
+    if not lines:
+        return read_array(spark, path, schema, pattern)
+    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", pattern)
+    return _positioned(reader.option("recursiveFileLookup", "true").json(path))
 
 
 def read_homebank(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
