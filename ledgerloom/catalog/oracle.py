@@ -289,6 +289,11 @@ _ORDER = "ORDER BY ledger.category DESC NULLS LAST, ledger.date ASC NULLS FIRST,
 oracle("tq_sort", f"SELECT {MONEY_ROW} FROM ledger WHERE {_FACET}")
 oracle("tq_page", f"SELECT {_PAGE} FROM ledger WHERE {_FACET} {_ORDER} LIMIT 10 OFFSET 20")
 oracle("tq_page_deep", f"SELECT {_PAGE} FROM ledger ORDER BY amount DESC, tid LIMIT 200 OFFSET 14000")
+oracle("tq_page_index", f"SELECT {_PAGE} FROM ledger ORDER BY amount DESC, tid LIMIT 200 OFFSET 14000")
+oracle("tq_page_following", f"""
+    SELECT {_PAGE} FROM ledger
+    WHERE type > '3-MEDIUM' OR type = '3-MEDIUM' AND (ledger.amount < 1000 OR ledger.amount = 1000 AND tid > 5000)
+    ORDER BY type, ledger.amount DESC, tid LIMIT 200""")
 oracle("tq_page_rest", f"SELECT {_PAGE} FROM ledger WHERE {_FACET} {_ORDER} OFFSET 20")
 oracle("tq_counts", f"""
     SELECT COUNT(*) AS records_total, COUNT(*) FILTER (WHERE {_FACET}) AS records_filtered,

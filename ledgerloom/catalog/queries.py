@@ -20,7 +20,7 @@ from ledgerloom.operators.table_query import TableColumn, TableQuery, TableReque
 from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
 from ledgerloom.schema import MONEY, STAGING, SUBJECTS
-from ledgerloom.sources import kept, keyed, promotion, star, stores, uploads
+from ledgerloom.sources import kept, keyed, page_index, promotion, star, stores, uploads
 from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
 
@@ -482,6 +482,21 @@ def tq_page_rest(spark, folder):
     return _table(spark, folder, **FACET_REQUEST, start=20).page()
 
 
+@query("tq_page_index")
+def tq_page_index(spark, folder):
+    """Two deep pages that follow each other, from one index."""
+    pages = [_table(spark, folder, order=[(2, "desc")], start=start, length=100) for start in (14_000, 14_100)]
+    index = page_index.build(pages[0], run_folder(spark, "pages"))
+    return index.page(pages[0]).unionByName(index.page(pages[1]))
+
+
+@query("tq_page_following")
+def tq_page_following(spark, folder):
+    """The page after a row of the middle of the table."""
+    table = _table(spark, folder, order=[(3, "asc"), (2, "desc")], length=200)
+    return table.following({"type": "3-MEDIUM", "amount": Decimal("1000.00"), "tid": 5000})
+
+
 @query("tq_counts")
 def tq_counts(spark, folder):
     return _table(spark, folder, **FACET_REQUEST).counts()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import clean_search_pattern
 from ledgerloom.operators import filters
 from ledgerloom.operators.table_query import TableColumn, TableQuery, TableRequest
+from ledgerloom.sources import page_index
 
 NOW = dt.datetime(2001, 7, 15, 12)
 METHODS = ["numeric", "date", "yadcf_range_number", "yadcf_range_number_slider", "yadcf_range_date",
@@ -184,3 +185,81 @@ def test_filtered_totals_of_nothing(ledger):
     none = filters.TableFilter(type="no such type")
     assert tuple(filters.filtered_totals(ledger({}), none).first()) == (0, 0)
     assert filters.table_filter(ledger({}), none).select(F.count("*")).first()[0] == 0
+
+
+SORTS = [[(0, "asc")], [(0, "desc")], [(2, "asc"), (0, "desc")], [(1, "desc"), (2, "asc")], []]
+
+
+@pytest.fixture(scope="module")
+def tied(spark):
+    """300 rows with few values, nulls among them."""
+    made = [(i, None if i % 7 == 0 else Decimal(i % 5), None if i % 11 == 0 else dt.date(2001, 1, 1 + i % 3), None if i % 13 == 0 else "abc"[i % 3])
+            for i in range(300)]
+    return spark.createDataFrame(made, "id long, n decimal(18,2), d date, s string").cache()
+
+
+def paged(tied, order, start=0, length=-1, searches=None, nulls=None):
+    columns = [TableColumn("n", "n", "numeric", nulls_order=nulls), TableColumn("d", "d", "date"), TableColumn("s", "s"), TableColumn("id", "id", "numeric")]
+    return TableQuery(tied, columns, TableRequest(searches or {}, order=order, start=start, length=length), "id", NOW)
+
+
+@pytest.mark.parametrize("nulls", [None, "nullsfirst", "nullslast"])
+@pytest.mark.parametrize("order", SORTS)
+def test_the_page_after_any_row(tied, order, nulls):
+    everything = paged(tied, order, nulls=nulls).page().collect()
+    for i in (0, 7, 41, 150, 222, 296, 299):
+        after = paged(tied, order, length=4, nulls=nulls).following(everything[i].asDict())
+        assert after.collect() == everything[i + 1:i + 5]
+
+
+def test_the_page_after_a_row_is_a_top_k_with_a_bound_for_the_scan(spark, tied, tmp_path):
+    tied.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    last = {"n": Decimal(3), "id": 30}
+    plan = paged(stored, [(0, "asc")], length=4).following(last)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(n,3" in plan
+    long = paged(stored, [(0, "asc")], length=20_000).following(last)
+    assert long.collect() == paged(stored, [(0, "asc")]).following(last).collect()
+
+
+@pytest.fixture(scope="module")
+def index(tied, tmp_path_factory):
+    # 300 rows are too few for several ranges, unless adaptive execution leaves them apart.
+    tied.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield page_index.build(paged(tied, SORTS[2], searches={3: "<290"}), str(tmp_path_factory.mktemp("pages") / "index"), version=3)
+    tied.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_pages_of_an_index(spark, tied, index):
+    everything = paged(tied, SORTS[2], searches={3: "<290"}).page().collect()
+    assert index.n_rows == len(everything) == 290 and sum(n > 0 for n in index.sizes) > 2
+    again = page_index.open_index(spark, index.path, version=3)
+    assert again == index
+    for start, length in [(0, 5), (0, -1), (3, 0), (70, 3), (71, 150), (140, -1), (285, 50), (290, 5), (1000, 5)]:
+        query = paged(tied, SORTS[2], start, length, {3: "<290"})
+        assert again.page(query).collect() == everything[start:][:length if length >= 0 else None], (start, length)
+
+
+def test_a_page_of_an_index_opens_the_parts_that_hold_it(spark, tied, index):
+    files = len(index.rows(spark).inputFiles())
+    first, second = (index.page(paged(tied, SORTS[2], s, 3, {3: "<290"})) for s in (250, 253))
+    for page in (first, second):
+        assert 1 <= len(page.inputFiles()) <= 2 < files
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning(__part" in plan or "TakeOrdered" in plan
+        assert "Exchange hash" not in plan and "ExistingRDD" not in plan
+
+
+def test_an_index_refuses_other_requests(spark, tied, index):
+    with pytest.raises(page_index.OtherRequest):
+        index.page(paged(tied, SORTS[2]))
+    with pytest.raises(page_index.OtherRequest):
+        index.page(paged(tied, SORTS[0], searches={3: "<290"}))
+    with pytest.raises(page_index.OtherRequest):
+        page_index.open_index(spark, index.path, version=4)
+
+
+def test_an_index_of_no_rows(spark, tied, tmp_path):
+    query = paged(tied, SORTS[0], 2, 5, {3: "<0"})
+    made = page_index.build(query, str(tmp_path / "none"))
+    assert made.n_rows == 0 and made.page(query).collect() == [] and made.page(query).columns == ["n", "d", "s", "id"]
