@@ -276,6 +276,9 @@ for _name, _test in {
         "date", "amount", "type", "category", "description", "payee", "subcategory")),
 }.items():
     oracle(_name, f"SELECT {MONEY_ROW} FROM ledger WHERE {_test}")
+    if _name in ("tq_global_search", "tq_regex_search"):
+        oracle(f"{_name}_indexed", f"SELECT {_PLAIN} FROM ledger WHERE {_test}")
+oracle("tq_contains_indexed", f"SELECT {_PLAIN} FROM ledger WHERE description ILIKE '%ring%' AND payee ILIKE 'supplier#%1'")
 
 oracle("tq_date", "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-03 10:30:00' AND event_type ILIKE '%i%'")
 oracle("tq_numeric_events", "SELECT * FROM events WHERE value < 12.5")

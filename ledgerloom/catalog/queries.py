@@ -20,7 +20,7 @@ from ledgerloom.operators.table_query import TableColumn, TableQuery, TableReque
 from ledgerloom.plans.skew import key_counts
 from ledgerloom.plans.workspace import run_folder
 from ledgerloom.schema import MONEY, STAGING, SUBJECTS
-from ledgerloom.sources import kept, keyed, page_index, promotion, star, stores, uploads
+from ledgerloom.sources import kept, keyed, page_index, promotion, star, stores, text_index, uploads
 from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
 from ledgerloom.streaming.incremental import ingest_new_files, stored_rows
 
@@ -452,6 +452,33 @@ FACET_REQUEST = dict(search="e", type="1-URGENT|5-LOW", category="PROMO", amount
                      order=[(4, "desc"), (1, "asc")])
 
 
+def _indexed(spark, folder, **searches):
+    """The rows of a search through the text index of a store; the last batch came after the index."""
+    ledger, index, rows = run_folder(spark, "ledger"), run_folder(spark, "texts"), star.ledger(spark, folder)
+    for i in range(3):
+        stores.append_rows(rows.where(F.col("account_id") % 3 == i), ledger)
+        if i < 2:
+            text_index.catch_up(spark, ledger, index)
+    asked = _table(spark, folder, **searches)
+    stored = TableQuery(stores.read_ledger(spark, ledger), COLUMNS, asked.request, "tid", asked.as_of, asked.as_regex)
+    return _unique(text_index.narrowed(stored, ledger, index).filtered())
+
+
+@query("tq_global_search_indexed")
+def tq_global_search_indexed(spark, folder):
+    return _indexed(spark, folder, search="brand#1")
+
+
+@query("tq_regex_search_indexed")
+def tq_regex_search_indexed(spark, folder):
+    return _indexed(spark, folder, allow_regex=True, search="red w||blue|r.g|", regex=True)
+
+
+@query("tq_contains_indexed")
+def tq_contains_indexed(spark, folder):
+    return _indexed(spark, folder, description="ring", payee="supplier#%1")
+
+
 @query("tq_date")
 def tq_date(spark, folder):
     return _events(spark, folder, ts=">2024-01-03 10:30:00", event_type="i").filtered()

@@ -44,6 +44,11 @@ def rows_of(spark: SparkSession, path: str, schema: T.StructType, folders: Itera
     return _read(spark, path, schema, folders).select(*schema.fieldNames())
 
 
+def with_files(spark: SparkSession, path: str, schema: T.StructType, folders: Iterable[Folder]) -> DataFrame:
+    """The rows of some folders with the file each lies in."""
+    return _read(spark, path, schema, folders).select(*schema.fieldNames(), F.col("_metadata.file_path").alias("file"))
+
+
 def _version(spark: SparkSession, path: str, number: int | None = None) -> Version:
     version = versions.read(spark, path, number)
     if version is None:

@@ -207,7 +207,7 @@ def paged(tied, order, start=0, length=-1, searches=None, nulls=None):
 @pytest.mark.parametrize("order", SORTS)
 def test_the_page_after_any_row(tied, order, nulls):
     everything = paged(tied, order, nulls=nulls).page().collect()
-    for i in (0, 7, 41, 150, 222, 296, 299):
+    for i in (0, 41, 222, 296):
         after = paged(tied, order, length=4, nulls=nulls).following(everything[i].asDict())
         assert after.collect() == everything[i + 1:i + 5]
 
