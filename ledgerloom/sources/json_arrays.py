@@ -26,17 +26,19 @@ def _opening(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("{")))
 
 
-def _pieces(scan: DataFrame) -> DataFrame:
+def array_text(scan: DataFrame) -> DataFrame:
+    """The pieces of a text scan, of files or of a stream, with `}` as its line separator, and where they are from."""
+    return scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.col("_metadata.file_size").alias("size"), "value")
+
+
+def _pieces(text: DataFrame) -> DataFrame:
     """Text between closing braces, with the quotes in it and the braces that open outside strings, should
     the piece begin outside a string (`out`) or inside one (`inn`). No escape has a brace, so none is cut in two."""
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     unquoted = F.regexp_replace("__bare", r'"[^"]*+"?', "")
     rest = F.regexp_replace(F.regexp_replace("__bare", r'^[^"]*+"?', ""), r'"[^"]*+"?', "")
-    return scan.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), F.col("_metadata.file_size").alias("size"), "value",
-        bare.alias("__bare"),
-    ).withColumns({
+    return text.withColumns({"pos": F.monotonically_increasing_id(), "__bare": bare}).withColumns({
         "quotes": F.length("__bare") - F.length(F.replace("__bare", F.lit('"'))),
         "out": _opening(unquoted), "inn": _opening(rest),
     }).drop("__bare")
@@ -71,10 +73,10 @@ def _refuse(why: str, *shown: Column) -> Column:
     return F.raise_error(F.concat(F.lit(BROKEN + why), F.lit(" in "), F.col("file"), *shown))
 
 
-def record_texts(scan: DataFrame) -> DataFrame:
-    """The records of a scan with `}` as its line separator, as texts with their file and an increasing position."""
+def record_texts(text: DataFrame) -> DataFrame:
+    """The records of `array_text`, as texts with their file and an increasing position."""
     odd, end = F.col("odd"), (F.col("odd").cast("int") + F.col("quotes")) % 2 == 1
-    pieces = _pieces(scan).withColumns({
+    pieces = _pieces(text).withColumns({
         "odd": _earlier(F.col("quotes"), BLOCK, "pos") % 2 == 1,
         "place": F.row_number().over(Window.partitionBy(*BLOCK).orderBy("pos")) - 1,
     }).withColumn("odd_end", end).withColumns({"step_out": _moved(odd, F.col("odd_end")), "step_in": _moved(~odd, ~F.col("odd_end"))})
@@ -93,7 +95,7 @@ def record_texts(scan: DataFrame) -> DataFrame:
     between = F.when(first, gap.rlike(r"^\s*\[?\s*$")).otherwise(gap.rlike(r"^\s*,\s*$"))
     tail = F.when(first, F.col("value").rlike(r"^\s*(\[\s*\])?\s*$")).otherwise(F.col("value").rlike(r"^\s*\]?\s*$"))
     # What follows a record's first brace; the last piece of a file is none.
-    text = F.when(top, F.substr("value", F.length(gap) + 1)).otherwise(F.col("value"))
+    rest = F.when(top, F.substr("value", F.length(gap) + 1)).otherwise(F.col("value"))
     closed = (F.col("after") == 0) & ~F.col("ends")
     # One expression and one filter on it: separate conditions could be reordered, and rows dropped before they are refused.
     kind = (F.when(~F.col("whole"), _refuse("its end is missing"))
@@ -101,7 +103,7 @@ def record_texts(scan: DataFrame) -> DataFrame:
             .when(top & opens & ~between, _refuse("text between records: ", F.left(gap, F.lit(80))))
             .when(top & ~opens & ~tail, _refuse("text that is no record: ", F.left("value", F.lit(80))))
             .when(top & ~opens, F.lit("end")).when(top & closed, F.lit("record")).otherwise(F.lit("part")))
-    checked = found.select(*BLOCK, "pos", F.concat(text, F.lit("}")).alias("text"), closed.alias("closed"), kind.alias("kind"))
+    checked = found.select(*BLOCK, "pos", F.concat(rest, F.lit("}")).alias("text"), closed.alias("closed"), kind.alias("kind"))
     alone = checked.where("kind = 'record'").select("file", "pos", F.col("text").alias("record"))
     # Only records of several pieces meet: those of the kind that ended earlier number them.
     parts = checked.where("kind = 'part'")
@@ -115,8 +117,13 @@ def record_texts(scan: DataFrame) -> DataFrame:
     return alone.unionByName(joined.select("file", "pos", "record"))
 
 
+def records(text: DataFrame, schema: str) -> DataFrame:
+    """The records of `array_text` as rows, with `file` and `pos`."""
+    record = F.from_json("record", schema, {"mode": "FAILFAST"})
+    return record_texts(text).select(record.alias("__record"), "file", "pos").select("__record.*", "file", "pos")
+
+
 def read_array(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
     """The records of all files below a path whose names fit the pattern, with `file` and `pos`."""
-    scan = (spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path))
-    record = F.from_json("record", schema, {"mode": "FAILFAST"})
-    return record_texts(scan).select(record.alias("__record"), "file", "pos").select("__record.*", "file", "pos")
+    scan = spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    return records(array_text(scan), schema)

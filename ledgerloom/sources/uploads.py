@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.skew import lookup_join
+from ledgerloom.plans.workspace import checkpointed
 from ledgerloom.sources.json_arrays import read_array
 
 # Accepted extensions and the columns of the three formats.
@@ -91,7 +92,8 @@ def parse_statement(text: DataFrame, others: Mapping[str, str] | None = None) ->
     Columns are taken by header name, `others` adding to the usual ones; a column
     or field that is absent is null.
     """
-    lines = text.withColumn("pos", F.monotonically_increasing_id())
+    # Header and rows are told apart by these positions, which must be the same for both: the lines are written once.
+    lines = checkpointed(text.withColumn("pos", F.monotonically_increasing_id()))
     # Positions run on without gaps inside a block, so the header is the line at
     # the first position of the first block plus the preamble.
     files = lines.groupBy("file").agg(

@@ -16,6 +16,7 @@ from ledgerloom.operators.cleaning import homebank_rows, json_rows, statement_ro
 from ledgerloom.operators.dedup import first_of_each, new_rows
 from ledgerloom.plans.workspace import checkpointed
 from ledgerloom.schema import LEDGER, STAGING
+from ledgerloom.sources import json_arrays
 from ledgerloom.sources.stores import append_rows, open_store
 from ledgerloom.sources.uploads import (
     HOMEBANK_SCHEMA, JSON_SCHEMA, account_in_path, extension_glob, parse_statement, statement_text,
@@ -38,20 +39,24 @@ def _stream(
               .option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern))
     if kind == "csv":
         return reader.schema(HOMEBANK_SCHEMA).option("sep", ";").option("header", "true").csv(uploads)
+    if kind == "json" and lines:
+        return reader.schema(JSON_SCHEMA).option("mode", "FAILFAST").json(uploads)
     if kind == "json":
-        return reader.schema(JSON_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(uploads)
+        return reader.option("lineSep", "}").text(uploads)
     return reader.text(uploads)
 
 
-def _cleaner(kind: str, account: Column) -> Clean:
+def _cleaner(kind: str, account: Column, lines: bool = False) -> Clean:
     """From the rows of one batch to rows as they are stored."""
     def placed(raw: DataFrame) -> DataFrame:
         return raw.withColumns({"account_id": account, "pos": F.monotonically_increasing_id()})
 
     if kind == "csv":
         return lambda batch: homebank_rows(placed(batch))
-    if kind == "json":
+    if kind == "json" and lines:
         return lambda batch: first_of_each(json_rows(placed(batch)))
+    if kind == "json":
+        return lambda batch: first_of_each(json_rows(json_arrays.records(batch, JSON_SCHEMA).withColumn("account_id", account)))
     return lambda batch: statement_rows(parse_statement(batch).withColumn("account_id", account))
 
 
@@ -87,13 +92,16 @@ def ingest_new_files(
     account; by default it is in the path of the file (`account_id=...`). Each
     batch is cleaned like any upload and, for the ledger, checked against the rows
     of the batches before it, so a file given twice adds nothing. Every row gets an id; rows
-    without an account are left out. JSON files with one record per line (`lines`) are split over tasks.
+    without an account are left out. JSON files hold an array each, or one record per line (`lines`); both are split over tasks.
     """
     if kind not in SCHEMAS:
         raise ValueError(f"files are one of {', '.join(SCHEMAS)}")
     scan = _stream(spark, kind, uploads, files_per_batch, pattern or extension_glob(kind), lines)
-    files = statement_text(scan) if kind == "dbcsv" else scan.withColumn("file", F.col("_metadata.file_path"))
-    clean = _cleaner(kind, account_in_path("file") if account is None else account)
+    if kind == "json" and not lines:
+        files = json_arrays.array_text(scan)
+    else:
+        files = statement_text(scan) if kind == "dbcsv" else scan.withColumn("file", F.col("_metadata.file_path"))
+    clean = _cleaner(kind, account_in_path("file") if account is None else account, lines)
     query = (files.writeStream.foreachBatch(_store(store, kind, clean, f"{kind}-{crc32(checkpoint.encode()):08x}"))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import star
-from ledgerloom.sources.json_arrays import read_array, record_texts
+from ledgerloom.sources.json_arrays import array_text, read_array, record_texts
 from ledgerloom.sources.uploads import JSON_SCHEMA
 
 SCHEMA = "i long, s string, o string"
@@ -109,4 +109,4 @@ def test_a_large_array_is_read_by_many_tasks(spark, tmp_path, blocks):
     assert found.count() == len(texts) and found.select("pos").distinct().count() == len(texts)
     assert sorted(r.tid for r in found.select("tid").collect()) == sorted(json.loads(t)["tid"] for t in texts)
     # The positions follow the order of the file.
-    assert [r.record for r in record_texts(scan).orderBy("pos").collect()] == texts
+    assert [r.record for r in record_texts(array_text(scan)).orderBy("pos").collect()] == texts
