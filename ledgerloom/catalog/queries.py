@@ -18,7 +18,7 @@ from ledgerloom.operators import (
 )
 from ledgerloom.operators.table_query import TableColumn, TableQuery, TableRequest
 from ledgerloom.plans.skew import key_counts
-from ledgerloom.plans.workspace import run_folder
+from ledgerloom.plans.workspace import run_folder, stored
 from ledgerloom.schema import MONEY, STAGING, SUBJECTS
 from ledgerloom.sources import kept, keyed, page_index, promotion, star, stores, text_index, uploads
 from ledgerloom.sources.dimensions import CATEGORIES, SUBCATEGORIES
@@ -206,7 +206,7 @@ def new_rows_only(spark, folder):
 
 @query("new_rows_columnwise")
 def new_rows_columnwise(spark, folder):
-    rows = star.ledger(spark, folder)
+    rows = stored(star.ledger(spark, folder), "rows")  # read once for each column
     return dedup.new_rows_columnwise(
         rows.withColumnRenamed("tid", "pos"), filters.completed(rows),
         ["date", "amount", "type", "description", "category", "subcategory", "tag", "status", "payee"])

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.skew import lookup_join
+from ledgerloom.plans.skew import lookup_join, piece_rows
+from ledgerloom.plans.workspace import stored
 from ledgerloom.schema import NATURAL_KEY
 
 
@@ -36,13 +37,9 @@ def new_rows(
     return upload.join(known, same, "left_anti")
 
 
-def _values(rows: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
-    """One row per value: the column's name and the value as text, null or not."""
-    each = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"),
-                 F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("text"))
-        for c in columns]))
-    return rows.select(*keep, each.alias("v")).select(*keep, "v.field", "v.text")
+def _values(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """The values of one column as text, null or not."""
+    return rows.select(*keep, F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")).alias("text"))
 
 
 def new_rows_columnwise(
@@ -52,12 +49,23 @@ def new_rows_columnwise(
     ledger does not have. A row is left out when each of its values occurs
     somewhere in its column, even if no single ledger row has them all.
 
-    Both sides first become distinct values by account and column, on the map side, so a value that most rows
-    have is one row. Only the upload's unknown values go back to its rows.
+    Columns are added up and joined one after the other, so no task holds the values of several. Both sides become distinct values by account in one
+    aggregate, on the map side, so a value that most rows have is one row. Only the upload's unknown values go back to its rows.
     """
-    cell = ["account_id", "field", "text"]
-    unknown = (_values(upload, columns, "account_id").distinct()
-               .join(_values(ledger, columns, "account_id").distinct(), cell, "left_anti"))
-    counts = _values(upload, columns, "account_id").groupBy(*cell).agg(F.count(F.lit(1)).alias("n_rows"))
-    picked = lookup_join(_values(upload, columns, "account_id", row_id), unknown, cell, [row_id], "left_semi", counts=counts, nulls_match=True)
-    return upload.join(picked.select(row_id).distinct(), row_id, "left_semi")
+    cell, limit = ["account_id", "text"], piece_rows(upload.sparkSession)
+
+    def cells(c: str) -> DataFrame:
+        """The values of a column that the ledger does not have, and those of very many rows of the upload."""
+        both = _values(upload, c, "account_id").withColumn("n", F.lit(1)).unionByName(_values(ledger, c, "account_id").withColumn("n", F.lit(0)))
+        counts = both.groupBy(*cell).agg(F.sum("n").alias("n_rows"), (F.min("n") == 1).alias("unknown"))
+        return counts.where(F.col("unknown") | (F.col("n_rows") > limit))
+
+    def rows_with(c: str) -> DataFrame:
+        """The ids of the rows with an unknown value in a column."""
+        own = stored(cells(c), "cells")
+        found = lookup_join(_values(upload, c, "account_id", row_id), own.where("unknown").select(*cell), cell, [row_id], "left_semi",
+                            counts=own, nulls_match=True)
+        return stored(found.select(row_id), "picked")
+
+    picked = reduce(DataFrame.unionByName, [rows_with(c) for c in columns])
+    return upload.join(picked.distinct(), row_id, "left_semi")

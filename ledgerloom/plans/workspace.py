@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _one_process(spark: SparkSession) -> bool:
@@ -20,7 +22,7 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     A temporary folder of this machine is used only when the session names no
     shared folder and runs in local mode.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not _one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
@@ -39,3 +41,18 @@ def checkpointed(frame: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame, written once as parquet to a run folder and read from there. Unlike a checkpoint it is compressed, its size is known to
+    the planner and a reader of few columns reads only these; the order of rows and parts is not kept."""
+    if "void" in frame.schema.simpleString():  # parquet has no such type
+        return checkpointed(frame)
+    path = run_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, known as such to the planner: no task and no Python worker is started for them."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

@@ -149,3 +149,13 @@ def test_columnwise_with_a_hot_value(spark, hot_rows):
     assert sorted(r.pos for r in kept.collect()) == [2, 3, 4, 5, 7, 8]
     assert sorted(r.pos for r in dedup.new_rows(new, seen, ["account_id", "amount", "type"]).collect()) == [
         1, 2, 3, 4, 5, 7, 8]
+
+
+def test_columnwise_takes_one_column_at_a_time(spark, monkeypatch):
+    """No task holds the values of several columns: what is written for a column is made of that column alone."""
+    written = []
+    monkeypatch.setattr(dedup, "stored", lambda frame, purpose: written.append(frame) or frame)
+    rows = spark.createDataFrame([(1, 1, 5, "x"), (2, 1, 6, "y")], "pos long, account_id long, amount int, type string")
+    assert [r.pos for r in dedup.new_rows_columnwise(rows, rows.where("pos = 1"), ["amount", "type"]).collect()] == [2]
+    assert len(written) == 4
+    assert all("Generate" not in f._jdf.queryExecution().optimizedPlan().toString() for f in written[::2])  # the others repeat hot values
