@@ -790,7 +790,7 @@ def _kept(spark, folder):
     """A ledger that ends as the given one after three batches, a replaced batch, edits and a deletion, and its sums, brought up to
     date after each change."""
     ledger, sums = run_folder(spark, "ledger"), run_folder(spark, "sums")
-    rows = star.ledger(spark, folder)
+    rows = stored(star.ledger(spark, folder), "rows")  # used five times
 
     def part(k: int) -> DataFrame:
         return rows.where(F.col("tid") % 3 == k)

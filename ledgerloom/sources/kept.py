@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.dates import month_of
 from ledgerloom.operators import balances, filters
+from ledgerloom.plans.workspace import empty
 from ledgerloom.schema import LEDGER, SUBJECTS
 from ledgerloom.sources import stores, versions
 from ledgerloom.sources.versions import Folder, Version
@@ -40,36 +42,44 @@ class LedgerBehind(RuntimeError):
     """The sums stand for another version of the ledger than the one asked for: call `catch_up`."""
 
 
-def cells_of(rows: DataFrame, sign: int = 1) -> DataFrame:
-    """Sums of ledger rows, or what takes them away with a sign of -1. Rows without a date have the month null."""
+def cells_of(rows: DataFrame, sign: int | Column = 1) -> DataFrame:
+    """Sums of ledger rows, or what takes them away with a sign of -1, which may be a column of the rows. Rows without a date have the month null."""
+    sign = F.lit(sign) if isinstance(sign, int) else sign
     done = F.coalesce("status", F.lit(False))
     up = F.coalesce(F.col("amount") > 0, F.lit(False))
 
+    def count(which: Column) -> Column:
+        return F.sum(F.when(which, sign).otherwise(F.lit(0)))
+
     def amount(which: Column) -> Column:
-        return (sign * F.coalesce(F.sum(F.when(which, F.col("amount"))), F.lit(0))).cast(AMOUNT)
+        signed = F.when(sign < 0, -F.col("amount")).otherwise(F.col("amount"))
+        return F.coalesce(F.sum(F.when(which, signed)), F.lit(0)).cast(AMOUNT)
 
     return rows.groupBy("account_id", month_of(F.col("date")).alias("month"), *SUBJECTS).agg(
-        (sign * F.count(F.lit(1))).alias("n"), (sign * F.count_if(done & up)).alias("gains"), (sign * F.count_if(done & ~up)).alias("outgoes"),
+        F.sum(sign).alias("n"), count(done & up).alias("gains"), count(done & ~up).alias("outgoes"),
         amount(done & up).alias("gain"), amount(done & ~up).alias("outgo"))
 
 
+# A cell that has come to nothing is left out.
+SOME = " or ".join(f"{c} <> 0" for c in COUNTS + AMOUNTS)
+
+
 def _added_up(cells: DataFrame) -> DataFrame:
-    """One row per cell; those that have come to nothing are left out."""
+    """One row per cell."""
     sums = [F.sum(c).alias(c) for c in COUNTS] + [F.sum(a).cast(AMOUNT).alias(a) for a in AMOUNTS]
-    some = " or ".join(f"{c} <> 0" for c in COUNTS + AMOUNTS)
-    return cells.groupBy(*KEYS).agg(*sums).where(some)
+    return cells.groupBy(*KEYS).agg(*sums).where(SOME)
 
 
 def _stored(spark: SparkSession, path: str, folders: tuple[Folder, ...]) -> DataFrame:
     if not folders:
-        return spark.createDataFrame([], CELLS)
+        return empty(spark, CELLS)
     return spark.read.schema(CELLS).parquet(*[f"{path}/{f.path}" for f in folders])
 
 
 def _write(cells: DataFrame, path: str, lot: str) -> Folder:
     """One folder, its files ordered by account, so that a read of one account opens few."""
     folder = Folder(uuid.uuid4().hex, None, lot, "sums", 0, 0, 0, 0, 0, None, None)
-    cells.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.parquet(f"{path}/{folder.path}")
+    cells.repartitionByRange(*KEYS).sortWithinPartitions("account_id", "month").write.parquet(f"{path}/{folder.path}")
     held = _stored(cells.sparkSession, path, (folder,)).agg(
         F.count(F.lit(1)).alias("rows"), F.min("account_id").alias("first_account"), F.max("account_id").alias("last_account")).first()
     return replace(folder, **held.asDict())
@@ -90,8 +100,10 @@ def catch_up(spark: SparkSession, ledger: str, path: str) -> Version:
     gone, new = set(before.folders) - set(now.folders), set(now.folders) - set(before.folders)
     after = replace(kept, runs={STANDS_FOR: now.number})
     if gone or new:
-        part = cells_of(stores.rows_of(spark, ledger, LEDGER, new)).unionByName(cells_of(stores.rows_of(spark, ledger, LEDGER, gone), -1))
-        after = after.with_folders([_write(_added_up(part), path, "difference" if kept.folders else "base")])
+        # Rows that went and rows that came are added up in one aggregate: most of them are the same after an edit.
+        moved = [stores.rows_of(spark, ledger, LEDGER, some).withColumn("__sign", F.lit(sign)) for some, sign in ((new, 1), (gone, -1)) if some]
+        part = cells_of(reduce(DataFrame.unionByName, moved), F.col("__sign")).where(SOME)
+        after = after.with_folders([_write(part, path, "difference" if kept.folders else "base")])
     base, *differences = after.folders or (None,)
     if sum(f.rows for f in differences) > (base.rows if base else 0):
         after = replace(after, folders=(_write(_added_up(_stored(spark, path, after.folders)), path, "base"),))

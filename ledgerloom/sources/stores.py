@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.edits import apply_edits, apply_staging_edits, delete_rows
-from ledgerloom.plans.workspace import checkpointed
+from ledgerloom.plans.workspace import empty, stored
 from ledgerloom.schema import LEDGER, STAGING
 from ledgerloom.sources import versions
 from ledgerloom.sources.versions import Folder, Version
@@ -35,7 +35,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, folders: Iterabl
     """All rows of the given folders with their batch, commit, year and lot."""
     whole, paths = T.StructType([*schema.fields, *PLACES]), [f"{path}/{f.path}" for f in folders]
     if not paths:
-        return spark.createDataFrame([], whole)
+        return empty(spark, whole)
     return spark.read.schema(whole).option("basePath", path).parquet(*paths)
 
 
@@ -109,7 +109,7 @@ def rejected(rows: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, after: int) -> DataFrame:
     """The rows with ids `after` + 1, + 2 ... Rows are numbered where they are; only the sizes of the parts meet."""
-    held = checkpointed(rows.withColumn("__n", F.monotonically_increasing_id()))
+    held = stored(rows.withColumn("__n", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__n", NUMBER_BITS)
     before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = (held.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))  # one row per part
@@ -149,7 +149,8 @@ def append_rows(
     if old and max(f.last_id for f in old) == next_id - 1:
         others = [f.last_id for f in version.folders if f.batch != batch]
         next_id = max(min(f.first_id for f in old), max(others, default=-1) + 1)
-    taken = rows.where(F.col("account_id").isNotNull()).repartitionByRange("account_id", "date").sortWithinPartitions("account_id", "date")
+    fields = [f.name for f in schema if f.name != "tid"]
+    taken = rows.where(F.col("account_id").isNotNull()).select(*fields).repartitionByRange("account_id", "date").sortWithinPartitions("account_id", "date")
     new = _write(numbered(taken, next_id - 1).withColumn("batch", F.lit(batch)), path, schema)
     after = replace(version.without(old).with_folders(new), next_id=max([next_id, *[f.last_id + 1 for f in new]]))
     if run:
@@ -161,7 +162,7 @@ def change_rows(spark: SparkSession, path: str, ids: DataFrame, change: Callable
     """Rewrite the folders that hold a row with one of the ids (column tid), and no other; `change` makes their rows anew. Ids and
     batches stay. All of it is published at once; if no row is touched there is no new version. Returns the folders rewritten."""
     version = _version(spark, path)
-    ids = ids.select("tid").where(F.col("tid") < version.next_id).distinct()
+    ids = stored(ids.select("tid").where(F.col("tid") < version.next_id).distinct(), "ids")
     # At most one value per slice of the store.
     slices = {r[0] for r in ids.select(F.floor(F.col("tid") / SLICE_ROWS)).distinct().collect()}
     near = [f for f in version.folders if int(f.lot.rpartition("-")[2]) in slices]
@@ -180,15 +181,18 @@ def change_rows(spark: SparkSession, path: str, ids: DataFrame, change: Callable
 
 def edit_ledger(spark: SparkSession, path: str, edits: DataFrame) -> list[Folder]:
     """Ledger edits by (account_id, tid) written back; an edited date moves a row to its year's folder."""
+    edits = stored(edits, "edits")  # they may be read from all of the store, and are used twice
     return change_rows(spark, path, edits, lambda rows: apply_edits(rows, edits))
 
 
 def edit_staging(spark: SparkSession, path: str, edits: DataFrame) -> list[Folder]:
+    edits = stored(edits, "edits")
     return change_rows(spark, path, edits, lambda rows: apply_staging_edits(rows, edits), STAGING)
 
 
 def remove_rows(spark: SparkSession, path: str, deletions: DataFrame, schema: T.StructType = LEDGER) -> list[Folder]:
     """Rows with the given ids deleted. Their ids are not given again."""
+    deletions = stored(deletions.select("tid"), "deletions")
     return change_rows(spark, path, deletions, lambda rows: delete_rows(rows, deletions), schema)
 
 

@@ -193,3 +193,18 @@ def test_rows_dated_back_count_once_caught_up(spark, paths, ledger):
         kept.running_balance_since(spark, path, sums, openings, dt.date(2019, 1, 1))
     kept.catch_up(spark, path, sums)
     assert [r.closing_balance for r in kept.running_balance_since(spark, path, sums, openings, dt.date(2019, 1, 1)).collect()] == [Decimal(51)]
+
+
+def test_an_edit_is_added_up_in_one_aggregate(spark, paths, batches, monkeypatch):
+    """Rows that went and rows that came meet in one aggregate, and a side without rows is not read."""
+    ledger, sums = paths
+    written, write = [], kept._write
+    monkeypatch.setattr(kept, "_write", lambda cells, *more: written.append(cells) or write(cells, *more))
+    stores.append_rows(batches[0], ledger, "b0")
+    check(spark, ledger, sums)
+    edit(spark, ledger, "amount > 0", amount=F.lit(9))
+    check(spark, ledger, sums)
+    plans = [c._jdf.queryExecution().optimizedPlan().toString() for c in written]
+    assert [p.count("Aggregate [") for p in plans[:2]] == [1, 1]
+    assert "Union" not in plans[0] and "Union" in plans[1]
+    assert not any("LogicalRDD" in p for p in plans)
