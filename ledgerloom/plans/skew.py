@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.workspace import checkpointed
+from ledgerloom.plans.workspace import stored
 
 # Rows of one key that may meet in one piece of a join. A constant: it does not grow with the data.
 PIECE_SETTING = "spark.ledgerloom.pieceRows"
@@ -92,7 +92,7 @@ def running_total(
     order = [way("date"), way("tid"), F.col("__tie")]
     tied = rows.withColumn("__tie", F.xxhash64(*rows.columns))
     # The parts must be the same for their sums and for their rows: they are written once.
-    parts = checkpointed(tied.repartitionByRange(F.col("account_id"), *order).withColumn("__part", F.spark_partition_id()))
+    parts = stored(tied.repartitionByRange(F.col("account_id"), *order).withColumn("__part", F.spark_partition_id()), "ranged")
     earlier = Window.partitionBy("account_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (parts.groupBy("account_id", "__part").agg(F.sum("amount").alias("__sum"))
               .withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))

@@ -159,3 +159,9 @@ def test_columnwise_takes_one_column_at_a_time(spark, monkeypatch):
     assert [r.pos for r in dedup.new_rows_columnwise(rows, rows.where("pos = 1"), ["amount", "type"]).collect()] == [2]
     assert len(written) == 4
     assert all("Generate" not in f._jdf.queryExecution().optimizedPlan().toString() for f in written[::2])  # the others repeat hot values
+
+
+def test_running_total_reads_what_it_wrote_as_columns(spark, ledger, openings):
+    """The ranged rows are a file that the planner knows, not a dump of whole rows."""
+    plan = skew.running_total(ledger({}, {"account_id": 2}), openings(a1="3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan
