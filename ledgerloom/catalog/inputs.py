@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.cleaning import statement_rows
 from ledgerloom.operators.normalise import normalise_staging
 from ledgerloom.operators.schedules import upcoming
-from ledgerloom.plans.workspace import run_folder
+from ledgerloom.plans.workspace import run_folder, stored
 from ledgerloom.sources import star
 from ledgerloom.sources.uploads import HOMEBANK_SCHEMA, STATEMENT_COLUMNS, STATEMENT_PREAMBLE
 
@@ -49,7 +49,7 @@ def staging(spark: SparkSession, folder: str, as_of) -> DataFrame:
 
 
 def staged_twice(spark: SparkSession, folder: str, as_of) -> DataFrame:
-    once = staging(spark, folder, as_of)
+    once = stored(staging(spark, folder, as_of), "once")
     greatest = once.agg(F.max("tid")).scalar()
     return once.unionByName(once.withColumn("tid", F.col("tid") + greatest + 1))
 
