@@ -53,6 +53,7 @@ def new_rows_columnwise(
     aggregate, on the map side, so a value that most rows have is one row. Only the upload's unknown values go back to its rows.
     """
     cell, limit = ["account_id", "text"], piece_rows(upload.sparkSession)
+    ledger = ledger.where(F.col("account_id").isNotNull())  # no account is not the same account: such rows stay
 
     def cells(c: str) -> DataFrame:
         """The values of a column that the ledger does not have, and those of very many rows of the upload."""

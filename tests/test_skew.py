@@ -165,3 +165,8 @@ def test_running_total_reads_what_it_wrote_as_columns(spark, ledger, openings):
     """The ranged rows are a file that the planner knows, not a dump of whole rows."""
     plan = skew.running_total(ledger({}, {"account_id": 2}), openings(a1="3"))._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan
+
+
+def test_columnwise_rows_without_an_account_stay(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, 1, 5)], "pos long, account_id long, amount int")
+    assert [r.pos for r in dedup.new_rows_columnwise(rows, rows, ["amount"]).collect()] == [1]
