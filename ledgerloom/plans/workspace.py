@@ -55,4 +55,4 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """No rows, known as such to the planner: no task and no Python worker is started for them."""
-    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    return spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
